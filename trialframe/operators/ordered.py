@@ -147,7 +147,7 @@ def scan(
     for out in totals:
         res[out] = F.col(f"_pct_{out}")
     j = j.withColumns(res)
-    drop = [c for c in j.columns if c.startswith("_") and c not in df.columns]
+    drop = [c for c in j.columns if c.startswith("_") and c not in df.columns and c not in res]
     return j.drop(*drop)
 
 
