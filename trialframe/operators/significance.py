@@ -57,8 +57,10 @@ def binom_sf(k: Column, n: Column, p: Column) -> Column:
 
 
 def _ln_choose(a: Column, b: Column) -> Column:
-    return F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(b, F.lit(0)).cast("long")), F.lit(0.0),
-                       lambda acc, j: acc + F.log(a - b + j) - F.log(j.cast("double")))
+    # sequence(1, 0) counts DOWN in Spark, so b <= 0 is answered directly
+    s = F.aggregate(F.sequence(F.lit(1).cast("long"), b.cast("long")), F.lit(0.0),
+                    lambda acc, j: acc + F.log(a - b + j) - F.log(j.cast("double")))
+    return F.when(b > 0, s).otherwise(F.lit(0.0))
 
 
 def hypergeom_sf(x0: Column, pop: Column, succ: Column, draws: Column) -> Column:
