@@ -19,13 +19,19 @@ def order_struct(order: Sequence[str]) -> Column:
     return F.struct(*[F.col(c) for c in order])
 
 
+def _order_key(order: Sequence[str] | Column) -> Column:
+    """A single orderable key: a Column as given (prefer a primitive long so
+    aggregates stay hash-based), or a struct of column names."""
+    return order if isinstance(order, Column) else order_struct(order)
+
+
 def pivot_first(
     df: DataFrame,
     session: str,
     trial: str,
     domain: Sequence[int],
     features: dict[str, Column],
-    order: Sequence[str],
+    order: Sequence[str] | Column,
     *,
     codes: dict[str, tuple[str, Sequence[str]]] | None = None,
     session_first: dict[str, Column] | None = None,
@@ -42,36 +48,37 @@ def pivot_first(
       the session* (W17: code = number of distinct values seen earlier).
     * ``session_first``: session-level columns taken from the session's first
       row (P10).
+
+    One aggregate per (trial, feature): ``min_by(value, if(trial = t, key))``.
     """
     codes = codes or {}
     session_first = session_first or {}
-    ordx = order_struct(order)
+    key = _order_key(order)
     payload = dict(features)
     for f, (c, _) in codes.items():
         payload[f] = F.col(c)
-    val = F.struct(*[e.alias(k) for k, e in payload.items()])
 
     aggs = [
-        F.min_by(val, F.when(F.col(trial) == F.lit(t), ordx)).alias(f"_t{t}")
-        for t in domain
+        F.min_by(e, F.when(F.col(trial) == F.lit(t), key)).alias(f"_t{t}_{f}")
+        for t in domain for f, e in payload.items()
     ]
     # first position of every code value (null when the session lacks it)
     code_cols = {}
     for f, (c, dom) in codes.items():
         for i, v in enumerate(dom):
             code_cols[(f, v)] = f"_f_{f}_{i}"
-            aggs.append(F.min(F.when(F.col(c) == F.lit(v), ordx)).alias(code_cols[(f, v)]))
-    if session_first:
-        aggs.append(F.min_by(F.struct(*[e.alias(k) for k, e in session_first.items()]), ordx).alias("_first"))
+            aggs.append(F.min(F.when(F.col(c) == F.lit(v), key)).alias(code_cols[(f, v)]))
+    for k, e in session_first.items():
+        aggs.append(F.min_by(e, key).alias(f"_first_{k}"))
 
     g = df.groupBy(F.col(session).alias(session_alias)).agg(*aggs)
 
     out = [F.col(session_alias)]
     for t in domain:
         for f in features:
-            out.append(F.col(f"_t{t}")[f].alias(name.format(t=t, f=f)))
+            out.append(F.col(f"_t{t}_{f}").alias(name.format(t=t, f=f)))
         for f, (c, dom) in codes.items():
-            v_here = F.col(f"_t{t}")[f]
+            v_here = F.col(f"_t{t}_{f}")
             first_here = F.coalesce(
                 *[F.when(v_here == F.lit(v), F.col(code_cols[(f, v)])) for v in dom]
             )
@@ -81,7 +88,7 @@ def pivot_first(
             )
             out.append(F.when(first_here.isNotNull(), earlier).cast("int").alias(name.format(t=t, f=f)))
     for k in session_first:
-        out.append(F.col("_first")[k].alias(k))
+        out.append(F.col(f"_first_{k}").alias(k))
     return g.select(*out)
 
 
@@ -92,7 +99,7 @@ def pivot_onehot(
     domain: Sequence[int],
     column: str,
     values: Sequence[str],
-    order: Sequence[str],
+    order: Sequence[str] | Column,
     *,
     name: str = "trial{t}_{f}_{v}",
     feature: str | None = None,
@@ -101,8 +108,8 @@ def pivot_onehot(
     """``trial{t}_{f}_{v}`` = 1 when the first row of trial ``t`` has
     value ``v`` else 0; null when the session has no such trial."""
     feature = feature or column
-    ordx = order_struct(order)
-    aggs = [F.min_by(F.col(column), F.when(F.col(trial) == F.lit(t), ordx)).alias(f"_t{t}") for t in domain]
+    key = _order_key(order)
+    aggs = [F.min_by(F.col(column), F.when(F.col(trial) == F.lit(t), key)).alias(f"_t{t}") for t in domain]
     aggs += [F.max(F.when(F.col(trial) == F.lit(t), 1)).alias(f"_p{t}") for t in domain]
     g = df.groupBy(F.col(session).alias(session_alias)).agg(*aggs)
     out = [F.col(session_alias)]
@@ -115,14 +122,14 @@ def pivot_onehot(
     return g.select(*out)
 
 
-def first_seen_codes(df: DataFrame, session: str, value: str, order: Sequence[str]) -> DataFrame:
+def first_seen_codes(df: DataFrame, session: str, value: str, order: Sequence[str] | Column) -> DataFrame:
     """W17 as a table: (session, value, code) with code = rank of the value's
     first appearance in the session, 0-based. The window runs over distinct
     (session, value) pairs only, so its partitions are bounded by the number
     of distinct values, not by session size."""
     from pyspark.sql import Window
 
-    firsts = df.groupBy(session, value).agg(F.min(order_struct(order)).alias("_o"))
+    firsts = df.groupBy(session, value).agg(F.min(_order_key(order)).alias("_o"))
     w = Window.partitionBy(session).orderBy("_o")
     return firsts.select(session, value, (F.dense_rank().over(w) - 1).cast("int").alias("code"))
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from trialframe.operators import clean, summary, wide
 from trialframe.plans.registry import register
-from trialframe.sources.tables import TRIAL_ORDER, table, trials
+from trialframe.sources.tables import TRIAL_ROW_KEY_SQL, table, trial_row_key, trials
 
 TRIALS = list(range(1, 8))
 NUM_FEATURES = {"quantity": "l_quantity", "extendedprice": "l_extendedprice",
@@ -25,7 +25,7 @@ FLAG_DOMAIN = ["A", "N", "R"]
 STATUS_MAP = {"F": 1, "O": 0}
 THRESHOLD, BUFFER = 4500.0, 800.0
 
-_ORD_SQL = ", ".join(TRIAL_ORDER)
+_ORD_SQL = TRIAL_ROW_KEY_SQL
 
 
 def wide_sessions(spark, sf):
@@ -33,7 +33,7 @@ def wide_sessions(spark, sf):
     feats = {k: F.col(v) for k, v in NUM_FEATURES.items()}
     feats["status"] = clean.map_values("l_linestatus", STATUS_MAP).cast("int")
     return wide.pivot_first(
-        t, "l_orderkey", "l_linenumber", TRIALS, feats, TRIAL_ORDER,
+        t, "l_orderkey", "l_linenumber", TRIALS, feats, trial_row_key(),
         codes={"flag": ("l_returnflag", FLAG_DOMAIN)},
         session_first={"first_tax": F.col("l_tax"),
                        "first_status": clean.map_values("l_linestatus", STATUS_MAP).cast("int")},
@@ -118,19 +118,17 @@ SELECT {", ".join(sel)} FROM t GROUP BY l_orderkey"""
 def q_session_wide_onehot(spark, sf):
     t = trials(spark, sf, "l_returnflag")
     return wide.pivot_onehot(t, "l_orderkey", "l_linenumber", TRIALS, "l_returnflag",
-                             FLAG_DOMAIN, TRIAL_ORDER, feature="returnflag")
+                             FLAG_DOMAIN, trial_row_key(), feature="returnflag")
 
 
 @register("session_first_seen_codes", f"""
-WITH f AS (SELECT l_orderkey, l_returnflag,
-             min(struct_pack({", ".join(f"{c} := {c}" for c in TRIAL_ORDER)})) AS fo
-           FROM lineitem GROUP BY 1, 2)
+WITH f AS (SELECT l_orderkey, l_returnflag, min({TRIAL_ROW_KEY_SQL}) AS fo FROM lineitem GROUP BY 1, 2)
 SELECT l_orderkey, l_returnflag,
        CAST(dense_rank() OVER (PARTITION BY l_orderkey ORDER BY fo) - 1 AS INTEGER) AS code
 FROM f""")
 def q_session_first_seen_codes(spark, sf):
     t = trials(spark, sf, "l_returnflag")
-    return wide.first_seen_codes(t, "l_orderkey", "l_returnflag", TRIAL_ORDER)
+    return wide.first_seen_codes(t, "l_orderkey", "l_returnflag", trial_row_key())
 
 
 @register("missing_trials", """

@@ -23,6 +23,19 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
+def spread_small_scan(df: DataFrame) -> DataFrame:  # opt-in, not applied by table()
+    """A scan with fewer input splits than task slots (e.g. a file written as
+    a single row group) would run every pre-shuffle operator - filters,
+    map-side partial aggregation - in one task. Spread such a scan once,
+    round-robin, over the available slots. Large inputs already have more
+    splits than slots, so nothing is added to their plan; filters and column
+    pruning still reach the scan below the repartition."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < max(2, slots // 2):
+        return df.repartition(slots)
+    return df
+
+
 # ---------------------------------------------------------------- stand-ins
 # The fixtures carry no nulls, so the frame stand-in injects them the same way
 # the oracle SQL does: every 7th event's value is missing. No row is dropped.
@@ -51,6 +64,24 @@ def trials(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
 TRIAL_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity"]
 
 
+def trial_row_key():
+    """The stand-in's file order as ONE long: trial number in the top bits,
+    then 56 bits of md5 over the tie-break columns. A primitive ordering
+    keeps ``min_by`` buffers fixed-width, so the long->wide aggregate runs as
+    a HashAggregate (a struct ordering forces a sort-based aggregate that
+    sorts every input row). Same value in SQL: ``TRIAL_ROW_KEY_SQL``."""
+    tie = F.concat_ws(":", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"),
+                      F.unix_micros(F.col("l_shipdate").cast("timestamp")).cast("string"),
+                      (F.col("l_quantity") * 100).cast("long").cast("string"))
+    h = F.conv(F.substring(F.md5(tie), 1, 14), 16, 10).cast("long")
+    return F.shiftleft(F.col("l_linenumber").cast("long"), 56) + h
+
+
+TRIAL_ROW_KEY_SQL = ("((CAST(l_linenumber AS BIGINT) << 56) + CAST(('0x' || substr(md5(concat_ws(':', "
+                     "CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR), CAST(epoch_us(l_shipdate) AS VARCHAR), "
+                     "CAST(CAST(l_quantity * 100 AS BIGINT) AS VARCHAR))), 1, 14)) AS BIGINT))")
+
+
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(session_id, subject_id, score, cohort): orders joined to customer."""
     o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
