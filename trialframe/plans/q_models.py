@@ -1 +1,126 @@
-"""Queries (filled in below)."""
+"""Model queries over the equal-length series stand-in (embeddings: a
+64-step series per recording, binary target = label % 2) - rows-only checks,
+no SQL oracle (iterative / randomised fits). Plus the configuration grid
+(J16) derived from the data, which has an exact oracle."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from trialframe.operators import metrics, models, rocket, split
+from trialframe.plans.registry import register
+from trialframe.sources.tables import table
+
+SEED = 42
+N = 64
+K = 3
+
+
+def series_rows(spark, sf):
+    e = table(spark, sf, "embeddings", "vec_id", "embedding", "label")
+    return e.select("vec_id", F.col("embedding").alias("series"),
+                    (F.col("label") % 2).cast("double").alias("y"))
+
+
+def model_frame(spark, sf):
+    """Vector features + stratified fold per recording."""
+    d = models.array_features(series_rows(spark, sf), "series", N)
+    d = split.stratified_kfold(d, "vec_id", "y", K, SEED)
+    return d.withColumnRenamed("vec_id", "row_id")
+
+
+@register("ts_random_conv_features")
+def q_rocket(spark, sf):
+    """Random-convolution (MiniROCKET-style) PPV features per
+    recording; biases fit on a bounded hash-chosen sample."""
+    s = series_rows(spark, sf)
+    params = rocket.fit(rocket.fit_sample(s, "series", "vec_id", 256, SEED), n_features=840, seed=SEED)
+    r = rocket.transform(s, "series", params, ["vec_id", "y"])
+    return r.select("vec_id", "y", F.size("rocket").alias("n_features"),
+                    F.round(F.aggregate("rocket", F.lit(0.0), lambda a, x: a + x) / F.size("rocket"), 6).alias("ppv_mean"))
+
+
+@register("pca_scores")
+def q_pca(spark, sf):
+    """Standardised features -> 5 principal components (signs are
+    arbitrary) and the explained-variance share they cover."""
+    d = models.array_features(series_rows(spark, sf), "series", N)
+    p, ev = models.pca_scores(d, 5)
+    arr = models.vector_to_array("pca")
+    return p.select("vec_id", *[F.round(arr[i], 6).alias(f"pc{i + 1}") for i in range(5)],
+                    F.lit(round(sum(ev), 6)).alias("explained"))
+
+
+def _oof(spark, sf):
+    d = model_frame(spark, sf)
+    reg = models.classifiers("y", SEED)
+    chosen = {"logistic": reg["logistic"], "naive_bayes": reg["naive_bayes"],
+              "random_forest": lambda: models.RandomForestClassifier(labelCol="y", numTrees=50, maxDepth=8, seed=SEED)}
+    return models.out_of_fold(d, "y", "fold", chosen, row_id="row_id", scale=True)
+
+
+@register("oof_predictions")
+def q_oof(spark, sf):
+    """Out-of-fold scores for every (model, fold) in one long table."""
+    return _oof(spark, sf).select("row_id", "model", "fold", "y_true", F.round("score", 6).alias("score"))
+
+
+@register("oof_model_auc")
+def q_oof_auc(spark, sf):
+    """E16 on real out-of-fold predictions, per model."""
+    return metrics.roc_auc(_oof(spark, sf), "model").select("model", F.round("auc", 6).alias("auc"))
+
+
+@register("tuned_model")
+def q_tuned(spark, sf):
+    """Grid search over the logistic penalty with the fold column."""
+    d = model_frame(spark, sf)
+    est = models.LogisticRegression(labelCol="y", maxIter=50)
+    _, rows = models.tune(d, "y", "fold", est, {"regParam": [0.0, 0.01, 0.1, 1.0]}, parallelism=2)
+    best = max(r[1] for r in rows)
+    data = [(float(p["regParam"]), round(s, 6), int(s == best)) for p, s in rows]
+    return spark.createDataFrame(data, "reg_param double, mean_auc double, is_best int")
+
+
+@register("feature_importance")
+def q_importance(spark, sf):
+    """Random-forest importances, top 20."""
+    d = model_frame(spark, sf)
+    m = models.RandomForestClassifier(labelCol="y", numTrees=50, maxDepth=8, seed=SEED).fit(d)
+    imp = models.importances(m, [f"t{i}" for i in range(N)])
+    df = spark.createDataFrame([(n, round(v, 6)) for n, v in imp], "feature string, importance double")
+    return metrics.top_k(df, [], [F.desc("importance"), F.asc("feature")], 20)
+
+
+@register("rfecv_selection")
+def q_rfecv(spark, sf):
+    """Recursive feature elimination with CV AUC per round."""
+    d = series_rows(spark, sf)
+    cols = [f"t{i}" for i in range(N)]
+    d = d.select("vec_id", "y", *[F.col("series")[i].cast("double").alias(c) for i, c in enumerate(cols)])
+    d = split.stratified_kfold(d, "vec_id", "y", K, SEED).cache()
+    make = lambda: models.RandomForestClassifier(labelCol="y", numTrees=20, maxDepth=6, seed=SEED)
+    rounds = models.rfecv(d, "y", "fold", cols, make, step=0.5, min_features=8)
+    best = max(r[1] for r in rounds)
+    return spark.createDataFrame([(n, round(a, 6), int(a == best), ",".join(f)) for n, a, f in rounds],
+                                 "n_features int, cv_auc double, is_best int, features string")
+
+
+TARGETS = ["quality", "toxic"]
+COMPONENTS = [5, 10]
+
+
+@register("variation_grid", f"""
+WITH v AS (SELECT lang AS variation, count(*) AS n_rows FROM labels JOIN documents USING (doc_id) GROUP BY lang)
+SELECT variation, target, CAST(n_components AS INTEGER) AS n_components, n_rows
+FROM v, (SELECT unnest({TARGETS}) AS target), (SELECT unnest({COMPONENTS}) AS n_components)""")
+def q_variation_grid(spark, sf):
+    """Every (cohort variation, target, component count) to run, with
+    the labelled rows each variation has. The axes are short literal lists
+    expanded with explode on the per-variation rows (no join)."""
+    lab = table(spark, sf, "labels", "doc_id")
+    doc = table(spark, sf, "documents", "doc_id", "lang")
+    v = lab.join(doc, "doc_id").groupBy(F.col("lang").alias("variation")).agg(F.count(F.lit(1)).alias("n_rows"))
+    v = v.withColumn("target", F.explode(F.array(*[F.lit(t) for t in TARGETS])))
+    v = v.withColumn("n_components", F.explode(F.array(*[F.lit(c) for c in COMPONENTS])))
+    return v.select("variation", "target", "n_components", "n_rows")
