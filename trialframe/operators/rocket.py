@@ -93,19 +93,32 @@ def fit(sample: np.ndarray, n_features: int = 840, seed: int = 42) -> RocketPara
     return RocketParams(d, counts, np.concatenate(biases).astype(np.float32))
 
 
-def transform_array(x: np.ndarray, p: RocketParams) -> np.ndarray:
+def transform_batch(X: np.ndarray, p: RocketParams) -> np.ndarray:
+    """PPV features for a batch of equal-length series X (B, L) -> (B, F);
+    one batched convolution per (kernel, dilation)."""
     w = _kernels()
-    out = np.empty(p.n_features, dtype=np.float32)
+    B, L = X.shape
+    out = np.zeros((B, p.n_features), dtype=np.float32)
     j = 0
     for di, (dil, cnt) in enumerate(zip(p.dilations, p.counts)):
+        dil = int(dil)
+        half = (KERNEL_LEN // 2) * dil
+        Xp = np.pad(X, ((0, 0), (half, half)))
+        full = np.arange(L)[:, None] + np.arange(KERNEL_LEN)[None, :] * dil      # (L, 9)
+        C_all = Xp[:, full] @ w.T                                                # (B, L, 84)
         for k in range(len(w)):
-            c = conv(x, w[k], int(dil), pad=(di + k) % 2 == 0)
+            c = C_all[:, :, k] if (di + k) % 2 == 0 else C_all[:, half:L - half, k]
             b = p.biases[j:j + cnt]
-            out[j:j + cnt] = (c[None, :] > b[:, None]).mean(axis=1) if c.size else 0.0
+            if c.shape[1]:
+                out[:, j:j + cnt] = (c[:, None, :] > b[None, :, None]).mean(axis=2)
             j += cnt
     return out
 
 
+def transform_array(x: np.ndarray, p: RocketParams) -> np.ndarray:
+    return transform_batch(np.asarray(x, dtype=np.float32)[None, :], p)[0]
+
+
 def fit_sample(df: DataFrame, series: str, id_col: str, fit_rows: int = 256, seed: int = 42) -> np.ndarray:
     """Bounded, deterministic fit sample: the ``fit_rows`` recordings with
     the smallest hash (a top-k that is the feature: the fit sample size)."""
@@ -125,9 +138,12 @@ def transform(df: DataFrame, series: str, p: RocketParams, keep: list[str], out:
 
     def run(batches):
         for pdf in batches:
-            feats = [transform_array(np.asarray(s, dtype=np.float32), p) for s in pdf[series]]
+            if len(pdf) == 0:
+                continue
+            X = np.stack([np.nan_to_num(np.asarray(s, dtype=np.float32)) for s in pdf[series]])
+            feats = transform_batch(X, p)
             res = pdf[keep].copy()
-            res[out] = pd.Series([f.tolist() for f in feats], index=pdf.index)
+            res[out] = pd.Series(list(feats), index=pdf.index)
             yield res
 
     return df.select(*keep, series).mapInPandas(run, schema)
