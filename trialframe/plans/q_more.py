@@ -17,7 +17,7 @@ R6 = 6
 
 @register("second_score_join", f"""
 WITH s AS ({SCORES_SQL}),
-r AS (SELECT o_orderkey AS session_id, o_totalprice / 1000 AS score2 FROM orders
+r AS (SELECT o_orderkey AS session_id, floor(o_totalprice) / 1000 AS score2 FROM orders
       WHERE o_orderpriority IN ('1-URGENT', '2-HIGH'))
 SELECT session_id, score, round(score2, 6) AS score2, round(score + score2, 6) AS score_sum,
        round(score * score2, 6) AS score_product FROM s LEFT JOIN r USING (session_id)""")
@@ -27,7 +27,7 @@ def q_second_score(spark, sf):
     s = session_scores(spark, sf).select("session_id", "score")
     r = table(spark, sf, "orders", "o_orderkey", "o_totalprice", "o_orderpriority").where(
         F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).select(
-        F.col("o_orderkey").alias("session_id"), (F.col("o_totalprice") / 1000).alias("score2"))
+        F.col("o_orderkey").alias("session_id"), (F.floor("o_totalprice") / 1000).alias("score2"))
     j = s.join(r, "session_id", "left")
     return j.select("session_id", "score", F.round("score2", R6).alias("score2"),
                     F.round(F.col("score") + F.col("score2"), R6).alias("score_sum"),
