@@ -42,7 +42,7 @@ def test_zscore_constant_series_is_null(spark):
 def test_velocity_previous_valid_and_dt(spark):
     rows = [("r", 1, 0, 1.0), ("r", 2, 1_000_000, None), ("r", 3, 2_000_000, 5.0), ("r", 4, 2_000_000, 9.0)]
     df = spark.createDataFrame(rows, "g string, id long, us long, v double").withColumn(
-        "ts", F.timestamp_micros("us"))
+        "ts", F.timestamp_micros("us").cast("timestamp_ntz"))
     out = series.lag_velocity(df, "g", ["ts", "id"], F.lit(0), "ts", ["v"], valid=F.col("v").isNotNull())
     got = {r.id: r.v_velocity for r in out.collect()}
     assert got == {1: 0.0, 3: 2.0, 4: 0.0}  # first -> 0, skips invalid, dt = 0 -> 0

@@ -31,9 +31,24 @@ from pyspark.sql import functions as F
 DAY_MICROS = 86_400_000_000
 
 
+def epoch_micros(ts_col: str | Column) -> Column:
+    """Microseconds since 1970-01-01 00:00 of a ``timestamp_ntz`` column as
+    pure wall-clock arithmetic, so the session time zone never changes the
+    value (``cast(ntz as timestamp)`` would)."""
+    c = F.col(ts_col) if isinstance(ts_col, str) else ts_col
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c)
+
+
+def micros_between(start: str | Column, end: str | Column) -> Column:
+    """end - start in microseconds (exact for timestamp and timestamp_ntz)."""
+    s = F.col(start) if isinstance(start, str) else start
+    e = F.col(end) if isinstance(end, str) else end
+    return F.timestamp_diff("MICROSECOND", s, e)
+
+
 def time_chunk(ts_col: str, width_micros: int = DAY_MICROS) -> Column:
     """Chunk id for a timestamp / timestamp_ntz order column."""
-    return F.floor(F.unix_micros(F.col(ts_col).cast("timestamp")) / F.lit(width_micros)).cast("long")
+    return F.floor(epoch_micros(ts_col) / F.lit(width_micros)).cast("long")
 
 
 def int_chunk(col: str, width: int = 4096) -> Column:

@@ -89,7 +89,7 @@ def lag_velocity(df: DataFrame, rec, order, chunk: Column, ts: str, cols: Sequen
     lags = {f"_prev_{c}": c for c in cols}
     lags["_prev_ts"] = ts
     sc = ordered.scan(d, rec, order, chunk, lag=lags)
-    dt = (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("_prev_ts").cast("timestamp"))) / 1e6
+    dt = ordered.micros_between("_prev_ts", ts) / 1e6
     out = {}
     for c in cols:
         out[f"{c}{suffix}"] = F.when(F.col("_prev_ts").isNotNull() & (dt > 0),
@@ -169,7 +169,7 @@ def cumsum_clip(df: DataFrame, rec, order, chunk: Column, col: str, lo: float, h
 def intervals(df: DataFrame, rec, order, chunk: Column, ts: str, out: str = "dt_s") -> DataFrame:
     """Seconds since the previous row of the recording (null on first)."""
     sc = ordered.scan(df, rec, order, chunk, lag={"_pts": ts})
-    dt = (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("_pts").cast("timestamp"))) / 1e6
+    dt = ordered.micros_between("_pts", ts) / 1e6
     return sc.withColumn(out, dt).drop("_pts")
 
 

@@ -70,8 +70,10 @@ def trial_row_key():
     keeps ``min_by`` buffers fixed-width, so the long->wide aggregate runs as
     a HashAggregate (a struct ordering forces a sort-based aggregate that
     sorts every input row). Same value in SQL: ``TRIAL_ROW_KEY_SQL``."""
+    from trialframe.operators.ordered import epoch_micros
+
     tie = F.concat_ws(":", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"),
-                      F.unix_micros(F.col("l_shipdate").cast("timestamp")).cast("string"),
+                      epoch_micros("l_shipdate").cast("string"),
                       (F.col("l_quantity") * 100).cast("long").cast("string"))
     h = F.conv(F.substring(F.md5(tie), 1, 14), 16, 10).cast("long")
     return F.shiftleft(F.col("l_linenumber").cast("long"), 56) + h

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from trialframe.operators.ordered import epoch_micros
+
 OUT_SCHEMA = "event_id long, user_id long, event_type string, velocity double"
 STATE_SCHEMA = "prev_value double, prev_ts long"
 
@@ -44,6 +46,6 @@ def stateful_velocity(stream: DataFrame) -> DataFrame:
     """Valid frames only (value not null); keyed by (user_id, event_type)."""
     s = stream.where(F.col("value").isNotNull()).select(
         "event_id", "user_id", "event_type", "value",
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"))
+        epoch_micros("ts").alias("ts_us"))
     return s.groupBy("user_id", "event_type").applyInPandasWithState(
         _velocity, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
