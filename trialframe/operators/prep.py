@@ -27,9 +27,12 @@ def fit_impute_scale(long: DataFrame, train: Column, feature: str = "feature", v
     """M10 + M11 fit on the train rows: per feature the exact interpolated
     median (pandas / SimpleImputer semantics), then mean and population std
     (ddof 0) of the *imputed* train values; zero std -> scale 1."""
-    tr = long.where(train)
-    med = tr.groupBy(feature).agg(F.median(value).alias("median"))
-    imp = attach(tr, med, [feature], "inner").withColumn("_x", F.coalesce(F.col(value), F.col("median")))
+    # conditional aggregates instead of a filtered copy: the fit and apply
+    # branches then share one identical input subtree, so its shuffle is
+    # reused instead of recomputing the upstream plan for the fit
+    med = long.groupBy(feature).agg(F.median(F.when(train, F.col(value))).alias("median"))
+    imp = attach(long, med, [feature], "inner").withColumn(
+        "_x", F.when(train, F.coalesce(F.col(value), F.col("median"))))
     st = imp.groupBy(feature).agg(F.first("median").alias("median"), F.avg("_x").alias("mean"),
                                   F.stddev_pop("_x").alias("std"))
     return st.withColumn("scale", F.when(F.col("std") == 0, F.lit(1.0)).otherwise(F.col("std")))
