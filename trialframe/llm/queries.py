@@ -45,3 +45,28 @@ def op7_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trialframe.llm import mixing
 
     return mixing.replicate(table(spark, sf_dir, "documents"))
+
+
+@register
+def op4_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trialframe.llm import minmax_dedup
+
+    return minmax_dedup.find(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op4_minmax_near_dedup"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) END AS sh FROM w
+), e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s
+), links AS (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM e x JOIN e y ON x.g = y.g AND x.doc_id <> y.doc_id
+  GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))
+), reach(a, b) AS (
+  SELECT doc_id, doc_id FROM s UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
+), c AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT s.doc_id, len(s.sh) AS n_shingles, c.component_id, c.component_id = s.doc_id AS kept FROM s JOIN c USING (doc_id)
+"""
