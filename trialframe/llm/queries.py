@@ -70,3 +70,28 @@ WITH RECURSIVE w AS (
 ), c AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT s.doc_id, len(s.sh) AS n_shingles, c.component_id, c.component_id = s.doc_id AS kept FROM s JOIN c USING (doc_id)
 """
+
+
+@register
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trialframe.llm import substring_dedup
+
+    return substring_dedup.remove(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+ORACLE["op9_substring_dedup"] = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), win AS (
+  SELECT doc_id, s, array_to_string(ws[s:s + 19], ' ') AS g FROM w, unnest(range(1, len(ws) - 18)) AS r(s)
+), late AS (
+  SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY g ORDER BY doc_id, s) AS k FROM win) WHERE k > 1
+), gone AS (SELECT DISTINCT doc_id, s + o AS p FROM late, unnest(range(0, 20)) AS r(o)),
+words AS (SELECT doc_id, p, ws[p] AS word FROM w, unnest(range(1, len(ws) + 1)) AS r(p)),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS body
+  FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+)
+SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
