@@ -95,3 +95,10 @@ kept AS (
 SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
 FROM w LEFT JOIN kept USING (doc_id)
 """
+
+
+@register
+def op10_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trialframe.llm import packing
+
+    return packing.pack(table(spark, sf_dir, "documents"))
