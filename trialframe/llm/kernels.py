@@ -62,11 +62,11 @@ class Words:
     each text's words (len = texts + 1).
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray = _IS_WORD_BYTE):
         self.data = data
         self.offsets = offsets
         n = len(data)
-        w = _IS_WORD_BYTE[data]
+        w = word_bytes[data]
         start = w.copy()
         end = w.copy()
         if n:
@@ -134,6 +134,15 @@ def slices(texts: pa.Array, lower: bool = False) -> Iterator[tuple[int, int, np.
         i = j
 
 
+def lower_latin(data: np.ndarray) -> np.ndarray:
+    """A-Z and the two-byte capitals U+00C0..U+00DE in lower case."""
+    out = _LOWER[data]
+    if len(out) > 1:
+        capital = (out[:-1] == 0xC3) & (out[1:] >= 0x80) & (out[1:] <= 0x9E) & (out[1:] != 0x97)
+        out[1:][capital] += 0x20
+    return out
+
+
 def code_point_index(data: np.ndarray) -> np.ndarray:
     """For each byte offset 0..n, the number of code points before it."""
     out = np.zeros(len(data) + 1, dtype=np.int64)

@@ -102,3 +102,15 @@ def op10_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trialframe.llm import packing
 
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@register
+def op5_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trialframe.llm import pu_quality
+    from trialframe.llm.helpers import held_out
+
+    docs = table(spark, sf_dir, "documents")
+    trusted = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")) & (F.col("quality") == 1)).select("doc_id")
+    return pu_quality.score(docs, trusted).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
