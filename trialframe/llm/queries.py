@@ -114,3 +114,16 @@ def op5_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_quality.score(docs, trusted).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
+
+
+@register
+def op1_deobfuscated_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trialframe.llm import toxicity
+    from trialframe.llm.helpers import held_out
+
+    labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"))).select("doc_id", "toxic")
+    scored = toxicity.score(table(spark, sf_dir, "documents").select("doc_id", "text"), labels)
+    return scored.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"),
+        F.size("restored").cast("long").alias("n_restored"),
+    )
