@@ -127,3 +127,48 @@ def op1_deobfuscated_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"),
         F.size("restored").cast("long").alias("n_restored"),
     )
+
+
+@register
+def op2_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trialframe.llm import decontaminate
+
+    found = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("items", F.concat_ws(",", "items"))
+
+
+ORACLE["op2_template_decontamination"] = r"""
+WITH texts AS (
+  SELECT 'd' AS kind, doc_id AS id, coalesce(text, '') AS text FROM documents
+  UNION ALL SELECT 'b', item_id, coalesce(text, '') FROM benchmark
+), canon AS (
+  SELECT kind, id,
+    regexp_extract_all(translate(regexp_replace(lower(regexp_replace(regexp_replace(text, '([\p{Ll},;] )\p{Lu}\p{L}*', '\1<name>', 'g'),
+      '[0-9]+([.,][0-9]+)*', '<num>', 'g')), '<num>( ?)(kmh|km|kg|cm|mm|ml|min|mph|m|g|l|s|h|usd|eur)\b', '<num>\1<unit>', 'g'),
+      '.,;:!?"()[]', ''), '[^\x20\x09-\x0D]+') AS t,
+    regexp_extract_all(translate(text, '.,;:!?"()[]', ''), '[^\x20\x09-\x0D]+') AS v
+  FROM texts
+), win AS (
+  SELECT kind, id, p, array_to_string(t[p:p + 7], ' ') AS w,
+    len(list_filter(t[p:p + 7], lambda x: NOT (contains(x, '<num>') OR contains(x, '<name>')))) AS literal
+  FROM canon, unnest(range(1, len(t) - 6)) AS r(p)
+), b AS (SELECT id AS item, p AS bpos, w FROM win WHERE kind = 'b' AND literal >= 5),
+need AS (SELECT item, count(*) AS of_item FROM b GROUP BY item),
+run AS (
+  SELECT d.id AS doc_id, b.item, d.p - b.bpos AS diagonal, min(d.p) AS first, max(d.p) AS last, count(DISTINCT d.p) AS windows
+  FROM win d JOIN b ON d.w = b.w WHERE d.kind = 'd' GROUP BY ALL
+), long AS (SELECT run.* FROM run JOIN need USING (item) WHERE windows >= least(6, of_item)),
+pairs AS (
+  SELECT l.doc_id, l.item, l.diagonal, x.v[p - l.diagonal] AS bv, y.v[p] AS dv
+  FROM long l JOIN canon x ON x.kind = 'b' AND x.id = l.item JOIN canon y ON y.kind = 'd' AND y.id = l.doc_id,
+    unnest(range(l.first, l.last + 8)) AS r(p)
+  WHERE contains(x.t[p - l.diagonal], '<num>') OR contains(x.t[p - l.diagonal], '<name>')
+), bad AS (
+  SELECT doc_id, item, diagonal FROM pairs GROUP BY ALL HAVING count(DISTINCT bv) <> count(DISTINCT (bv, dv))
+), hit AS (
+  SELECT doc_id, max(windows) AS n_windows, array_to_string(list_sort(list(DISTINCT item)), ',') AS items
+  FROM long ANTI JOIN bad USING (doc_id, item, diagonal) GROUP BY doc_id
+)
+SELECT d.doc_id, n_windows IS NOT NULL AS contaminated, coalesce(n_windows, 0) AS n_windows, coalesce(items, '') AS items
+FROM documents d LEFT JOIN hit USING (doc_id)
+"""
