@@ -172,3 +172,10 @@ pairs AS (
 SELECT d.doc_id, n_windows IS NOT NULL AS contaminated, coalesce(n_windows, 0) AS n_windows, coalesce(items, '') AS items
 FROM documents d LEFT JOIN hit USING (doc_id)
 """
+
+
+@register
+def op8_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trialframe.llm import pii
+
+    return pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
