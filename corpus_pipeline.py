@@ -1,15 +1,60 @@
-"""The corpus pipeline: its stages in order, each over all its predecessor kept."""
+"""The corpus pipeline: quality, near copies, benchmark leaks, mixing, packing.
+
+Each stage takes the documents that its predecessor kept and works on all of
+them. All but the last return the columns of documents; mixing returns a row
+for each copy, in shuffled order.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trialframe.llm import decontaminate, minmax_dedup, mixing, packing, pu_quality
+from trialframe.llm.helpers import checkpointed, held_out, table
 
-STAGES: list = []
 ORACLE_SQL = None
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that the positive-unlabelled classifier rejects."""
+    labels = table(spark, sf_dir, "labels")
+    trusted = labels.where(~held_out(F.col("doc_id")) & (F.col("quality") == 1)).select("doc_id")
+    return pu_quality.score(docs, trusted, out_col="_score").where("_score >= 0.5").select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the smallest id of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    found = minmax_dedup.find(docs, percent=80, shingle=5, bands=38, rows=5)
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_id"))
+    return docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+
+
+def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that hold a benchmark item, re-parameterised or not."""
+    found = decontaminate.find(docs, table(spark, sf_dir, "benchmark"))
+    gone = found.where("contaminated").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Equal weight for every source, as many rows as before on average."""
+    return mixing.replicate(docs).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows of token ids."""
+    return packing.pack(docs)
+
+
+STAGES = [("quality", quality), ("near_copies", near_copies), ("leaks", leaks), ("mixture", mixture), ("packed", packed)]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages over documents, each result cut off in the shared folder."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = checkpointed(docs)
     return docs

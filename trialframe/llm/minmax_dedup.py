@@ -1,10 +1,11 @@
 """Near-duplicate documents by min-max hashing.
 
-A document's set is its distinct word shingles. Each of ``BANDS * ROWS / 2``
+A document's set is its distinct word shingles. Each of ``bands * rows / 2``
 permutations of the shingle hashes keeps its minimum and its maximum, so one
-evaluation gives two signature values; bands of ROWS values are hashed and
-documents that share a band hash are candidates. At the threshold 0.85 a pair
-is missed by all bands with probability (1 - 0.85**6)**32 < 3e-7.
+evaluation gives two signature values; bands of ``rows`` values are hashed and
+documents that share a band hash are candidates. A pair at the threshold t is
+missed by all bands with probability (1 - t**rows)**bands: under 3e-7 at 0.85
+with 32 bands of 6, and at 0.8 with 38 bands of 5.
 
 1. Documents with equal sets are one class; only its smallest id goes on.
 2. Candidates are linked to the smallest id of each of their band buckets (a
@@ -35,15 +36,14 @@ from trialframe.llm.components import components
 from trialframe.llm.helpers import attach, checkpointed
 from trialframe.llm.kernels import Words, gram_hashes, mix64, slices
 
-BANDS, ROWS = 32, 6
 BLOCK = 2000
 BIN = 1000
 CHUNK = 4096
 _SIGN = "doc_id long, n long, key binary, bands array<long>"
 
 
-def _multipliers() -> np.ndarray:
-    return mix64(np.arange(1, BANDS * ROWS // 2 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+def _multipliers(n: int) -> np.ndarray:
+    return mix64(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
 def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -73,22 +73,22 @@ def signature(s: np.ndarray, mult: np.ndarray) -> np.ndarray:
     return np.concatenate([low, high])
 
 
-def _sign(shingle: int):
+def _sign(shingle: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mult = _multipliers()
-        place = np.uint64(0xD1342543DE82EF95) ** np.arange(ROWS, dtype=np.uint64)
+        mult = _multipliers((bands * rows + 1) // 2)
+        place = np.uint64(0xD1342543DE82EF95) ** np.arange(rows, dtype=np.uint64)
         for batch in batches:
             n, keys, sigs = [], [], []
             for s in shingle_sets(batch.column(1), shingle):
                 n.append(len(s))
                 keys.append(np.array([np.bitwise_xor.reduce(mix64(s)) if len(s) else 0, s.sum(dtype=np.uint64), len(s)], dtype=np.uint64).tobytes())
                 sigs.append(signature(s, mult))
-            v = np.array(sigs, dtype=np.uint64).reshape(-1, BANDS, ROWS)
-            bands = mix64((v * place).sum(2, dtype=np.uint64) + mix64(np.arange(1, BANDS + 1, dtype=np.uint64))[None, :])
-            flat = pa.array(bands.ravel().view(np.int64))
+            v = np.array(sigs, dtype=np.uint64).reshape(len(sigs), -1)[:, : bands * rows].reshape(-1, bands, rows)
+            hashed = mix64((v * place).sum(2, dtype=np.uint64) + mix64(np.arange(1, bands + 1, dtype=np.uint64))[None, :])
+            flat = pa.array(hashed.ravel().view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()),
-                 pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS), flat)],
+                 pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * bands), flat)],
                 names=["doc_id", "n", "key", "bands"],
             )
 
@@ -143,11 +143,11 @@ def _link(shingle: int, percent: int):
 
 
 def find(
-    docs: DataFrame, percent: int = 85, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, percent: int = 85, shingle: int = 3, bands: int = 32, rows: int = 6, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """docs -> (id, n_shingles, component_id, kept), one row for each of docs."""
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
-    signed = checkpointed(d.mapInArrow(_sign(shingle), _SIGN))
+    signed = checkpointed(d.mapInArrow(_sign(shingle, bands, rows), _SIGN))
     classes = checkpointed(
         signed.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"))
     )
