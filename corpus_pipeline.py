@@ -20,21 +20,21 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the positive-unlabelled classifier rejects."""
     labels = table(spark, sf_dir, "labels")
     trusted = labels.where(~held_out(F.col("doc_id")) & (F.col("quality") == 1)).select("doc_id")
-    return pu_quality.score(docs, trusted, out_col="_score").where("_score >= 0.5").select(*docs.columns)
+    return pu_quality.score(docs, trusted, out_col="__score").where("__score >= 0.5").select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the smallest id of each group of near copies: five-word shingles, similarity 0.8 or more."""
     found = minmax_dedup.find(docs, percent=80, shingle=5, bands=38, rows=5)
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_id"))
-    return docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("__id"))
+    return docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that hold a benchmark item, re-parameterised or not."""
     found = decontaminate.find(docs, table(spark, sf_dir, "benchmark"))
-    gone = found.where("contaminated").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    gone = found.where("contaminated").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,18 +40,18 @@ def attach(big: DataFrame, small: DataFrame, key: str, weight: str, max_rows: in
     broadcast and the others go through a shuffle join, where none is hot.
     Null keys join with the null key of ``small``.
     """
-    right = small.drop(weight).withColumnRenamed(key, "_k")
-    on = F.col(key).eqNullSafe(F.col("_k"))
+    right = small.drop(weight).withColumnRenamed(key, "__k")
+    on = F.col(key).eqNullSafe(F.col("__k"))
     if small.limit(max_rows + 1).count() <= max_rows:
-        return big.join(F.broadcast(right), on, "left").drop("_k")
+        return big.join(F.broadcast(right), on, "left").drop("__k")
     total = small.agg(F.sum(weight)).scalar()
     hot = F.col(weight) * 1000 >= total
-    heavy = small.where(hot).drop(weight).withColumnRenamed(key, "_k")
-    rest = small.where(~hot).drop(weight).withColumnRenamed(key, "_k")
-    keys = F.broadcast(heavy.select("_k"))
+    heavy = small.where(hot).drop(weight).withColumnRenamed(key, "__k")
+    rest = small.where(~hot).drop(weight).withColumnRenamed(key, "__k")
+    keys = F.broadcast(heavy.select("__k"))
     return (
-        big.join(F.broadcast(heavy), on, "inner").drop("_k")
-        .unionByName(big.join(keys, on, "left_anti").join(rest, on, "left").drop("_k"))
+        big.join(F.broadcast(heavy), on, "inner").drop("__k")
+        .unionByName(big.join(keys, on, "left_anti").join(rest, on, "left").drop("__k"))
     )
 
 

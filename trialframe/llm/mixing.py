@@ -80,17 +80,17 @@ def replicate(
     docs = docs.drop("copy_no", "mix_rate", "shuffle_key")
     rates = source_rates(docs, shares, repeat, source_col)
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    known = rates.select(F.col(source_col), "n", F.struct("rate", "parts", "cdf").alias("_mix"))
+    known = rates.select(F.col(source_col), "n", F.struct("rate", "parts", "cdf").alias("__mix"))
     # no copies of what cannot be drawn: the smallest k whose cumulative probability exceeds u
     draw = F.aggregate(
-        F.sequence(F.lit(1), F.col("_mix.parts")), F.lit(0),
-        lambda acc, part: acc + F.size(F.filter(F.col("_mix.cdf"), lambda c: c <= hashed_uniform(key, part.cast("string"), F.lit(seed)))),
+        F.sequence(F.lit(1), F.col("__mix.parts")), F.lit(0),
+        lambda acc, part: acc + F.size(F.filter(F.col("__mix.cdf"), lambda c: c <= hashed_uniform(key, part.cast("string"), F.lit(seed)))),
     )
-    one = F.size(F.filter(F.col("_mix.cdf"), lambda c: c <= F.col("_u")))
-    out = attach(docs, known, source_col, "n").withColumn("_u", hashed_uniform(key, F.lit("1"), F.lit(seed)))
-    out = out.withColumn("_copies", F.when(F.col("_mix.parts") == 1, one).otherwise(draw)).where("_copies > 0")
-    out = out.withColumn("mix_rate", F.col("_mix.rate")).drop("_mix", "_u")
-    out = out.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copies")
+    one = F.size(F.filter(F.col("__mix.cdf"), lambda c: c <= F.col("__u")))
+    out = attach(docs, known, source_col, "n").withColumn("__u", hashed_uniform(key, F.lit("1"), F.lit(seed)))
+    out = out.withColumn("__copies", F.when(F.col("__mix.parts") == 1, one).otherwise(draw)).where("__copies > 0")
+    out = out.withColumn("mix_rate", F.col("__mix.rate")).drop("__mix", "__u")
+    out = out.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__copies")
     digits = F.substring(F.md5(F.concat_ws(":", key, F.col("copy_no").cast("string"), F.lit(seed), F.lit("order"))), 1, 15)
     out = out.withColumn("shuffle_key", F.conv(digits, 16, 10).cast("bigint"))
     return out.orderBy("shuffle_key", id_col, "copy_no")

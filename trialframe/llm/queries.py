@@ -179,3 +179,67 @@ def op8_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trialframe.llm import pii
 
     return pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _shrunk_sql(level: str) -> str:
+    """Posterior mean and prior strength of each row of a level (n, k, m)."""
+    return f"""
+  SELECT t.*, 1.0 / rho - 1 AS strength, round((k + (1.0 / rho - 1) * m) / (n + (1.0 / rho - 1)), 9) AS mean
+  FROM {level} t, (
+    SELECT round(greatest(1e-4, least(0.99, coalesce(
+      (sum(n * pow(k / nullif(n, 0) - m, 2)) FILTER (n > 0) - sum(m * (1 - m)) FILTER (n > 0))
+      / nullif(sum((n - 1) * (m * (1 - m))) FILTER (n > 0), 0.0), 0.0))), 6) AS rho FROM {level})"""
+
+
+ORACLE["op3_url_reputation"] = rf"""
+WITH p AS (
+  SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{_UPPER}', '{_LOWER}'), '') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages
+), worst AS (SELECT doc_id AS page_id, min(quality) AS good FROM labels GROUP BY doc_id),
+h0 AS (
+  SELECT host, count(*) AS n_pages, count(good) AS n, coalesce(sum(good), 0) AS k FROM p LEFT JOIN worst USING (page_id) GROUP BY host
+), h AS (
+  SELECT *, CASE WHEN regexp_full_match(host, '[0-9.]+') THEN host ELSE array_to_string(string_split(host, '.')[-2:], '.') END AS domain,
+    string_split(host, '.')[-1] AS suffix FROM h0
+), s0 AS (
+  SELECT suffix, sum(n) AS n, sum(k) AS k, (SELECT round((sum(k) + 1) / (sum(n) + 2), 9) FROM h) AS m FROM h GROUP BY suffix
+), s1 AS ({_shrunk_sql("s0")}),
+d0 AS (SELECT domain, h.suffix, sum(h.n) AS n, sum(h.k) AS k, any_value(s1.mean) AS m FROM h JOIN s1 USING (suffix) GROUP BY domain, h.suffix),
+d1 AS ({_shrunk_sql("d0")}),
+g0 AS (SELECT h.*, d1.mean AS m FROM h JOIN d1 ON h.domain = d1.domain AND h.suffix = d1.suffix),
+g1 AS ({_shrunk_sql("g0")}),
+host AS (SELECT host, mean, round(mean - 1.645 * sqrt(mean * (1 - mean) / (n + strength + 1)), 6) AS bound FROM g1),
+j AS (
+  SELECT p.*, mean, bound, CASE
+    WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule
+  FROM p JOIN host USING (host)
+)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+  WHEN bound >= 0.6 THEN 'allow' ELSE 'block' END AS verdict, mean AS good_mean, bound AS good_bound FROM j
+"""
+
+# for rates up to mixing.PART, as they are with equal shares here
+ORACLE["op7_poisson_mixing"] = r"""
+WITH RECURSIVE c AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+rate AS (
+  SELECT source, round((1.0::DOUBLE * (1.0::DOUBLE / (SELECT count(*) FROM c)) * (SELECT sum(n) FROM c)::DOUBLE) / n, 9) AS m FROM c
+), cdf(source, m, i, p, s) AS (
+  SELECT source, m, 0, exp(-m), exp(-m) FROM rate
+  UNION ALL SELECT source, m, i + 1, p * m / (i + 1), s + p * m / (i + 1) FROM cdf WHERE i < ceil(m + 12 * sqrt(m) + 24)
+), u AS (
+  SELECT d.*, CAST('0x' || substr(md5(doc_id || ':1:mix'), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS u FROM documents d
+), drawn AS (
+  SELECT u.doc_id, u.text, u.lang, u.source, u.n_chars, cdf.m, count(*) AS copies
+  FROM u JOIN cdf ON u.source = cdf.source AND round(cdf.s, 12) <= u.u GROUP BY ALL
+)
+SELECT doc_id, text, lang, source, n_chars, m AS mix_rate, copy_no,
+  CAST('0x' || substr(md5(doc_id || ':' || copy_no || ':mix:order'), 1, 15) AS BIGINT) AS shuffle_key
+FROM drawn, unnest(range(1, copies + 1)) AS r(copy_no)
+"""

@@ -262,4 +262,4 @@ def score(
     lm = language_model(docs, text_col)
     lexicon, weight = train(docs, labels, lm, max_labelled, id_col, text_col)
     rate = F.arrow_udf(_rate(lm, lexicon, weight), "struct<score:double,restored:array<string>>")
-    return docs.withColumn("_rated", rate(F.col(text_col))).select(*docs.drop("score", "restored").columns, "_rated.score", "_rated.restored")
+    return docs.withColumn("__rated", rate(F.col(text_col))).select(*docs.drop("score", "restored").columns, "__rated.score", "__rated.restored")
