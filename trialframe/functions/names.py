@@ -52,10 +52,11 @@ def insert_token(c: str | Column, token: str, from_end: int = 3, sep: str = "_",
 
 
 def epoch_from_name(c: str | Column) -> Column:
-    """First 13-digit run, else first 10-digit run, else 0, as long.
-    ``regexp_extract`` gives '' on no match, hence the ``nullif``."""
-    d13 = F.nullif(F.regexp_extract(_c(c), r"(^|[^0-9])([0-9]{13})([^0-9]|$)", 2), F.lit(""))
-    d10 = F.nullif(F.regexp_extract(_c(c), r"(^|[^0-9])([0-9]{10})([^0-9]|$)", 2), F.lit(""))
+    """The first 13 digits in a row, else the first 10, else 0, as long (a
+    longer run gives its first digits). ``regexp_extract`` gives '' on no
+    match, hence the ``nullif``."""
+    d13 = F.nullif(F.regexp_extract(_c(c), r"([0-9]{13})", 1), F.lit(""))
+    d10 = F.nullif(F.regexp_extract(_c(c), r"([0-9]{10})", 1), F.lit(""))
     return F.coalesce(d13.cast("long"), d10.cast("long"), F.lit(0).cast("long"))
 
 

@@ -2,11 +2,9 @@
 
 Spark picks the physical join. What we add:
 
-* ``attach``: join a per-key table back to rows; the per-key side is
-  broadcast only when its *measured* size (optimizer statistics) is below
-  the session's broadcast threshold, otherwise it stays a shuffle join that
-  AQE can still convert (after measuring the real shuffle size) or split
-  when one key is skewed.
+* ``attach``: join a per-key table back to rows, null keys included; AQE
+  converts it to a broadcast after measuring the small side, or splits a
+  skewed key.
 * anti/semi joins for incremental processing (J8-J11) and partial updates
   (J15) as left join + coalesce.
 """
@@ -14,37 +12,20 @@ Spark picks the physical join. What we add:
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Optimizer's size estimate for a plan (None if unavailable)."""
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # noqa: BLE001 - e.g. Spark Connect has no _jdf
-        return None
-
-
-def broadcast_limit(spark) -> int:
-    v = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
-    try:
-        return int(str(v).rstrip("bB"))
-    except ValueError:
-        return 10 * 1024 * 1024
-
-
-def maybe_broadcast(df: DataFrame) -> DataFrame:
-    """Broadcast hint only behind a checked size bound."""
-    est = estimated_bytes(df)
-    if est is not None and 0 < est <= broadcast_limit(df.sparkSession):
-        return F.broadcast(df)
-    return df
-
-
 def attach(rows: DataFrame, per_key: DataFrame, on: Sequence[str] | str, how: str = "left") -> DataFrame:
-    return rows.join(maybe_broadcast(per_key), on, how)
+    """Join a per-key table back to rows. A null key matches the null key, so
+    no row of a null group is lost. No hint: AQE broadcasts the small side
+    once it has measured it, and splits a hot key otherwise."""
+    keys = [on] if isinstance(on, str) else list(on)
+    right = per_key.withColumnsRenamed({k: f"__{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    return rows.join(right, same, how).drop(*[f"__{k}" for k in keys])
 
 
 def not_yet_processed(candidates: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -77,7 +58,7 @@ def mirror_by_group_range(df: DataFrame, group: str | Sequence[str], col: str, o
     a hot group is partially aggregated instead of landing in one task)."""
     g = [group] if isinstance(group, str) else list(group)
     r = df.groupBy(*g).agg((F.max(col) - F.min(col)).alias("_range"))
-    return df.join(r, g, "inner").withColumn(out, -F.col(col) + F.col("_range")).drop("_range")
+    return attach(df, r, g, "inner").withColumn(out, -F.col(col) + F.col("_range")).drop("_range")
 
 
 def last_value_lookup(df: DataFrame, key: str, value_cols: Sequence[str], order: Sequence[str]) -> DataFrame:

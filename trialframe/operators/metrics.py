@@ -16,9 +16,6 @@ from pyspark.sql import functions as F
 
 from trialframe.operators import ordered
 
-SCORE_CHUNKS = 4096  # chunk width 1/4096 of a unit score range
-
-
 def _by(by) -> list[str]:
     return [by] if isinstance(by, str) else list(by)
 
@@ -63,11 +60,10 @@ def score_counts(df: DataFrame, by, y: str = "y_true", score: str = "score") ->
 
 def _scan_desc(sc: DataFrame, by, score: str) -> DataFrame:
     """Cumulative pos/neg at scores >= s (thresholds high -> low)."""
-    sc = sc.withColumn("_neg_s", -F.col(score))
-    chunk = F.floor(F.col("_neg_s") * SCORE_CHUNKS).cast("long")
-    return ordered.scan(sc, _by(by), ["_neg_s"], chunk,
+    sc = ordered.range_chunked(sc.withColumn("_neg_s", -F.col(score)), ["_neg_s", *_by(by)])
+    return ordered.scan(sc, _by(by), ["_neg_s"], F.col("_range"),
                         cumsum={"tp": "pos", "fp": "neg"},
-                        totals={"P": ("sum", "pos"), "N": ("sum", "neg")}).drop("_neg_s")
+                        totals={"P": ("sum", "pos"), "N": ("sum", "neg")}).drop("_neg_s", "_range")
 
 
 def roc_auc(df: DataFrame, by, y: str = "y_true", score: str = "score") -> DataFrame:

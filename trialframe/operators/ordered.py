@@ -56,6 +56,16 @@ def int_chunk(col: str, width: int = 4096) -> Column:
     return F.floor(F.col(col) / F.lit(width)).cast("long")
 
 
+def range_chunked(df: DataFrame, order: Sequence[str] | str, out: str = "_range") -> DataFrame:
+    """Rows with a chunk id taken from the data: the number of the range
+    partition of a global sort, whose bounds Spark samples. However the values
+    are spread, chunks are about even. Written to the shared checkpoint
+    folder, so that the ids are the same wherever they are read."""
+    from trialframe.session import cut_lineage
+
+    return cut_lineage(df.orderBy(*_cols(order)).withColumn(out, F.spark_partition_id()))
+
+
 def _cols(xs: Sequence[str] | str) -> list[str]:
     return [xs] if isinstance(xs, str) else list(xs)
 
@@ -85,10 +95,12 @@ def scan(
     cumsum, ffill, bfill = cumsum or {}, ffill or {}, bfill or {}
     lag, lead, totals = lag or {}, lead or {}, totals or {}
 
-    ck = "_chunk"
-    part = keys + [ck]
+    # group and (group, chunk) as structs: a struct of nulls is no null and
+    # equals another, so rows with a null key or a null chunk take part
+    ck, grp, part = "_chunk", "_grp", ["_part"]
     ordx = F.struct(*[F.col(c) for c in order])
     d = df.withColumn(ck, chunk).withColumn("_ord", ordx)
+    d = d.withColumn("_part", F.struct(*keys, ck))
 
     w_loc = Window.partitionBy(*part).orderBy(*order)
     w_run = w_loc.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -124,10 +136,11 @@ def scan(
         summ[f"_ct_{out}"] = _PARTIAL[kind](F.lit(1) if c is None else F.col(c))
     s = d.groupBy(*part).agg(*[v.alias(k) for k, v in summ.items()])
 
-    w_c = Window.partitionBy(*keys).orderBy(ck)
+    s = s.withColumn(grp, F.struct(F.lit(0).alias("_all"), *[F.col("_part")[k].alias(k) for k in keys])).withColumn(ck, F.col("_part")[ck])
+    w_c = Window.partitionBy(grp).orderBy(ck)
     w_before = w_c.rowsBetween(Window.unboundedPreceding, -1)
     w_after = w_c.rowsBetween(1, Window.unboundedFollowing)
-    w_all = Window.partitionBy(*keys)
+    w_all = Window.partitionBy(grp)
     carry = {"_pc": F.coalesce(F.sum("_cnt").over(w_before), F.lit(0))}
     for out in cumsum:
         carry[f"_pcs_{out}"] = F.sum(f"_cs_{out}").over(w_before)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trialframe.operators.joins import attach
+from trialframe.operators.summary import exact_quantiles
 
 
 def to_long(df: DataFrame, ids: Sequence[str], cols: Sequence[str], feature: str = "feature",
@@ -30,11 +31,16 @@ def fit_impute_scale(long: DataFrame, train: Column, feature: str = "feature", v
     # conditional aggregates instead of a filtered copy: the fit and apply
     # branches then share one identical input subtree, so its shuffle is
     # reused instead of recomputing the upstream plan for the fit
-    med = long.groupBy(feature).agg(F.median(F.when(train, F.col(value))).alias("median"))
-    imp = attach(long, med, [feature], "inner").withColumn(
-        "_x", F.when(train, F.coalesce(F.col(value), F.col("median"))))
-    st = imp.groupBy(feature).agg(F.first("median").alias("median"), F.avg("_x").alias("mean"),
-                                  F.stddev_pop("_x").alias("std"))
+    x = F.when(train, F.col(value))
+    med = exact_quantiles(long.select(feature, x.alias("_x")), [feature], "_x", {"median": 0.5})
+    st = long.groupBy(feature).agg(F.count_if(train).alias("_n"), F.count(x).alias("_m"), F.avg(x).alias("_a"),
+                                   F.var_pop(x).alias("_v"))
+    st = attach(st, med, [feature], "left")
+    # moments of the imputed values from those of the present ones: no second pass over the rows
+    gaps = F.col("_n") - F.col("_m")
+    mean = (F.col("_m") * F.col("_a") + gaps * F.col("median")) / F.col("_n")
+    var = F.col("_m") * (F.col("_v") + F.pow(F.col("_a") - mean, 2)) + gaps * F.pow(F.col("median") - mean, 2)
+    st = st.select(feature, "median", mean.alias("mean"), F.sqrt(var / F.col("_n")).alias("std"))
     return st.withColumn("scale", F.when(F.col("std") == 0, F.lit(1.0)).otherwise(F.col("std")))
 
 
@@ -86,12 +92,11 @@ def feature_columns(df: DataFrame, exclude: Sequence[str]) -> list[str]:
 
 def good_bad_columns(df: DataFrame, cols: Sequence[str]) -> list[str]:
     """Text columns whose non-empty values are a subset of {good, bad}
-    (one aggregate with collect_set per column; sets are tiny when the
-    column qualifies, and capped by the check itself otherwise)."""
+    (one aggregate that counts the other values)."""
     if not cols:
         return []
-    r = df.agg(*[F.slice(F.collect_set(F.nullif(F.col(c), F.lit(""))), 1, 3).alias(c) for c in cols]).first()
-    return [c for c in cols if set(r[c] or []) <= {"good", "bad"}]
+    r = df.agg(*[F.count_if(~F.col(c).isin("", "good", "bad")).alias(c) for c in cols]).first()
+    return [c for c in cols if not r[c]]
 
 
 def coerce_numeric(c: str) -> Column:

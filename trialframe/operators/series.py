@@ -129,17 +129,16 @@ def rolling(df: DataFrame, rec, pos: str, lo: int, hi: int, aggs: dict[str, Colu
     """Bounded row-frame window ``rowsBetween(lo, hi)`` (lo <= 0 <= hi) over
     position ``pos`` without sending a whole recording to one task.
 
-    Rows are cut into blocks of ``block`` positions; each block also
-    receives a halo copy of the ``-lo`` rows before it and ``hi`` rows after
-    it, the window runs inside (recording, block), halo rows are dropped."""
+    Rows are cut into blocks of ``block`` positions; a row is copied to every
+    block that its neighbours' frames reach (several, if the frame is wider
+    than a block), the window runs inside (recording, block), copies are
+    dropped."""
     keys = _keys(rec)
     p = F.col(pos)
     b = F.floor(p / block).cast("long")
-    off = p - b * block
-    own = F.array(b)
-    prev = F.when((off < hi) & (b > 0), F.array(b - 1)).otherwise(F.array().cast("array<long>"))
-    nxt = F.when(off >= block + lo, F.array(b + 1)).otherwise(F.array().cast("array<long>"))
-    d = df.withColumn("_home", b).withColumn("_blk", F.explode(F.concat(own, prev, nxt)))
+    # every block that holds a row whose frame reaches this one
+    first = F.greatest(F.floor((p - hi) / block), F.lit(0))
+    d = df.withColumn("_home", b).withColumn("_blk", F.explode(F.sequence(first, F.floor((p - lo) / block))))
     w = Window.partitionBy(*keys, "_blk").orderBy(pos).rowsBetween(lo, hi)
     d = d.withColumns({k: e.over(w) for k, e in aggs.items()})
     return d.where(F.col("_blk") == F.col("_home")).drop("_blk", "_home")
@@ -211,11 +210,12 @@ def order_check(df: DataFrame, rec, order, chunk: Column, col: str, role: str |
 # ------------------------------------------------------------------ W16
 def factorize(df: DataFrame, col: str, order: Sequence[str], out: str | None = None) -> DataFrame:
     """Dense integer code by first appearance over the whole table.
-    The ranking window runs over the distinct values only (a categorical
-    column), never over the rows."""
+    Only the distinct values are ranked, in ranges over many tasks (``order``
+    must be unique, so first appearances do not tie)."""
     out = out or f"{col}_code"
     firsts = df.groupBy(col).agg(F.min(F.struct(*[F.col(c) for c in order])).alias("_o"))
-    codes = firsts.select(col, (F.dense_rank().over(Window.orderBy("_o")) - 1).cast("int").alias(out))
+    ranked = ordered.scan(ordered.range_chunked(firsts, "_o"), [], ["_o"], F.col("_range"), pos="_p")
+    codes = ranked.select(col, F.col("_p").cast("int").alias(out))
     return attach(df, codes, [col], "left")
 
 
@@ -232,7 +232,7 @@ def quality_keep(df: DataFrame, rec, cols: Sequence[str], max_share: float = 0.5
 def quality_filter(df: DataFrame, rec, cols: Sequence[str], max_share: float = 0.5) -> DataFrame:
     """F8: rows of the kept recordings (semi join)."""
     keep = quality_keep(df, rec, cols, max_share).select(*_keys(rec))
-    return df.join(keep, _keys(rec), "left_semi")
+    return attach(df, keep, _keys(rec), "inner")
 
 
 # ------------------------------------------------------------------ A11

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialframe.operators import ordered
+from trialframe.operators.joins import attach
 
 HASH_CHUNK_BITS = 16  # 65 536 ordered chunks per class
 
@@ -70,7 +71,7 @@ def train_test_split(df: DataFrame, id_col: str, test_frac: float = 0.2, seed: i
         counts = df.groupBy(stratify).agg(F.count(F.lit(1)).alias("_n"))
         n_total = df.agg(F.count(F.lit(1))).scalar()
         alloc = _allocate(counts, stratify, "_n", F.ceil(n_total * test_frac))
-        d = d.join(F.broadcast(alloc), stratify)  # one row per class
+        d = attach(d, alloc, stratify, "inner")
         is_test = F.col("_pos") < F.col("n_draw")
     else:
         n_total = df.agg(F.count(F.lit(1))).scalar()
@@ -105,23 +106,23 @@ def group_kfold(df: DataFrame, group: str, k: int = 5, out: str = "fold") -> Dat
     """M6: a group never spans folds. Groups ranked by size (desc, then
     group) and dealt in snake order 0..k-1, k-1..0 - the parallel form of the
     greedy lightest-fold assignment. Equal sizes are ordered by a hash of
-    the group, so the ranking chunks by (size, hash bits) and scans the
-    *group* table in many tasks even when most groups share one size."""
+    the group; the *group* table is ranked in ranges over many tasks even
+    when most groups share one size."""
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_size"))
     sizes = sizes.withColumns({"_neg": -F.col("_size"), "_gh": hash32(group, 0)})
-    chunk = F.struct(F.col("_neg"), F.shiftright(F.col("_gh"), 32 - HASH_CHUNK_BITS))
-    ranked = ordered.scan(sizes, [], ["_neg", "_gh", group], chunk, pos="_r")
+    order = ["_neg", "_gh", group]
+    ranked = ordered.scan(ordered.range_chunked(sizes, order), [], order, F.col("_range"), pos="_r")
     rnd, pos = (F.col("_r") / k).cast("long"), F.col("_r") % k
     folds = ranked.select(group, F.when(rnd % 2 == 0, pos).otherwise(k - 1 - pos).cast("int").alias(out))
-    return df.join(folds, group)
+    return attach(df, folds, group, "inner")
 
 
 def leave_one_group_out(df: DataFrame, group: str, out: str = "fold") -> DataFrame:
-    """M7: fold = dense rank of the group (one fold per group; the window
-    runs over the distinct groups, i.e. over the folds)."""
-    g = df.select(group).distinct()
-    g = g.withColumn(out, (F.dense_rank().over(Window.orderBy(group)) - 1).cast("int"))
-    return df.join(g, group)
+    """M7: fold = rank of the group among the distinct groups, a null group
+    first; they are ranked in ranges over many tasks."""
+    g = ordered.range_chunked(df.select(group).distinct(), group)
+    g = ordered.scan(g, [], [group], F.col("_range"), pos="_p").select(group, F.col("_p").cast("int").alias(out))
+    return attach(df, g, group, "inner")
 
 
 def repeated_kfold(df: DataFrame, id_col: str, k: int = 5, n_iter: int = 2, base_seed: int = 42,
@@ -139,13 +140,13 @@ def repeated_kfold(df: DataFrame, id_col: str, k: int = 5, n_iter: int = 2, base
 
 
 def cv_splitter(name: str):
-    """M8: splitter by name; unknown names fall back to stratified k-fold
-    with a warning (as the reference does)."""
+    """M8: splitter by name; unknown names fall back to plain k-fold with a
+    warning."""
     table = {"kfold": kfold, "stratified": stratified_kfold, "group": group_kfold,
              "logo": leave_one_group_out}
     if name not in table:
         import warnings
 
-        warnings.warn(f"unknown cv type {name!r}; using stratified k-fold", stacklevel=2)
-        return stratified_kfold
+        warnings.warn(f"unknown cv type {name!r}; using k-fold", stacklevel=2)
+        return kfold
     return table[name]

@@ -2,17 +2,21 @@
 
 Everything is an ordinary ``groupBy().agg()``: Spark runs it as partial
 (map-side) + final aggregation, so hot keys are pre-reduced before the
-shuffle. Exact percentiles use ``percentile`` (interpolated like pandas).
+shuffle. Exact percentiles come from value counts and a chunked running count.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trialframe.operators import ordered
 from trialframe.operators.clean import dedupe_first
+from trialframe.operators.joins import attach
+
+QUANTILE_CHUNKS = 64
 
 
 def dataset_stats(df: DataFrame, subject: str, session: str, label: str, order: Sequence[str]) -> DataFrame:
@@ -58,34 +62,45 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
 def mode_smallest(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
     """Most frequent value, smallest on ties (pandas ``mode()[0]``)."""
     g = df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("_n"))
-    # max_by over (count, -value) == highest count, then smallest value
-    return g.groupBy(*by).agg(
-        F.max_by(F.col(col), F.struct(F.col("_n"), -F.col(col).cast("double"))).alias("mode")
-    )
-
+    # highest count, then smallest value (of any orderable type)
+    return g.groupBy(*by).agg(F.min_by(F.col(col), F.struct(-F.col("_n"), F.col(col))).alias("mode"))
 
-def eight_number(col: str | Column, prefix: str = "") -> list[Column]:
-    """A5: mean, std (ddof 1), min, max, median, q25, q75, range; exact
-    interpolated percentiles (pandas semantics)."""
-    c = F.col(col) if isinstance(col, str) else col
-    q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return [
-        F.avg(c).alias(f"{prefix}mean"),
-        F.stddev_samp(c).alias(f"{prefix}std"),
-        F.min(c).alias(f"{prefix}min"),
-        F.max(c).alias(f"{prefix}max"),
-        q.alias(f"{prefix}_q"),
-    ]
 
+def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """Interpolated quantiles per group (pandas semantics), one column for
+    each of ``probs``; nulls are ignored, a group without values is absent.
 
-def expand_quantiles(df: DataFrame, prefix: str = "") -> DataFrame:
-    q = F.col(f"{prefix}_q")
-    return df.withColumns({
-        f"{prefix}median": q[1],
-        f"{prefix}q25": q[0],
-        f"{prefix}q75": q[2],
-        f"{prefix}range": F.col(f"{prefix}max") - F.col(f"{prefix}min"),
-    }).drop(f"{prefix}_q")
+    Rows are reduced to value counts; a running count over them, cut into
+    chunks at approximate quantiles of the group, locates the two order
+    statistics. No task holds all the values of a group."""
+    by = list(by)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    cuts = F.percentile_approx(value, [k / QUANTILE_CHUNKS for k in range(1, QUANTILE_CHUNKS)], 1000).alias("_cuts")
+    if by:
+        counts = attach(counts, counts.groupBy(*by).agg(cuts), by, "inner")
+    else:
+        counts = counts.withColumn("_cuts", counts.agg(cuts).scalar())
+    chunk = F.array_size(F.array_compact(F.transform("_cuts", lambda c: F.when(c < F.col(value), c))))
+    run = ordered.scan(counts.withColumn("_q", chunk).drop("_cuts"), by, [value], F.col("_q"), cumsum={"_c": "_n"}, totals={"_all": ("sum", "_n")})
+    ends, out = [], []
+    for name, p in probs.items():
+        at = F.lit(p) * (F.col("_all") - 1)
+        ends += [F.min(F.when(F.col("_c") > F.floor(at), F.col(value))).alias(f"_lo_{name}"),
+                 F.min(F.when(F.col("_c") > F.ceil(at), F.col(value))).alias(f"_hi_{name}")]
+        share = at - F.floor(at)
+        out.append((F.col(f"_lo_{name}") + share * (F.col(f"_hi_{name}") - F.col(f"_lo_{name}"))).alias(name))
+    return run.groupBy(*by).agg(F.first("_all").alias("_all"), *ends).select(*by, *out)
+
+
+def eight_number(df: DataFrame, by: Sequence[str], col: str, prefix: str = "", extra: Sequence[Column] = ()) -> DataFrame:
+    """A5: mean, std (ddof 1), min, max, median, q25, q75, range (and any
+    ``extra`` aggregates) per group; exact interpolated percentiles."""
+    base = df.groupBy(*by).agg(
+        *extra, F.avg(col).alias(f"{prefix}mean"), F.stddev_samp(col).alias(f"{prefix}std"),
+        F.min(col).alias(f"{prefix}min"), F.max(col).alias(f"{prefix}max"),
+    )
+    q = exact_quantiles(df, by, col, {f"{prefix}median": 0.5, f"{prefix}q25": 0.25, f"{prefix}q75": 0.75})
+    return attach(base, q, by, "left").withColumn(f"{prefix}range", F.col(f"{prefix}max") - F.col(f"{prefix}min"))
 
 
 def set_membership(sources: dict[str, DataFrame], key: str) -> DataFrame:
@@ -118,7 +133,7 @@ def histogram(df: DataFrame, col: str, bins: int, by: Sequence[str] = ()) -> Dat
     lo, hi, n) for non-empty bins."""
     if by:
         b = df.groupBy(*by).agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"))
-        j = df.join(b, list(by), "inner")
+        j = attach(df, b, list(by), "inner")
     else:  # global range: one scalar subquery, no join at all
         rng = df.agg(F.struct(F.min(col).alias("lo"), F.max(col).alias("hi"))).scalar()
         j = df.withColumns({"_lo": rng["lo"], "_hi": rng["hi"]})

@@ -88,8 +88,8 @@ SELECT page_id,
   array_to_string(list_concat(
       string_split({_HOST}, '.')[1:greatest(len(string_split({_HOST}, '.')) - 2, 0)], ['www'],
       string_split({_HOST}, '.')[greatest(len(string_split({_HOST}, '.')) - 2, 0) + 1:]), '.') AS www_host,
-  coalesce(TRY_CAST(nullif(regexp_extract(url, '(^|[^0-9])([0-9]{{13}})([^0-9]|$)', 2), '') AS BIGINT),
-           TRY_CAST(nullif(regexp_extract(url, '(^|[^0-9])([0-9]{{10}})([^0-9]|$)', 2), '') AS BIGINT),
+  coalesce(TRY_CAST(nullif(regexp_extract(url, '([0-9]{{13}})', 1), '') AS BIGINT),
+           TRY_CAST(nullif(regexp_extract(url, '([0-9]{{10}})', 1), '') AS BIGINT),
            CAST(0 AS BIGINT)) AS epoch,
   TRY_CAST(nullif(regexp_extract(url, '([0-9]+)fps', 1), '') AS INTEGER) AS fps,
   split_part(url, '/', 4) AS lang
@@ -225,7 +225,7 @@ def q_trial_feature_summary(spark, sf):
         F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("extendedprice"),
         F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"),
     ).unpivot([], ["quantity", "extendedprice", "discount", "tax"], "feature", "v")
-    s = summary.expand_quantiles(long.groupBy("feature").agg(*summary.eight_number("v")))
+    s = summary.eight_number(long, ["feature"], "v")
     return s.select("feature", *[F.round(c, R6).alias(c) if c in ("mean", "std", "median", "q25", "q75", "range")
                                  else F.col(c) for c in ["mean", "std", "min", "max", "median", "q25", "q75", "range"]])
 

@@ -128,8 +128,8 @@ def q_top_accounts(spark, sf):
 
 @register("first_page_per_site", """
 WITH p AS (SELECT regexp_extract(url, '://([^/]+)', 1) AS host, split_part(url, '/', 4) AS lang, url,
-      coalesce(TRY_CAST(nullif(regexp_extract(url, '(^|[^0-9])([0-9]{13})([^0-9]|$)', 2), '') AS BIGINT),
-               TRY_CAST(nullif(regexp_extract(url, '(^|[^0-9])([0-9]{10})([^0-9]|$)', 2), '') AS BIGINT), 0) AS epoch
+      coalesce(TRY_CAST(nullif(regexp_extract(url, '([0-9]{13})', 1), '') AS BIGINT),
+               TRY_CAST(nullif(regexp_extract(url, '([0-9]{10})', 1), '') AS BIGINT), 0) AS epoch
       FROM pages)
 SELECT host, lang, arg_min(url, (epoch, url)) AS url, count(*) AS n_pages FROM p GROUP BY 1, 2""")
 def q_first_page(spark, sf):
@@ -233,3 +233,27 @@ def q_latest_run(spark, sf):
     d = table(spark, sf, "documents", "doc_id", "source", "lang").where(
         F.col("source").contains("src1") & (F.col("lang") == "en"))
     return d.groupBy("source").agg(F.max("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
+
+
+_REC_NAME = """'v_' || CASE o_orderkey % 5 WHEN 0 THEN lpad(CAST(o_orderkey AS VARCHAR), 13, '1')
+    WHEN 1 THEN lpad(CAST(o_orderkey AS VARCHAR), 10, '2') WHEN 2 THEN lpad(CAST(o_orderkey AS VARCHAR), 14, '3')
+    WHEN 3 THEN lpad(CAST(o_orderkey AS VARCHAR), 10, '4') || '_' || lpad(CAST(o_orderkey AS VARCHAR), 13, '5')
+    ELSE 'x' END || '_' || CAST(o_custkey % 90 AS VARCHAR) || CASE WHEN o_custkey % 2 = 0 THEN 'fps' ELSE 'hz' END || '.mp4'"""
+
+
+@register("recording_epochs", f"""
+WITH n AS (SELECT o_orderkey, {_REC_NAME} AS name FROM orders)
+SELECT o_orderkey, name, coalesce(TRY_CAST(nullif(regexp_extract(name, '[0-9]{{13}}'), '') AS BIGINT),
+    TRY_CAST(nullif(regexp_extract(name, '[0-9]{{10}}'), '') AS BIGINT), 0) AS epoch,
+  TRY_CAST(nullif(regexp_extract(name, '([0-9]+)fps', 1), '') AS INTEGER) AS fps FROM n""")
+def q_recording_epochs(spark, sf):
+    """X6 X7 on names with runs of 10, 13 and 14 digits, both or none."""
+    key = F.col("o_orderkey").cast("string")
+    run = F.element_at(F.array(
+        F.lpad(key, 13, "1"), F.lpad(key, 10, "2"), F.lpad(key, 14, "3"),
+        F.concat(F.lpad(key, 10, "4"), F.lit("_"), F.lpad(key, 13, "5")), F.lit("x"),
+    ), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    unit = F.when(F.col("o_custkey") % 2 == 0, "fps").otherwise("hz")
+    name = F.concat(F.lit("v_"), run, F.lit("_"), (F.col("o_custkey") % 90).cast("string"), unit, F.lit(".mp4"))
+    n = table(spark, sf, "orders", "o_orderkey", "o_custkey").select("o_orderkey", name.alias("name"))
+    return n.withColumns({"epoch": names.epoch_from_name("name"), "fps": names.fps_from_name("name")})

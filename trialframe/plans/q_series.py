@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from trialframe.functions import scalar
 from trialframe.operators import ordered, series, summary
+from trialframe.operators.joins import attach
 from trialframe.plans.registry import register
 from trialframe.sources.tables import frames, table
 
@@ -110,8 +111,7 @@ def q_velocity_summary(spark, sf):
     """Velocities against the previous valid frame, their
     norm, then one aggregate per recording: eight-number summary, movement
     bands, size compliance, detection rate and duration."""
-    fr = frames(spark, sf).join(table(spark, sf, "events", "event_id", "props"), "event_id")
-    fr = fr.withColumn("k", F.get_json_object("props", "$.k").cast("double"))
+    fr = frames(spark, sf, "props").withColumn("k", F.get_json_object("props", "$.k").cast("double"))
     fr = fr.withColumn("ratio", F.col("value") / (F.col("k") + 1))
     totals = fr.groupBy(*REC).agg(F.count(F.lit(1)).alias("total_frames"))
     v = series.lag_velocity(fr, REC, ORDER, chunk(), "ts", ["value", "k", "ratio"],
@@ -123,17 +123,16 @@ def q_velocity_summary(spark, sf):
 
 def velocity_report(v, totals, fps: float):
     ok = (F.col("size") >= 0.05) & (F.col("size") <= 0.25)
-    g = v.groupBy(*REC).agg(
+    g = summary.eight_number(v, REC, "total", "vel_", extra=[
         F.count(F.lit(1)).alias("valid_detections"),
-        *summary.eight_number("total", prefix="vel_"),
         F.count_if(F.col("total") > 100).alias("high_movement"),
         F.count_if((F.col("total") >= 20) & (F.col("total") <= 100)).alias("moderate_movement"),
         F.count_if(F.col("total") < 20).alias("low_movement"),
         F.count_if(ok).alias("optimal_size"),
         F.count_if(F.col("size") < 0.05).alias("too_small"),
         F.count_if(F.col("size") > 0.25).alias("too_large"),
-    )
-    g = summary.expand_quantiles(g, "vel_").join(totals, REC)
+    ])
+    g = attach(g, totals, REC, "inner")
     g = g.withColumns({
         "detection_rate": F.col("valid_detections") * 100.0 / F.col("total_frames"),
         "duration_s": F.col("total_frames") / F.lit(fps) if fps > 0 else F.lit(0.0),
@@ -220,9 +219,10 @@ def q_length_histogram(spark, sf):
     ev = table(spark, sf, "events", "user_id", "event_type")
     lens = ev.groupBy("event_type", "user_id").agg(F.count(F.lit(1)).cast("double").alias("len"))
     h = summary.histogram(lens, "len", 20, by=["event_type"])
-    st = lens.groupBy("event_type").agg(F.round(F.avg("len"), R6).alias("mean_len"),
-                                        F.round(F.median("len"), R6).alias("median_len"))
-    return h.join(st, "event_type").select("event_type", "bin", "n", "mean_len", "median_len")
+    mid = summary.exact_quantiles(lens, ["event_type"], "len", {"median_len": 0.5})
+    st = attach(lens.groupBy("event_type").agg(F.avg("len").alias("mean_len")), mid, "event_type")
+    st = st.withColumns({c: F.round(c, R6) for c in ("mean_len", "median_len")})
+    return attach(h, st, "event_type", "inner").select("event_type", "bin", "n", "mean_len", "median_len")
 
 
 @register("score_histogram", """
@@ -254,7 +254,7 @@ def q_turn_order(spark, sf):
 
 
 # stand-in tasks for the encoders: event type -> task of the fixed task list
-EVENT_TASK = {"view": "calibration", "click": "plr", "purchase": "mab", "signup": "mckinnon"}
+EVENT_TASK = {"view": "calibration", "click": "plr", "purchase": "mab", "signup": "mckinnon", "error": "calibration"}
 
 
 def _field_cols():
@@ -279,12 +279,11 @@ def _fields_sql():
 
 _TASKMAP_SQL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in EVENT_TASK.items()) + " END"
 ENC_SQL = f"""e AS (SELECT event_id, {_TASKMAP_SQL} AS task, {_fields_sql()}
-  FROM (SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)
-  WHERE event_type IN ({", ".join(repr(k) for k in EVENT_TASK)}))"""
+  FROM (SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events))"""
 
 
 def encoded_events(spark, sf):
-    ev = table(spark, sf, "events", "event_id", "event_type", "props").where(F.col("event_type").isin(list(EVENT_TASK)))
+    ev = table(spark, sf, "events", "event_id", "event_type", "props")
     task = F.element_at(F.create_map(*[x for kv in EVENT_TASK.items() for x in map(F.lit, kv)]), F.col("event_type"))
     return ev.select("event_id", task.alias("task"), *[c.alias(n) for n, c in _field_cols().items()])
 
@@ -350,8 +349,7 @@ def q_dot_error(spark, sf):
     """Per target skip the first 5 frames, mean / population std
     of the observed coordinates, abs error to the single true position
     (from the subject's dimension row), pass/fail flags at 50 and 100."""
-    fr = frames(spark, sf).join(table(spark, sf, "events", "event_id", "props"), "event_id")
-    fr = fr.withColumn("k", F.get_json_object("props", "$.k").cast("double"))
+    fr = frames(spark, sf, "props").withColumn("k", F.get_json_object("props", "$.k").cast("double"))
     cu = table(spark, sf, "customer", "c_custkey", "c_acctbal", "c_nationkey")
     fr = fr.join(cu, fr.user_id == cu.c_custkey).withColumns({
         "true_x": F.col("c_acctbal") / 10, "true_y": (F.col("c_nationkey") * 4).cast("double")})
@@ -373,7 +371,7 @@ FROM q WHERE greatest(value_null_share, k_null_share) < 0.5""")
 def q_quality_filter(spark, sf):
     """F8: keep recordings whose every feature is < 50 % missing (second
     feature: last digit of k, 0 meaning not measured)."""
-    fr = frames(spark, sf).join(table(spark, sf, "events", "event_id", "props"), "event_id")
+    fr = frames(spark, sf, "props")
     fr = fr.withColumn("k", F.nullif(F.get_json_object("props", "$.k").cast("int") % 10, F.lit(0)))
     q = series.quality_keep(fr, REC, ["value", "k"])
     return q.select(*REC, "n_rows", F.round("value_null_share", R6).alias("value_null_share"),

@@ -23,29 +23,16 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
-def spread_small_scan(df: DataFrame) -> DataFrame:  # opt-in, not applied by table()
-    """A scan with fewer input splits than task slots (e.g. a file written as
-    a single row group) would run every pre-shuffle operator - filters,
-    map-side partial aggregation - in one task. Spread such a scan once,
-    round-robin, over the available slots. Large inputs already have more
-    splits than slots, so nothing is added to their plan; filters and column
-    pruning still reach the scan below the repartition."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < max(2, slots // 2):
-        return df.repartition(slots)
-    return df
-
-
 # ---------------------------------------------------------------- stand-ins
 # The fixtures carry no nulls, so the frame stand-in injects them the same way
 # the oracle SQL does: every 7th event's value is missing. No row is dropped.
 NULL_EVERY = 7
 
 
-def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+def frames(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
     """events as a per-frame series: subject=user_id, recording=(user_id,
     event_type), order=(ts, event_id), feature=value (with injected nulls)."""
-    ev = table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value")
+    ev = table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value", *extra)
     return ev.withColumn(
         "value",
         F.when(F.col("event_id") % NULL_EVERY == 0, F.lit(None).cast("double")).otherwise(F.col("value")),
