@@ -35,7 +35,7 @@ from trialframe.llm.kernels import _power_table, mix64, text_buffers
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.tiktoken"
 END_OF_TEXT = 50256
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 16 << 20
 PIECES = 100_000
 _WIDTH: dict = {}
 _SCHEMA = (

@@ -12,9 +12,9 @@ windows meet by shuffle instead:
 1. Each window belongs to its minimizer, the smallest hash among its ``GRAM``-
    word grams. Equal windows have equal minimizers, and runs of about eight
    windows share one, so a run travels as one row: minimizer, document, start
-   and ``BYTES`` bytes of each window's hash. Equal windows of an Arrow batch
-   are settled there; only the earliest goes on, so a passage that is in a
-   third of all documents costs one row for each batch.
+   and ``BYTES`` bytes of each window's hash. Equal windows of a part
+   (PART_BYTES of text) are settled there; only the earliest goes on, so a
+   passage that is in a third of all documents costs one row for each part.
 2. Rows of a minimizer meet in a task, which finds the earliest place of each
    window and emits the runs of later ones.
 3. Runs are joined with their document, whose uncovered words are kept.
@@ -35,11 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialframe.llm.kernels import Words, gram_hashes, mix64, slices
+from trialframe.llm.kernels import Words, gram_hashes, mix64, slices, text_buffers
 
 GRAM = 6
 BYTES = 5
 FLUSH_ROWS = 100_000
+PART_BYTES = 8 << 20
 _RUN = "m long, doc_id long, start int, n int, windows binary"
 _HIT = "doc_id long, s int, e int"
 
@@ -89,10 +90,21 @@ def _runs(*breaks: np.ndarray) -> np.ndarray:
     return np.r_[np.flatnonzero(b), len(b)]
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with an id, in parts of about PART_BYTES of text."""
+    for batch in batches:
+        known = batch.filter(batch.column(0).is_valid())
+        offsets = text_buffers(known.column(1))[1]
+        at = 0
+        while at < known.num_rows:
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PART_BYTES, side="right")) - 1)
+            yield known.slice(at, to - at)
+            at = to
+
+
 def _emit(span: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            known = batch.filter(batch.column(0).is_valid())
+        for known in _parts(batches):
             ids = known.column(0).to_numpy()
             text, start, m, full = windows(known.column(1), span)
             if not len(text):
