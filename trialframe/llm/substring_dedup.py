@@ -5,9 +5,10 @@ window over it has the same words as a window that starts earlier (smaller id,
 or same id and earlier start).
 
 The method asked for, suffix automata of reference shards broadcast to all
-tasks, is replaced (see README): the reference is the corpus itself, so the
-automata have no size bound and every document would pass every shard. Here
-windows meet by shuffle instead:
+tasks, is built in trialframe.llm.reference_spans for references of bounded
+size. Here the reference is the corpus itself: its automata have no size bound
+and every document would pass every shard (figures in the README). So windows
+meet by shuffle instead:
 
 1. Each window belongs to its minimizer, the smallest hash among its ``GRAM``-
    word grams. Equal windows have equal minimizers, and runs of about eight
@@ -206,6 +207,13 @@ def _strip(span: int):
     return run
 
 
+def strip(found: DataFrame, span: int) -> DataFrame:
+    """(doc_id, _text, runs) -> the words outside the runs of windows, which
+    are structs of the first window start s and the end e of the starts."""
+    schema = "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string"
+    return found.select("doc_id", "_text", "runs").mapInArrow(_strip(span), schema)
+
+
 def remove(docs: DataFrame, span: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs -> (id, n_words, n_removed, kept_text, kept_sha256), a row for each."""
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
@@ -213,6 +221,4 @@ def remove(docs: DataFrame, span: int = 20, id_col: str = "doc_id", text_col: st
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = runs.repartition(parts, "m").sortWithinPartitions("m")
     hits = met.mapInArrow(_meet, _HIT).groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("runs"))
-    out = d.join(hits, "doc_id", "left").select("doc_id", "_text", "runs")
-    out = out.mapInArrow(_strip(span), "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
-    return out.withColumnRenamed("doc_id", id_col)
+    return strip(d.join(hits, "doc_id", "left"), span).withColumnRenamed("doc_id", id_col)
