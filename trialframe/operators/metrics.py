@@ -76,6 +76,17 @@ def roc_auc(df: DataFrame, by, y: str = "y_true", score: str = "score") -> DataF
         F.try_divide(F.sum(contrib), F.first("P") * F.first("N")).alias("auc"))
 
 
+def accuracy_and_auc(counts: DataFrame, by, score: str = "score", thr: float = 0.5) -> DataFrame:
+    """Accuracy at ``thr`` and tie-aware AUC per group from one table of
+    ``score_counts``."""
+    s = _scan_desc(counts, by, score)
+    right = F.when(F.col(score) >= thr, F.col("pos")).otherwise(F.col("neg"))
+    pairs = F.col("pos") * ((F.col("N") - F.col("fp")) + F.col("neg") / 2.0)
+    return s.groupBy(*_by(by)).agg(
+        (F.sum(right) / F.sum(F.col("pos") + F.col("neg"))).alias("accuracy"),
+        F.try_divide(F.sum(pairs), F.first("P") * F.first("N")).alias("auc"))
+
+
 def roc_curve(df: DataFrame, by, y: str = "y_true", score: str = "score") -> DataFrame:
     """One point per distinct threshold (score >= threshold)."""
     s = _scan_desc(score_counts(df, by, y, score), by, score)

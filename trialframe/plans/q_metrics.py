@@ -20,16 +20,34 @@ SEED = 42
 K = 5
 
 
-def predictions(spark, sf):
+MODELS = {"length": "s_len", "source": "s_src"}
+
+
+def document_scores(spark, sf):
+    """One row per labelled document with the score of each model."""
     lab = table(spark, sf, "labels", "doc_id", "quality")
     doc = table(spark, sf, "documents", "doc_id", "n_chars", "source", "lang")
-    base = lab.join(doc, "doc_id").select(
+    return lab.join(doc, "doc_id").select(
         F.col("doc_id").alias("row_id"), F.col("quality").cast("double").alias("y_true"), "lang",
         F.round(F.col("n_chars") / (F.col("n_chars") + 5000.0), 6).alias("s_len"),
         F.round(F.substring("source", 4, 8).cast("int") / 20.0, 6).alias("s_src"))
-    a = base.select("row_id", "y_true", "lang", F.lit("length").alias("model"), F.col("s_len").alias("score"))
-    b = base.select("row_id", "y_true", "lang", F.lit("source").alias("model"), F.col("s_src").alias("score"))
-    return a.unionByName(b)
+
+
+def by_model(scores):
+    """A row for each model, exploded in place: the join below runs once."""
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(c).alias("score")) for m, c in MODELS.items()]))
+    d = scores.withColumn("_m", each)
+    return d.withColumns({"model": F.col("_m.model"), "score": F.col("_m.score")}).drop("_m", *MODELS.values())
+
+
+def by_variation(rows):
+    """A row for each run variation that the document belongs to."""
+    both = F.when(F.col("lang") == "en", F.array(F.lit("all"), F.lit("en_only"))).otherwise(F.array(F.lit("all")))
+    return rows.withColumn("variation", F.explode(both))
+
+
+def predictions(spark, sf):
+    return by_model(document_scores(spark, sf)).select("row_id", "y_true", "lang", "model", "score")
 
 
 PRED_SQL = """pr AS (SELECT d.doc_id AS row_id, CAST(l.quality AS DOUBLE) AS y_true, d.lang,
@@ -142,24 +160,20 @@ def q_residual_histogram(spark, sf):
 
 # ------------------------------------------------------------ fold metrics
 def variations(spark, sf):
-    p = predictions(spark, sf)
-    return p.withColumn("variation", F.lit("all")).unionByName(
-        p.where(F.col("lang") == "en").withColumn("variation", F.lit("en_only")))
+    return by_variation(predictions(spark, sf))
 
 
 def fold_metrics(spark, sf):
     """Long (variation, model, fold, metric, value): accuracy and AUC per
-    stratified fold (folds drawn per variation, same for every model)."""
-    v = variations(spark, sf)
-    rows = v.select("variation", "row_id", "y_true").distinct()
-    folds = split.hash_position(rows, "row_id", SEED, ["variation", "y_true"], pos="_p").select(
-        "variation", "row_id", (F.col("_p") % K).cast("int").alias("fold"))
-    v = v.join(folds, ["variation", "row_id"])
+    stratified fold (folds drawn per variation, same for every model). The
+    fold is found on the document rows, the models are exploded after it, and
+    one table of counts per score gives both metrics."""
+    rows = by_variation(document_scores(spark, sf))
+    rows = split.hash_position(rows, "row_id", SEED, ["variation", "y_true"], pos="_p")
+    v = by_model(rows.withColumn("fold", (F.col("_p") % K).cast("int")))
     by = ["variation", "model", "fold"]
-    acc = metrics.from_confusion(metrics.confusion(v, by)).select(*by, F.lit("accuracy").alias("metric"),
-                                                                 F.col("accuracy").alias("value"))
-    auc = metrics.roc_auc(v, by).select(*by, F.lit("auc").alias("metric"), F.col("auc").alias("value"))
-    return acc.unionByName(auc)
+    both = metrics.accuracy_and_auc(metrics.score_counts(v, by), by)
+    return both.unpivot(by, ["accuracy", "auc"], "metric", "value")
 
 
 FOLD_SQL = f"""{PRED_SQL},

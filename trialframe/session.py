@@ -61,11 +61,15 @@ def apply_scale_conf(spark: SparkSession) -> SparkSession:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the platform sets it to shared storage; we only fill it in
-    when it is unset (local tests), with a fresh scratch folder.
+    On a cluster the platform must set it to shared storage: executors do not
+    see a folder of the driver's machine. Only a ``local`` master, where they
+    are one machine, gets a fresh scratch folder when it is unset.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="trialframe-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)

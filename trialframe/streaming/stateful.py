@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,15 +30,15 @@ def _velocity(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFr
         prev_v, prev_t = state.get
     else:
         prev_v, prev_t = None, None
-    vel = []
-    for v, t in zip(pdf["value"].to_numpy(), pdf["ts_us"].to_numpy()):
-        if prev_t is None:
-            vel.append(0.0)
-        else:
-            dt = (int(t) - int(prev_t)) / 1e6
-            vel.append((float(v) - float(prev_v)) / dt if dt > 0 else 0.0)
-        prev_v, prev_t = float(v), int(t)
-    state.update((prev_v, prev_t))
+    v, t = pdf["value"].to_numpy(dtype="float64"), pdf["ts_us"].to_numpy(dtype="int64")
+    if not len(v):
+        return
+    # shifted by one, the carried state in front; a recording's first frame follows itself
+    before_v = np.r_[v[0] if prev_t is None else prev_v, v[:-1]]
+    before_t = np.r_[t[0] if prev_t is None else prev_t, t[:-1]]
+    dt = (t - before_t) / 1e6
+    vel = np.where(dt > 0, (v - before_v) / np.where(dt > 0, dt, 1.0), 0.0)
+    state.update((float(v[-1]), int(t[-1])))
     yield pd.DataFrame({"event_id": pdf["event_id"].astype("int64"), "user_id": pdf["user_id"].astype("int64"),
                         "event_type": pdf["event_type"], "velocity": vel})
 
