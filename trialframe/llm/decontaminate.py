@@ -57,12 +57,16 @@ def values(text: Column) -> Column:
     return words_of(_bare(F.coalesce(text, F.lit(""))))
 
 
-def window_hashes(tokens: Column) -> Column:
-    """Hash of each window, from the tokens' hashes; an array of longs."""
-    h = F.transform(tokens, lambda t: F.xxhash64(t))
+def token_hashes(text: Column) -> Column:
+    return F.transform(words_of(template(text)), lambda t: F.xxhash64(t))
+
+
+def window_hashes(h: Column) -> Column:
+    """Hash of each window, from a column (not an expression, which would be
+    evaluated for each shift) of token_hashes; an array of longs."""
     zipped = F.arrays_zip(*(_shifted(h, k).alias(f"t{k}") for k in range(WINDOW)))
     each = F.transform(zipped, lambda x: F.xxhash64(*(x[f"t{k}"] for k in range(WINDOW))))
-    return F.slice(each, F.lit(1), F.greatest(F.size(tokens) - (WINDOW - 1), F.lit(0)))
+    return F.slice(each, F.lit(1), F.greatest(F.size(h) - (WINDOW - 1), F.lit(0)))
 
 
 def _is_slot(token: Column) -> Column:
@@ -70,8 +74,9 @@ def _is_slot(token: Column) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
-    b = benchmark.select(F.col(item_col).alias("item"), words_of(template(F.col(text_col))).alias("_t"))
-    b = b.select("item", "_t", F.posexplode_outer(window_hashes(F.col("_t"))).alias("bpos", "w")).where("w is not null")
+    text = F.col(text_col)
+    b = benchmark.select(F.col(item_col).alias("item"), words_of(template(text)).alias("_t"), token_hashes(text).alias("_h"))
+    b = b.select("item", "_t", F.posexplode_outer(window_hashes(F.col("_h"))).alias("bpos", "w")).where("w is not null")
     literal = F.size(F.filter(F.slice("_t", F.col("bpos") + 1, F.lit(WINDOW)), lambda t: ~_is_slot(t)))
     return b.where(literal >= MIN_LITERAL).select("item", "bpos", "w")
 
@@ -81,9 +86,9 @@ def runs(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item
     grams = checkpointed(benchmark_windows(benchmark, item_col, item_text_col))
     if grams.limit(MAX_BROADCAST_WINDOWS + 1).count() <= MAX_BROADCAST_WINDOWS:
         grams = F.broadcast(grams)
-    d = docs.select(F.col(id_col).alias("doc_id"), words_of(template(F.col(text_col))).alias("_t"))
+    d = docs.select(F.col(id_col).alias("doc_id"), token_hashes(F.col(text_col)).alias("_h"))
     # outer, so that no filter on the array is derived, which would compute it twice
-    d = d.select("doc_id", F.posexplode_outer(window_hashes(F.col("_t"))).alias("dpos", "w"))
+    d = d.select("doc_id", F.posexplode_outer(window_hashes(F.col("_h"))).alias("dpos", "w"))
     hits = d.join(grams, "w").select("doc_id", "item", (F.col("dpos") - F.col("bpos")).alias("diagonal"), "dpos")
     return hits.groupBy("doc_id", "item", "diagonal").agg(
         F.min("dpos").alias("first"), F.max("dpos").alias("last"), F.countDistinct("dpos").alias("windows")
