@@ -9,7 +9,8 @@
    word.
 3. A lexicon is learned from labelled documents by sequential covering: of all
    restored words and word beginnings that are precise enough, take the one
-   that explains most toxic documents not yet explained, until few are left.
+   that explains most toxic documents not yet explained, until few are left;
+   then add the words in at least BROAD_SHARE of the toxic documents.
    Beginnings carry over to inflections never seen in training.
 4. A document's score is 1 - prod(1 - p) over the lexicon entries in its plain
    and restored words, p the smoothed precision of an entry.
@@ -45,6 +46,7 @@ SEPARATING = ".-_*'"
 SUBSTITUTE, COLLAPSE, SKIP, KEEP_SIGN = -1.0, -0.3, -0.3, -6.0
 MAX_LABELLED = 10_000
 BASE = 0.02
+BROAD_LEAST, BROAD_SHARE = 8, 0.05
 CLASSES = 128
 _GRAM = "gram int, n long"
 
@@ -154,17 +156,18 @@ _EDGE = re.compile(r"^[^\w@$!|+]+|[^\w]+$")
 
 
 def _word_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, feature) of every word of letters: the word, and its first 4 and 5 bytes."""
+    """(text, feature) of every word of letters: the word (an even hash), and
+    its first 4 and 5 bytes (odd hashes)."""
     w = Words(lower_latin(data), offsets, _LETTER)
     size = w.ends - w.starts
     owner = w.doc_of_word()
-    texts, feats = [owner], [w.hashes()]
+    texts, feats = [owner], [w.hashes() & ~np.uint64(1)]
     for k in (4, 5):
         long = size > k
         part = Words.__new__(Words)
         part.data, part.starts, part.ends = w.data, w.starts[long], w.starts[long] + k
         texts.append(owner[long])
-        feats.append(mix64(part.hashes() + np.uint64(k)))
+        feats.append(mix64(part.hashes() + np.uint64(k)) | np.uint64(1))
     return np.concatenate(texts), np.concatenate(feats)
 
 
@@ -186,9 +189,11 @@ def document_features(texts: pa.Array, lm: np.ndarray):
         yield i, j, owner, feats, pairs
 
 
-def learn_lexicon(doc: np.ndarray, feature: np.ndarray, hits: np.ndarray, total: np.ndarray, least: int = 3) -> tuple[np.ndarray, np.ndarray]:
+def learn_lexicon(
+    doc: np.ndarray, feature: np.ndarray, word: np.ndarray, hits: np.ndarray, total: np.ndarray, least: int = 3
+) -> tuple[np.ndarray, np.ndarray]:
     """Sequential covering. doc, feature: toxic documents by candidate feature;
-    hits, total: of each candidate, toxic and all documents that hold it."""
+    of each candidate: is it a word, and the toxic and all documents with it."""
     open_pair = np.ones(len(doc), dtype=bool)
     docs, doc = np.unique(doc, return_inverse=True)
     chosen: list[int] = []
@@ -196,12 +201,14 @@ def learn_lexicon(doc: np.ndarray, feature: np.ndarray, hits: np.ndarray, total:
         gain = np.bincount(feature[open_pair], minlength=len(hits))
         if not len(gain) or gain.max() < least:
             break
-        best = int(np.lexsort((-np.arange(len(hits)), hits, gain))[-1])
+        best = int(np.lexsort((-np.arange(len(hits)), hits, word, gain))[-1])
         chosen.append(best)
         covered = np.zeros(len(docs), dtype=bool)
         covered[doc[feature == best]] = True
         open_pair &= ~covered[doc]
-    k = np.array(chosen, dtype=np.int64)
+    # words that covering left out since their documents hold others too
+    broad = np.flatnonzero(word & (hits >= max(BROAD_LEAST, BROAD_SHARE * len(docs))))
+    k = np.union1d(np.array(chosen, dtype=np.int64), broad)
     return k, (hits[k] + 0.1) / (total[k] + 1.0)
 
 
@@ -228,7 +235,7 @@ def train(docs: DataFrame, labels: DataFrame, lm: np.ndarray, max_labelled: int,
     precise = counts.where("hits >= 4 and hits + 0.5 >= 0.9 * (total + 1)")
     pairs = held.where("_y = 1").select("_id", "f").join(precise, "f").toArrow()
     f, first, inverse = np.unique(pairs["f"].to_numpy(), return_index=True, return_inverse=True)
-    k, p = learn_lexicon(pairs["_id"].to_numpy(), inverse, pairs["hits"].to_numpy()[first], pairs["total"].to_numpy()[first])
+    k, p = learn_lexicon(pairs["_id"].to_numpy(), inverse, f % 2 == 0, pairs["hits"].to_numpy()[first], pairs["total"].to_numpy()[first])
     order = np.argsort(f[k].view(np.uint64))
     return f[k].view(np.uint64)[order], np.log1p(-p)[order]
 
