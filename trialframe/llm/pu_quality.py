@@ -50,7 +50,9 @@ _HIGH = (np.arange(256) >= 0x80).astype(np.int64)
 
 
 def features(texts: pa.Array) -> np.ndarray:
-    """One row of FEATURES for each text."""
+    """One row of FEATURES for each text. Shares of repeats are squared: a
+    repeated line or two is common in good short texts, wholesale repetition is
+    not."""
     out = np.zeros((len(texts), len(FEATURES)))
     for i, j, data, offsets in slices(texts):
         w = Words(data, offsets)
@@ -84,8 +86,8 @@ def features(texts: pa.Array) -> np.ndarray:
                 lines_again[k] = 1 - len(set(rows)) / len(rows)
         out[i:j] = np.column_stack([
             np.log1p(words), total(capital) / letters, total(_DIGIT[data]) / size, total(_BANG[data]) / per, total(_BAR[data]) / per,
-            total(_SYMBOL[data]) / per, (same[w.doc[1:]] - same[w.doc[:-1]]) / per, again, np.diff(offsets) / per / 10,
-            total(_STOP[data]) / per, total(_LINE[data]) / per, total(_HIGH[data]) / size, lines_again,
+            total(_SYMBOL[data]) / per, (same[w.doc[1:]] - same[w.doc[:-1]]) / per, again**2, np.diff(offsets) / per / 10,
+            total(_STOP[data]) / per, total(_LINE[data]) / per, total(_HIGH[data]) / size, lines_again**2,
         ])
     return out
 
