@@ -153,25 +153,37 @@ def cv_auc(df: DataFrame, label: str, fold: str, make, cols: Sequence[str]) -> f
     return sum(scores) / len(scores)
 
 
-def rfecv(df: DataFrame, label: str, fold: str, cols: Sequence[str], make, step: float = 0.25,
-          min_features: int = 5) -> list[tuple[int, float, list[str]]]:
-    """Recursive elimination with CV. Each round fits the estimator on
-    the current subset, drops the ``step`` share (at least one) of features
-    with the lowest importance, scores every subset by CV AUC. Returns
-    (n_features, cv_auc, features) per round; the caller keeps the best."""
+def _eliminate(train: DataFrame, cols: Sequence[str], make, step: float, min_features: int):
+    """(features, model) from all of ``cols`` down to ``min_features``, each
+    round without the ``step`` share (at least one) of least importance."""
     cur = list(cols)
-    out = []
     while True:
-        out.append((len(cur), cv_auc(df, label, fold, make, cur), list(cur)))
+        m = make().setFeaturesCol("_fs").fit(assemble(train, cur, "_fs"))
+        yield list(cur), m
         if len(cur) <= min_features:
-            break
-        m = make().setFeaturesCol("_fs").fit(assemble(df, cur, "_fs"))
+            return
         ranked = sorted(importances(m, cur), key=lambda t: (t[1], t[0]))
-        n_drop = max(1, int(len(cur) * step))
-        n_drop = min(n_drop, len(cur) - min_features)
+        n_drop = min(max(1, int(len(cur) * step)), len(cur) - min_features)
         drop = {n for n, _ in ranked[:n_drop]}
         cur = [c for c in cur if c not in drop]
-    return out
+
+
+def rfecv(df: DataFrame, label: str, fold: str, cols: Sequence[str], make, step: float = 0.25,
+          min_features: int = 5) -> list[tuple[int, float, list[str]]]:
+    """Recursive elimination with CV. The elimination is run on each
+    fold's training rows and scored on its held-out rows, which so have no say
+    in the features; the mean AUC per number of features is the CV score.
+    Returns (n_features, cv_auc, features) per round, the features those of an
+    elimination on all rows; the caller keeps the best number."""
+    folds = sorted(r[0] for r in df.select(fold).distinct().collect())  # k small ints
+    ev = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="score", metricName="areaUnderROC")
+    scores: dict[int, list[float]] = {}
+    for k in folds:
+        held = df.where(F.col(fold) == k)
+        for cur, m in _eliminate(df.where(F.col(fold) != k), cols, make, step, min_features):
+            p = positive_score(m.transform(assemble(held, cur, "_fs")), m)
+            scores.setdefault(len(cur), []).append(ev.evaluate(p.select(label, "score")))
+    return [(len(cur), sum(scores[len(cur)]) / len(folds), cur) for cur, _ in _eliminate(df, cols, make, step, min_features)]
 
 
 # ------------------------------------------------------------------ M12

@@ -2,13 +2,13 @@
 MiniROCKET method (Dempster, Schmidt & Webb, KDD 2021): 84 fixed kernels of
 length 9 (weights -1, with +2 at three of the nine positions), a set of
 dilations, per-(kernel, dilation) biases taken from quantiles of the
-convolution output on a bounded fit sample, and PPV pooling (share of
+convolution output over the whole fit split, and PPV pooling (share of
 positions where the output exceeds the bias).
 
 Spark shape: one row per recording holding its equal-length series as an
-array (M15, bounded by the resample length). The fit step draws at most
-``fit_rows`` recordings by hash order (a bounded sample reaches the driver),
-computes the biases, and ships the small parameter set to the executors; the
+array (M15, bounded by the resample length). The fit picks, by hash, one
+recording for each (dilation, kernel) among all and computes its quantiles in
+the tasks; only the biases reach the driver and go back to the executors. The
 transform is a ``mapInPandas`` over Arrow batches of recordings.
 """
 
@@ -77,20 +77,41 @@ def _quantiles(n: int) -> np.ndarray:
     return np.array([(i * ((np.sqrt(5) + 1) / 2)) % 1 for i in range(1, n + 1)], dtype=np.float32)
 
 
-def fit(sample: np.ndarray, n_features: int = 840, seed: int = 42) -> RocketParams:
-    """Biases from a bounded sample of series (rows of ``sample``)."""
-    rng = np.random.default_rng(seed)
-    length = sample.shape[1]
+def fit(df: DataFrame, series: str, id_col: str, length: int, n_features: int = 840, seed: int = 42) -> RocketParams:
+    """Biases from the whole of ``df``: every (dilation, kernel) takes the
+    quantiles of one recording's convolution, that of the smallest hash of
+    (id, dilation, kernel, seed). Each task proposes its smallest, with the
+    quantiles; a min per pair decides. Only those quantiles reach the driver
+    (``n_features`` numbers), whatever the number of recordings."""
+    import pandas as pd
+
     d, counts = dilations(length, n_features)
     w = _kernels()
-    biases = []
-    for di, (dil, cnt) in enumerate(zip(d, counts)):
-        q = _quantiles(int(cnt))
-        for k in range(len(w)):
-            x = sample[rng.integers(len(sample))]
-            c = conv(x, w[k], int(dil), pad=(di + k) % 2 == 0)
-            biases.append(np.quantile(c, q) if c.size else np.zeros(len(q)))
-    return RocketParams(d, counts, np.concatenate(biases).astype(np.float32))
+    pairs = [(di, k) for di in range(len(d)) for k in range(len(w))]
+    salt = pd.util.hash_array(np.array([f"{di}:{k}:{seed}" for di, k in pairs], dtype=object))
+
+    def propose(batches):
+        best, rows = np.full(len(pairs), np.iinfo(np.uint64).max, dtype=np.uint64), [None] * len(pairs)
+        for pdf in batches:
+            ids = pd.util.hash_array(pdf[id_col].astype(str).to_numpy(dtype=object))
+            for i, x in zip(ids, pdf[series]):
+                h = pd.util.hash_array(salt ^ i)
+                for p in np.flatnonzero(h < best):
+                    rows[p] = x
+                best = np.minimum(best, h)
+        out = []
+        for p, (di, k) in enumerate(pairs):
+            if rows[p] is not None:
+                c = conv(np.nan_to_num(np.asarray(rows[p], dtype=np.float32)), w[k], int(d[di]), pad=(di + k) % 2 == 0)
+                q = np.quantile(c, _quantiles(int(counts[di]))) if c.size else np.zeros(int(counts[di]))
+                out.append((p, int(best[p] >> np.uint64(1)), q.astype(float).tolist()))
+        yield pd.DataFrame(out, columns=["p", "h", "q"])
+
+    proposed = df.select(id_col, series).mapInPandas(propose, "p int, h long, q array<double>")
+    chosen = {r["p"]: r["q"] for r in proposed.groupBy("p").agg(F.min_by("q", "h").alias("q")).collect()}
+    if len(chosen) < len(pairs):
+        raise ValueError("no recording to fit on")
+    return RocketParams(d, counts, np.concatenate([chosen[p] for p in range(len(pairs))]).astype(np.float32))
 
 
 def transform_batch(X: np.ndarray, p: RocketParams) -> np.ndarray:
@@ -119,16 +140,6 @@ def transform_array(x: np.ndarray, p: RocketParams) -> np.ndarray:
     return transform_batch(np.asarray(x, dtype=np.float32)[None, :], p)[0]
 
 
-def fit_sample(df: DataFrame, series: str, id_col: str, fit_rows: int = 256, seed: int = 42) -> np.ndarray:
-    """Bounded, deterministic fit sample: the ``fit_rows`` recordings with
-    the smallest hash (a top-k that is the feature: the fit sample size)."""
-    from trialframe.operators.split import hash32
-
-    rows = (df.select(series, hash32(id_col, seed).alias("_h"), id_col)
-            .orderBy("_h", id_col).limit(fit_rows).select(series).collect())
-    return np.array([np.asarray(r[0], dtype=np.float32) for r in rows])
-
-
 def transform(df: DataFrame, series: str, p: RocketParams, keep: list[str], out: str = "rocket") -> DataFrame:
     """mapInPandas over Arrow batches; parameters travel in the closure
     (a few thousand floats)."""
@@ -151,10 +162,11 @@ def transform(df: DataFrame, series: str, p: RocketParams, keep: list[str], out:
 
 def stack_series(long: DataFrame, rec: list[str], pos: str, value: str, length: int, out: str = "series") -> DataFrame:
     """One row per recording with its values in position order, padded
-    with nulls to ``length`` (input already resampled, so arrays are bounded
-    by ``length``)."""
-    g = long.where(F.col(pos) < length).groupBy(*rec).agg(
+    with nulls to ``length``. A longer recording raises an error: resample
+    (W3) or truncate (W19) first."""
+    g = long.groupBy(*rec).agg(
         F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(value).alias("v")))).alias("_s"))
     vals = F.transform("_s", lambda s: s["v"])
     pad = F.array_repeat(F.lit(None).cast("double"), F.lit(length) - F.size("_s"))
-    return g.select(*rec, F.concat(vals, pad).alias(out))
+    long_one = F.raise_error(F.concat(F.lit(f"a recording is longer than {length}: "), F.size("_s").cast("string")))
+    return g.select(*rec, F.when(F.size("_s") > length, long_one.cast("array<double>")).otherwise(F.concat(vals, pad)).alias(out))

@@ -32,9 +32,9 @@ def model_frame(spark, sf):
 @register("ts_random_conv_features")
 def q_rocket(spark, sf):
     """Random-convolution (MiniROCKET-style) PPV features per
-    recording; biases fit on a bounded hash-chosen sample."""
+    recording; biases fit on all recordings."""
     s = series_rows(spark, sf)
-    params = rocket.fit(rocket.fit_sample(s, "series", "vec_id", 256, SEED), n_features=840, seed=SEED)
+    params = rocket.fit(s, "series", "vec_id", N, n_features=840, seed=SEED)
     r = rocket.transform(s, "series", params, ["vec_id", "y"])
     return r.select("vec_id", "y", F.size("rocket").alias("n_features"),
                     F.round(F.aggregate("rocket", F.lit(0.0), lambda a, x: a + x) / F.size("rocket"), 6).alias("ppv_mean"))
