@@ -7,10 +7,11 @@ import pytest
 import __spark_entry__ as E
 from tests.conftest import SF_SMALL
 from tools.oracle_check import digest
+from trialframe.plans import registry
 from trialframe.sources.tables import TABLES
 
-SQL = E.oracle_sql()
-QUERIES = E.queries()
+registry.load_all()  # the training-data queries are tested in their own folder
+SQL, QUERIES = registry.ORACLE, registry.QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -24,6 +25,7 @@ def con():
 def test_every_query_is_registered_with_callable():
     assert len(QUERIES) >= 80
     assert set(SQL) <= set(QUERIES)
+    assert set(QUERIES) <= set(E.queries()) and set(SQL) <= set(E.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
