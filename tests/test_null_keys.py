@@ -112,3 +112,18 @@ def test_detect_task_and_coercion(spark):
     df = spark.createDataFrame([(float(k % 2), k + 0.5, "1.5" if k else "x") for k in range(12)], "a double, b double, c string")
     assert prep.detect_task(df, "a") == "classification" and prep.detect_task(df, "b") == "regression"
     assert [r[0] for r in df.select(prep.coerce_numeric("c")).limit(2).collect()] == [None, 1.5]
+
+
+def test_column_families_and_schema_diff(spark):
+    from trialframe.operators import quality
+
+    df = spark.createDataFrame([(1, 1.0, 2.0, "x")], "id long, trial0_a double, trial12_a double, trial3_b_c string")
+    assert dict(map(tuple, summary.column_families(df).collect())) == {"a": 2, "b_c": 1}
+    want = {"id": "bigint", "trial0_a": "int", "gone": "string", "trial12_a": "double"}
+    assert quality.schema_diff(df, want) == [("gone", "missing", "string", None), ("trial0_a", "type", "int", "double"), ("trial3_b_c", "extra", None, "string")]
+
+
+def test_wide_merge_keeps_null_keys(spark):
+    a = spark.createDataFrame([(1, 10), (None, 20)], "k long, v int")
+    b = spark.createDataFrame([(None, 30), (2, 40)], "k long, v int")
+    assert sorted(map(str, map(tuple, joins.wide_merge({"a_": a, "b_": b}, ["k"]).collect()))) == ["(1, 10, None)", "(2, None, 40)", "(None, 20, 30)"]

@@ -135,3 +135,13 @@ def label_join_report(wide: DataFrame, scores: DataFrame, key: str, score: str)
 
 def newest_rank(df: DataFrame, key: Sequence[str], order_desc: Sequence[Column]) -> Column:
     return F.row_number().over(Window.partitionBy(*key).orderBy(*order_desc))
+
+
+def include_exclude(df: DataFrame, col: str, include: Sequence[str] = (), exclude: Sequence[str] = ()) -> DataFrame:
+    """rows whose name is in ``include`` if that is given (it wins), else
+    rows whose name is not in ``exclude``; a null name is in no list."""
+    if include:
+        return df.where(F.col(col).isin(list(include)))
+    if exclude:
+        return df.where(~F.coalesce(F.col(col).isin(list(exclude)), F.lit(False)))
+    return df

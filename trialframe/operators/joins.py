@@ -75,3 +75,27 @@ def metric_delta(a: DataFrame, b: DataFrame, on: Sequence[str], metric_cols: Seq
     sb = b.select(*on, *[F.col(c).alias(c + suffixes[1]) for c in metric_cols])
     j = sa.join(sb, list(on), "inner")
     return j.withColumns({f"{c}_delta": F.col(c + suffixes[1]) - F.col(c + suffixes[0]) for c in metric_cols})
+
+
+def wide_merge(parts: dict[str, DataFrame], keys: Sequence[str]) -> DataFrame:
+    """P5: full outer merge of several per-key tables; keys once, every other
+    column under its source's prefix. All joins share the key partitioning.
+    Null keys merge with null keys."""
+    out = None
+    for prefix, df in parts.items():
+        part = df.select(*keys, *[F.col(c).alias(f"{prefix}{c}") for c in df.columns if c not in keys])
+        if out is None:
+            out = part
+            continue
+        right = part.withColumnsRenamed({k: f"__{k}" for k in keys})
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+        both = out.join(right, same, "full")
+        out = both.withColumns({k: F.coalesce(k, f"__{k}") for k in keys}).drop(*[f"__{k}" for k in keys])
+    return out
+
+
+def attach_stats(rows: DataFrame, stats: DataFrame, key: str) -> DataFrame:
+    """Left join of recording-level stats; a column that both sides have
+    is taken from the stats, and rows without stats stay."""
+    clash = [c for c in stats.columns if c in rows.columns and c != key]
+    return attach(rows.drop(*clash), stats, key, "left")

@@ -172,3 +172,33 @@ def wide_scores(metrics_long: DataFrame, index: Sequence[str], metric: str, valu
     """Long (model, metric, value) -> one row per model, one column per
     metric, with an explicit metric list (no distinct job)."""
     return metrics_long.groupBy(*index).pivot(metric, list(metrics)).agg(F.first(value))
+
+
+def confusion_shares(conf: DataFrame, by) -> DataFrame:
+    """The four cells of ``confusion`` as rows, with their share of the
+    actual class and of all rows."""
+    cells = [("tn", 0, 0), ("fp", 0, 1), ("fn", 1, 0), ("tp", 1, 1)]
+    each = F.explode(F.array(*[
+        F.struct(F.lit(a).alias("actual"), F.lit(p).alias("predicted"), F.col(c).alias("count")) for c, a, p in cells
+    ]))
+    rows = conf.select(*_by(by), "tp", "fp", "tn", "fn", "n", each.alias("_c")).select(*_by(by), "tp", "fp", "tn", "fn", "n", "_c.*")
+    actual = F.when(F.col("actual") == 1, F.col("tp") + F.col("fn")).otherwise(F.col("tn") + F.col("fp"))
+    return rows.select(*_by(by), "actual", "predicted", "count", F.try_divide("count", actual).alias("row_share"),
+                       (F.col("count") / F.col("n")).alias("total_share"))
+
+
+def class_report(conf: DataFrame, by) -> DataFrame:
+    """Precision, recall, f1 (zero division -> 0) and support of class 0
+    and class 1, from ``confusion``."""
+    z = F.lit(0.0)
+    parts = F.explode(F.array(
+        F.struct(F.lit(0).alias("cls"), F.col("tn").alias("hit"), F.col("fn").alias("wrong"), F.col("fp").alias("missed")),
+        F.struct(F.lit(1).alias("cls"), F.col("tp").alias("hit"), F.col("fp").alias("wrong"), F.col("fn").alias("missed")),
+    ))
+    r = conf.select(*_by(by), parts.alias("_c")).select(*_by(by), "_c.*")
+    r = r.withColumns({
+        "precision": F.coalesce(F.try_divide(F.col("hit"), F.col("hit") + F.col("wrong")), z),
+        "recall": F.coalesce(F.try_divide(F.col("hit"), F.col("hit") + F.col("missed")), z),
+    })
+    f1 = F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), z)
+    return r.select(*_by(by), "cls", "precision", "recall", f1.alias("f1"), (F.col("hit") + F.col("missed")).alias("support"))

@@ -79,3 +79,12 @@ def group_leak(folds: DataFrame, group: str, fold: str = "fold") -> DataFrame:
     """Groups appearing in more than one fold (must be empty)."""
     g = folds.groupBy(group).agg(F.count_distinct(fold).alias("n_folds"))
     return g.where(F.col("n_folds") > 1)
+
+
+def schema_diff(df: DataFrame, expected: dict[str, str]) -> list[tuple[str, str, str | None, str | None]]:
+    """Q7: (column, problem, expected type, found type) of the columns that
+    are missing, extra or of another type; names and types only."""
+    found = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    out = [(c, "missing", t, None) for c, t in expected.items() if c not in found]
+    out += [(c, "extra", None, t) for c, t in found.items() if c not in expected]
+    return sorted(out + [(c, "type", t, found[c]) for c, t in expected.items() if c in found and found[c] != t])

@@ -147,3 +147,24 @@ def histogram(df: DataFrame, col: str, bins: int, by: Sequence[str] = ()) -> Dat
         F.first(F.col("_lo") + (F.col("bin") + 1) * width).alias("hi"),
         F.count(F.lit(1)).alias("n"),
     )
+
+
+def signal_summary(df: DataFrame, rec: Sequence[str], signals: Sequence[str]) -> DataFrame:
+    """The eight numbers of each signal of a recording, long form: one
+    unpivot and one aggregate, however many signals."""
+    long = df.select(*rec, *[F.col(c).cast("double").alias(c) for c in signals]).unpivot(list(rec), list(signals), "signal", "v")
+    return eight_number(long, [*rec, "signal"], "v", extra=[F.count("v").alias("n")])
+
+
+def status_counts(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows per status and their share of all."""
+    g = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    return g.withColumn("share", F.col("n") / g.agg(F.sum("n")).scalar())
+
+
+def column_families(df: DataFrame, pattern: str = r"^trial\d+_(.+)$") -> DataFrame:
+    """Number of columns of each family (group 1 of ``pattern``) and how
+    many trials they cover, from the column names alone."""
+    names = df.sparkSession.createDataFrame([(c,) for c in df.columns], "name string")
+    family = F.regexp_extract("name", pattern, 1)
+    return names.where(family != "").groupBy(family.alias("family")).agg(F.count(F.lit(1)).alias("n_columns"))

@@ -40,4 +40,5 @@ def load_all() -> None:
         q_models,
         q_stream,
         q_more,
+        q_fill,
     )
