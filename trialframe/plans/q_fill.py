@@ -55,7 +55,7 @@ def q_recording_stats_join(spark, sf):
 SIGNALS = {
     "quantity": "l_quantity", "price": "l_extendedprice", "discount": "l_discount", "tax": "l_tax",
     "net": "l_extendedprice * (1 - l_discount)", "gross": "l_extendedprice * (1 + l_tax)",
-    "unit": "l_extendedprice / l_quantity", "discount_value": "l_extendedprice * l_discount",
+    "unit": "floor(l_extendedprice / l_quantity)", "discount_value": "l_extendedprice * l_discount",
     "tax_value": "l_extendedprice * l_tax", "line": "l_linenumber * 1.0",
 }
 _SIGNAL_SQL = ", ".join(f"CAST({e} AS DOUBLE) AS {n}" for n, e in SIGNALS.items())
