@@ -14,6 +14,11 @@ import string
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# fixed values: samples of a task's recording at 60 frames a second, and the
+# number of trials (time-series samples) of a task
+RESAMPLE_60FPS = {"calibration_1": 1650, "calibration_2": 1650, "plr": 480, "face_pairs": 5460, "mckinnon": 1440}
+TRIAL_COUNTS = {"face_pairs": 140, "calibration_1": 9, "calibration_2": 9, "plr": 90, "mckinnon": 30}
+
 DEFAULT_CONFIG: dict = {
     "default": {
         "cohort_id": 5,
@@ -22,8 +27,8 @@ DEFAULT_CONFIG: dict = {
                    "completion": "completion"},
         # two SEPARATE per-task maps (T24): resample length at 60 fps, and
         # the number of trials per task
-        "resample_60fps": {},
-        "trial_counts": {},
+        "resample_60fps": RESAMPLE_60FPS,
+        "trial_counts": TRIAL_COUNTS,
         "processing": {"threshold": 33, "buffer": 8, "interp_factor": 1.0},
     },
 }

@@ -36,7 +36,8 @@ def read_dir_with_key(spark: SparkSession, directory: str, fmt: str = "parquet",
     """Every file of a folder as one dataset, with ``file_name`` and the
     session key (file stem up to the first '_'). Empty files contribute no
     rows; files with different columns are merged by name; corrupt files are
-    skipped (S8) when ``ignore_corrupt``."""
+    skipped (S8) when ``ignore_corrupt``; :func:`failed_files` then reports
+    them, and those that broke half-way."""
     r = spark.read.format(fmt).option("ignoreCorruptFiles", str(ignore_corrupt).lower())
     if fmt == "parquet":
         r = r.option("mergeSchema", str(merge_schema).lower())
@@ -60,12 +61,20 @@ def list_files(spark: SparkSession, directory: str, glob: str | None = None, rec
 
 
 def failed_files(spark: SparkSession, directory: str, data: DataFrame, glob: str | None = None) -> DataFrame:
-    """Listed files that produced no readable row (corrupt or empty),
-    as a side table - the job itself continues. ``data`` is the output of
-    :func:`read_dir_with_key`."""
+    """Listed files that produced no readable row (corrupt or empty), or
+    fewer rows than their footer promises (broken half-way), as a side table
+    - the job itself continues. ``data`` is the output of
+    :func:`read_dir_with_key` on parquet files, before any filter; the
+    promised counts come from the footers alone."""
     listed = list_files(spark, directory, glob).select("path", "name")
-    read = data.select(F.col("file_name").alias("name")).distinct()
-    return listed.join(read, "name", "left_anti").withColumn("error", F.lit("unreadable or empty"))
+    read = data.groupBy(F.col("file_name").alias("name")).agg(F.count(F.lit(1)).alias("_rows"))
+    r = spark.read.option("ignoreCorruptFiles", "true")
+    footers = (r.option("pathGlobFilter", glob) if glob else r).schema(T.StructType()).parquet(directory)
+    promised = footers.groupBy(F.col("_metadata.file_name").alias("name")).agg(F.count(F.lit(1)).alias("_promised"))
+    j = listed.join(read, "name", "left").join(promised, "name", "left")
+    error = F.when(F.col("_rows").isNull(), F.lit("unreadable or empty")).when(
+        F.col("_rows") < F.col("_promised"), F.concat_ws(" ", F.lit("read"), "_rows", F.lit("of"), "_promised", F.lit("rows")))
+    return j.withColumn("error", error).where("error is not null").select("name", "path", "error")
 
 
 def newest_file(listing: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -143,11 +152,13 @@ def read_paired_frames(spark: SparkSession, directory: str, stats: DataFrame) ->
 
 # ------------------------------------------------------------------ S11
 def read_runs(spark: SparkSession, root: str, preferred: str = "run_metadata.json",
-              fallback: str = "results.json") -> DataFrame:
+              fallback: str = "results.json", schema: T.StructType | str | None = None) -> DataFrame:
     """One metadata row per run folder; ``preferred`` wins over
-    ``fallback`` when a folder has both. Both names are read in one scan."""
-    df = (spark.read.option("multiLine", True).option("recursiveFileLookup", True)
-          .json(root).withColumn("_path", F.col("_metadata.file_path")))
+    ``fallback`` when a folder has both. Only files of the two names are
+    opened, in one scan (two if the schema has to be inferred)."""
+    r = spark.read.option("multiLine", True).option("recursiveFileLookup", True)
+    r = r.option("pathGlobFilter", f"{{{preferred},{fallback}}}")
+    df = (r.schema(schema) if schema is not None else r).json(root).withColumn("_path", F.col("_metadata.file_path"))
     df = df.withColumns({"file_name": names.base_name("_path"),
                          "run_folder": F.regexp_extract("_path", r"([^/]+)/[^/]+$", 1)})
     df = df.where(F.col("file_name").isin(preferred, fallback))
