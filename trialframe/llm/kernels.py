@@ -16,7 +16,7 @@ import pyarrow as pa
 
 # fixed value: the separators of the word pattern [^\x20\x09-\x0D]+
 SEPARATORS = bytes([0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20])
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 _IS_WORD_BYTE = np.ones(256, dtype=bool)
 _IS_WORD_BYTE[list(SEPARATORS)] = False

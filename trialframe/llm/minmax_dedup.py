@@ -152,7 +152,7 @@ def find(
         signed.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"))
     )
     reps = signed.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    entries = reps.select("doc_id", F.explode("bands").alias("band")).distinct()
+    entries = reps.select("doc_id", F.explode("bands").alias("band"))
     stars = checkpointed(entries.groupBy("band").agg(F.min("doc_id").alias("b"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m"))
     clusters = components(entries.join(stars, "band").select(F.col("doc_id").alias("a"), "b"))
     clusters = checkpointed(clusters)

@@ -101,7 +101,7 @@ def tokenize(texts: pa.Array, encoding) -> tuple[np.ndarray, np.ndarray]:
     starts = np.flatnonzero(cut)
     ends = np.r_[starts[1:], n]
     keys = np.empty(len(starts), dtype=np.uint64)
-    step = 4 << 20  # pieces are hashed in runs of about this many bytes
+    step = 1 << 20  # pieces are hashed in runs of about this many bytes
     at = 0
     while at < len(starts):
         to = max(at + 1, int(np.searchsorted(ends, starts[at] + step, side="right")))
