@@ -249,6 +249,18 @@ def test_reparameterised_questions(spark):
     assert got[2]["items"] == [9]
 
 
+def test_one_edited_slot_does_not_clear_a_long_copy(spark):
+    words = [f"word{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60)]
+    words[15] = words[45] = "12"
+    item = " ".join(words)
+    edited = lambda k, x: " ".join([*words[:k], x, *words[k + 1 :]])
+    docs = [(1, item), (2, edited(45, "twelve")), (3, edited(45, "13")), (4, edited(15, "13")), (5, " ".join(words[:10]))]
+    bench = spark.createDataFrame([(9, item)], "item_id long, text string")
+    got = {r["doc_id"]: r["n_windows"] for r in decontaminate.find(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    # 53 windows, 8 of them over each place; 5 has 3, too few
+    assert got == {1: 53, 2: 45, 3: 45, 4: 45, 5: 0}
+
+
 # mixing -------------------------------------------------------------------
 
 

@@ -4,11 +4,13 @@ Texts are canonicalised: numbers, the units behind them and names (capitalised
 words inside a sentence) become typed placeholders, the rest lower case without
 punctuation. Windows of WINDOW template tokens are hashed and joined with those
 of the benchmark. Hits of a document and an item on one diagonal (document
-position minus item position) form a run; along it the slots must be
-consistent: one value of the item always stands for one value of the document.
-That catches re-parameterised questions, not only copies. A document is
-contaminated by an item if a consistent run has ``min_windows`` windows, or all
-windows of the item if it has fewer.
+position minus item position) form a run; at the places that its windows cover
+the slots must be consistent: one value of the item always stands for one value
+of the document. That catches re-parameterised questions, not only copies. A
+document is contaminated by an item if a consistent part of a run has
+``min_windows`` windows, or all windows of the item if it has fewer. A run in
+which a value of the item stands for two, one of them another of the item's own
+values, is no hit: it asks something else.
 
 Benchmark windows need MIN_LITERAL tokens that are no placeholders. An item with
 fewer than WINDOW tokens has no window and is not searched for.
@@ -82,7 +84,7 @@ def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str) -> Dat
 
 
 def runs(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
-    """(doc_id, item, diagonal, first, last, windows) of the aligned hits."""
+    """(doc_id, item, diagonal, at) of the aligned hits; at: their places in the document, sorted."""
     grams = checkpointed(benchmark_windows(benchmark, item_col, item_text_col))
     if grams.limit(MAX_BROADCAST_WINDOWS + 1).count() <= MAX_BROADCAST_WINDOWS:
         grams = F.broadcast(grams)
@@ -90,20 +92,54 @@ def runs(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item
     # outer, so that no filter on the array is derived, which would compute it twice
     d = d.select("doc_id", F.posexplode_outer(window_hashes(F.col("_h"))).alias("dpos", "w"))
     hits = d.join(grams, "w").select("doc_id", "item", (F.col("dpos") - F.col("bpos")).alias("diagonal"), "dpos")
-    return hits.groupBy("doc_id", "item", "diagonal").agg(
-        F.min("dpos").alias("first"), F.max("dpos").alias("last"), F.countDistinct("dpos").alias("windows")
-    )
+    return hits.groupBy("doc_id", "item", "diagonal").agg(F.sort_array(F.collect_set("dpos")).alias("at"))
+
+
+def _let(value: Column, then) -> Column:
+    """then(value), with value computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _covers(w: Column, p: Column) -> Column:
+    return (w <= p) & (p < w + WINDOW)
+
+
+def consistent_windows(at: Column, slots: Column) -> Column:
+    """Windows of the largest consistent part of a run.
+
+    at: places of its windows, sorted; slots: (p, b, d), the values b and d of
+    item and document at place p, of the places that a window covers. A part is
+    a range of windows along which a value of the item always stands for one of
+    the document, or all windows with unchanged values. A value that stands for
+    two, one of them another of the item's own, mixes up the item's slots, which
+    makes it another question: 0.
+    """
+    differs = lambda s, q: (q["b"] == s["b"]) & (q["d"] != s["d"])
+    mixed = F.exists(slots, lambda s: (s["b"] != s["d"]) & F.exists(slots, lambda q: differs(s, q)) & F.exists(slots, lambda q: q["b"] == s["d"]))
+    # of each slot: the first window over it (counted from 1), and the last window over the slot before it that disagrees
+    clash = F.transform(slots, lambda s: F.struct(
+        (F.size(F.filter(at, lambda w: w + (WINDOW - 1) < s["p"])) + 1).alias("first"),
+        F.array_max(F.transform(F.filter(slots, lambda q: (q["p"] < s["p"]) & differs(s, q)), lambda q: F.size(F.filter(at, lambda w: w <= q["p"])))).alias("last"),
+    ))
+    part = _let(F.filter(clash, lambda c: c["last"].isNotNull()), lambda cs: F.array_max(F.transform(
+        F.concat(F.array(F.size(at)), F.transform(cs, lambda c: c["first"] - 1)),
+        lambda j: j - F.coalesce(F.array_max(F.transform(F.filter(cs, lambda c: c["first"] <= j), lambda c: c["last"])), F.lit(0)),
+    )))
+    same = F.size(F.filter(at, lambda w: ~F.exists(slots, lambda s: _covers(w, s["p"]) & (s["b"] != s["d"]))))
+    return F.when(mixed, F.lit(0)).otherwise(F.greatest(part, same)).cast("long")
 
 
 def consistent(found: DataFrame, docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
-    """The runs whose slots agree; runs without slots pass."""
-    span = F.col("last") - F.col("first") + WINDOW
+    """(doc_id, item, windows) of the runs with the windows of their largest
+    consistent part; all windows of runs without slots."""
+    first, last = F.element_at("at", 1), F.element_at("at", -1)
+    span = last - first + WINDOW
     b = benchmark.select(F.col(item_col).alias("item"), words_of(template(F.col(item_text_col))).alias("_bt"), values(F.col(item_text_col)).alias("_bv"))
     b = b.dropDuplicates(["item"])
-    start = F.greatest(F.col("first") - F.col("diagonal"), F.lit(0)) + 1
+    start = F.greatest(first - F.col("diagonal"), F.lit(0)) + 1
     found = found.join(b, "item").withColumn("_slots", F.slice("_bt", start, span)).withColumn("_bv", F.slice("_bv", start, span))
     found = checkpointed(found.withColumn("_has", F.exists("_slots", _is_slot)).drop("_bt"))
-    plain = found.where("not _has").drop("_has", "_slots", "_bv")
+    plain = found.where("not _has").select("doc_id", "item", F.size("at").cast("long").alias("windows"))
     todo = found.where("_has").drop("_has")
     few = todo.limit(MAX_BROADCAST_RUNS + 1).count()
     if not few:
@@ -111,10 +147,10 @@ def consistent(found: DataFrame, docs: DataFrame, benchmark: DataFrame, id_col:
     todo = F.broadcast(todo) if few <= MAX_BROADCAST_RUNS else todo
     d = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     j = d.join(todo, F.col("_id").eqNullSafe(F.col("doc_id")))
-    z = F.arrays_zip(F.col("_slots").alias("t"), F.col("_bv").alias("b"), F.slice(values(F.col("_text")), F.col("first") + 1, span).alias("d"))
-    j = j.withColumn("_pairs", F.array_distinct(F.transform(F.filter(z, lambda x: _is_slot(x["t"])), lambda x: F.struct(x["b"].alias("b"), x["d"].alias("d")))))
-    agrees = F.size(F.array_distinct(F.transform("_pairs", lambda p: p["b"]))) == F.size("_pairs")
-    return plain.unionByName(j.where(agrees).select(*plain.columns))
+    z = F.arrays_zip(F.col("_slots").alias("t"), F.col("_bv").alias("b"), F.slice(values(F.col("_text")), first + 1, span).alias("d"))
+    placed = F.transform(z, lambda x, i: F.struct((i + first).alias("p"), x["t"].alias("t"), x["b"].alias("b"), x["d"].alias("d")))
+    slots = F.filter(placed, lambda s: _is_slot(s["t"]) & F.exists("at", lambda w: _covers(w, s["p"])))
+    return plain.unionByName(j.select("doc_id", "item", _let(slots, lambda s: consistent_windows(F.col("at"), s)).alias("windows")))
 
 
 def find(
@@ -125,8 +161,9 @@ def find(
     n_windows of its longest run, items sorted."""
     names = (id_col, text_col, item_col, item_text_col)
     need = benchmark_windows(benchmark, item_col, item_text_col).groupBy("item").agg(F.countDistinct("bpos").alias("of_item"))
-    found = runs(docs, benchmark, *names).join(need, "item").where(F.col("windows") >= F.least(F.lit(min_windows), F.col("of_item"))).drop("of_item")
-    found = consistent(found, docs, benchmark, *names)
+    need = need.select("item", F.least(F.lit(min_windows), F.col("of_item")).alias("least"))
+    found = runs(docs, benchmark, *names).join(need, "item").where(F.size("at") >= F.col("least")).drop("least")
+    found = consistent(found, docs, benchmark, *names).join(need, "item").where("windows >= least")
     hit = found.groupBy("doc_id").agg(F.max("windows").alias("n_windows"), F.sort_array(F.collect_set("item")).alias("items"))
     hit = hit.withColumnRenamed("doc_id", "_d")
     return docs.select(F.col(id_col).alias("_id")).join(hit, F.col("_id").eqNullSafe(F.col("_d")), "left").select(
