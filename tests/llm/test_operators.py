@@ -249,6 +249,20 @@ def test_reparameterised_questions(spark):
     assert got[2]["items"] == [9]
 
 
+def test_names_at_sentence_starts_and_of_several_words(spark):
+    item = "Alice has 12 apples. Bob gives her 7 more apples. How many apples does Alice have now?"
+    trip = "every summer the old painter from New York City walks slowly along the river to the market and buys fresh bread for the children in New York City"
+    docs = [
+        (1, item.replace("Alice", "Tom").replace("Bob", "Mary").replace("12", "31").replace("7", "5")),
+        (2, "First. " + item.replace("Alice", "Jean Paul").replace("Bob", "Eve Adams")),
+        (3, trip.replace("New York City", "Paris")),
+        (4, "Tom has 12 pears. Mary eats them all. How many pears does Tom have now?"),
+    ]
+    bench = spark.createDataFrame([(1, item), (2, trip)], "item_id long, text string")
+    got = {r["doc_id"]: r["items"] for r in decontaminate.find(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got == {1: [1], 2: [1], 3: [2], 4: []}
+
+
 def test_one_edited_slot_does_not_clear_a_long_copy(spark):
     words = [f"word{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60)]
     words[15] = words[45] = "12"

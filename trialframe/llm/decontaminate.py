@@ -2,13 +2,15 @@
 
 Texts are canonicalised: numbers, the units behind them and names (capitalised
 words inside a sentence) become typed placeholders, the rest lower case without
-punctuation. Windows of WINDOW template tokens are hashed and joined with those
+punctuation. A second reading takes every capitalised word as a name, the first
+of a sentence too, and several in a row as one. Windows of WINDOW template tokens are hashed and joined with those
 of the benchmark. Hits of a document and an item on one diagonal (document
 position minus item position) form a run; at the places that its windows cover
 the slots must be consistent: one value of the item always stands for one value
 of the document. That catches re-parameterised questions, not only copies. A
 document is contaminated by an item if a consistent part of a run has
-``min_windows`` windows, or all windows of the item if it has fewer. A run in
+``min_windows`` windows, or MIN_SHARE of the item's if that is fewer, in either
+reading. A run in
 which a value of the item stands for two, one of them another of the item's own
 values, is no hit: it asks something else.
 
@@ -39,6 +41,11 @@ MAX_BROADCAST_RUNS = 10_000
 PUNCTUATION = list(".,;:!?\"()[]")
 UNITS = "kmh|km|kg|cm|mm|ml|min|mph|m|g|l|s|h|usd|eur"
 NAME = r"([\p{Ll},;] )\p{Lu}\p{L}*"
+# of names() only: capitalised words anywhere, those that follow each other joined by JOINT
+JOINT = "\x01"
+NEXT_NAME = r"(?<![\p{L}\p{N}])(\p{Lu}[\p{L}'’-]*) (?=\p{Lu})"
+ANY_NAME = r"(?<![\p{L}\p{N}])\p{Lu}\p{L}*(?:['’\x01-]+\p{Lu}\p{L}*)*"
+MIN_SHARE = 0.6
 NUMBER = r"[0-9]+([.,][0-9]+)*"
 
 
@@ -54,6 +61,24 @@ def template(text: Column) -> Column:
     return _bare(t)
 
 
+def names(text: Column) -> Column:
+    """Text for template() in which every capitalised word, the first of a
+    sentence too, is a name, and a run of them one name."""
+    return F.regexp_replace(_joint(text), ANY_NAME, "<name>")
+
+
+def _joint(text: Column) -> Column:
+    return F.regexp_replace(F.coalesce(text, F.lit("")), NEXT_NAME, f"$1{JOINT}")
+
+
+def _plain(text: Column) -> Column:
+    return text
+
+
+# how a text is read for its template and for its values: names inside sentences (as the SQL has it), and all names
+FORMS = ((_plain, _plain), (names, _joint))
+
+
 def values(text: Column) -> Column:
     """Tokens as written, one for each template token."""
     return words_of(_bare(F.coalesce(text, F.lit(""))))
@@ -75,20 +100,20 @@ def _is_slot(token: Column) -> Column:
     return token.contains("<num>") | token.contains("<name>")
 
 
-def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
-    text = F.col(text_col)
+def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str, form=FORMS[0]) -> DataFrame:
+    text = form[0](F.col(text_col))
     b = benchmark.select(F.col(item_col).alias("item"), words_of(template(text)).alias("_t"), token_hashes(text).alias("_h"))
     b = b.select("item", "_t", F.posexplode_outer(window_hashes(F.col("_h"))).alias("bpos", "w")).where("w is not null")
     literal = F.size(F.filter(F.slice("_t", F.col("bpos") + 1, F.lit(WINDOW)), lambda t: ~_is_slot(t)))
     return b.where(literal >= MIN_LITERAL).select("item", "bpos", "w")
 
 
-def runs(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
+def runs(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, form=FORMS[0]) -> DataFrame:
     """(doc_id, item, diagonal, at) of the aligned hits; at: their places in the document, sorted."""
-    grams = checkpointed(benchmark_windows(benchmark, item_col, item_text_col))
+    grams = checkpointed(benchmark_windows(benchmark, item_col, item_text_col, form))
     if grams.limit(MAX_BROADCAST_WINDOWS + 1).count() <= MAX_BROADCAST_WINDOWS:
         grams = F.broadcast(grams)
-    d = docs.select(F.col(id_col).alias("doc_id"), token_hashes(F.col(text_col)).alias("_h"))
+    d = docs.select(F.col(id_col).alias("doc_id"), token_hashes(form[0](F.col(text_col))).alias("_h"))
     # outer, so that no filter on the array is derived, which would compute it twice
     d = d.select("doc_id", F.posexplode_outer(window_hashes(F.col("_h"))).alias("dpos", "w"))
     hits = d.join(grams, "w").select("doc_id", "item", (F.col("dpos") - F.col("bpos")).alias("diagonal"), "dpos")
@@ -129,12 +154,14 @@ def consistent_windows(at: Column, slots: Column) -> Column:
     return F.when(mixed, F.lit(0)).otherwise(F.greatest(part, same)).cast("long")
 
 
-def consistent(found: DataFrame, docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
+def consistent(
+    found: DataFrame, docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, form=FORMS[0]
+) -> DataFrame:
     """(doc_id, item, windows) of the runs with the windows of their largest
     consistent part; all windows of runs without slots."""
     first, last = F.element_at("at", 1), F.element_at("at", -1)
     span = last - first + WINDOW
-    b = benchmark.select(F.col(item_col).alias("item"), words_of(template(F.col(item_text_col))).alias("_bt"), values(F.col(item_text_col)).alias("_bv"))
+    b = benchmark.select(F.col(item_col).alias("item"), words_of(template(form[0](F.col(item_text_col)))).alias("_bt"), values(form[1](F.col(item_text_col))).alias("_bv"))
     b = b.dropDuplicates(["item"])
     start = F.greatest(first - F.col("diagonal"), F.lit(0)) + 1
     found = found.join(b, "item").withColumn("_slots", F.slice("_bt", start, span)).withColumn("_bv", F.slice("_bv", start, span))
@@ -147,7 +174,7 @@ def consistent(found: DataFrame, docs: DataFrame, benchmark: DataFrame, id_col:
     todo = F.broadcast(todo) if few <= MAX_BROADCAST_RUNS else todo
     d = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     j = d.join(todo, F.col("_id").eqNullSafe(F.col("doc_id")))
-    z = F.arrays_zip(F.col("_slots").alias("t"), F.col("_bv").alias("b"), F.slice(values(F.col("_text")), first + 1, span).alias("d"))
+    z = F.arrays_zip(F.col("_slots").alias("t"), F.col("_bv").alias("b"), F.slice(values(form[1](F.col("_text"))), first + 1, span).alias("d"))
     placed = F.transform(z, lambda x, i: F.struct((i + first).alias("p"), x["t"].alias("t"), x["b"].alias("b"), x["d"].alias("d")))
     slots = F.filter(placed, lambda s: _is_slot(s["t"]) & F.exists("at", lambda w: _covers(w, s["p"])))
     return plain.unionByName(j.select("doc_id", "item", _let(slots, lambda s: consistent_windows(F.col("at"), s)).alias("windows")))
@@ -159,12 +186,17 @@ def find(
 ) -> DataFrame:
     """docs -> (id, contaminated, n_windows, items): one row for each of docs;
     n_windows of its longest run, items sorted."""
-    names = (id_col, text_col, item_col, item_text_col)
-    need = benchmark_windows(benchmark, item_col, item_text_col).groupBy("item").agg(F.countDistinct("bpos").alias("of_item"))
-    need = need.select("item", F.least(F.lit(min_windows), F.col("of_item")).alias("least"))
-    found = runs(docs, benchmark, *names).join(need, "item").where(F.size("at") >= F.col("least")).drop("least")
-    found = consistent(found, docs, benchmark, *names).join(need, "item").where("windows >= least")
-    hit = found.groupBy("doc_id").agg(F.max("windows").alias("n_windows"), F.sort_array(F.collect_set("item")).alias("items"))
+    cols = (id_col, text_col, item_col, item_text_col)
+    parts = []
+    for k, form in enumerate(FORMS):
+        need = benchmark_windows(benchmark, item_col, item_text_col, form).groupBy("item").agg(F.countDistinct("bpos").alias("of_item"))
+        need = need.select("item", F.least(F.lit(min_windows), F.ceil(F.col("of_item") * MIN_SHARE)).alias("least"))
+        found = runs(docs, benchmark, *cols, form).join(need, "item").where(F.size("at") >= F.col("least")).drop("least")
+        found = consistent(found, docs, benchmark, *cols, form).join(need, "item").where("windows >= least")
+        parts.append(found.select("doc_id", "item", "windows", F.lit(k).alias("form")))
+    found = reduce(DataFrame.unionByName, parts)
+    # n_windows is of the first form that found the document
+    hit = found.groupBy("doc_id").agg(F.max(F.struct(-F.col("form"), "windows"))["windows"].alias("n_windows"), F.sort_array(F.collect_set("item")).alias("items"))
     hit = hit.withColumnRenamed("doc_id", "_d")
     return docs.select(F.col(id_col).alias("_id")).join(hit, F.col("_id").eqNullSafe(F.col("_d")), "left").select(
         F.col("_id").alias(id_col), F.col("n_windows").isNotNull().alias("contaminated"),
