@@ -263,6 +263,16 @@ def test_names_at_sentence_starts_and_of_several_words(spark):
     assert got == {1: [1], 2: [1], 3: [2], 4: []}
 
 
+def test_exact_copies_of_items_without_windows(spark):
+    items = [(1, "Compute 12 + 34 * 56 - 78 / 9 + 10"), (2, "What is 7 times 8?"), (3, "Add 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 up"), (4, "")]
+    docs = [(k, f"some text, {t} and more") for k, t in items]
+    docs += [(11, "some text, Compute 12 + 34 * 56 - 78 / 9 + 11 and more"), (12, "What is 7 times 9?"), (13, items[2][1].replace("8 9", "9 8")),
+             (14, items[2][1][:30] + " and " + items[2][1][20:])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: r["items"] for r in decontaminate.find(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got == {1: [1], 2: [2], 3: [3], 4: [], 11: [], 12: [], 13: [], 14: []}
+
+
 def test_one_edited_slot_does_not_clear_a_long_copy(spark):
     words = [f"word{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60)]
     words[15] = words[45] = "12"

@@ -14,8 +14,10 @@ reading. A run in
 which a value of the item stands for two, one of them another of the item's own
 values, is no hit: it asks something else.
 
-Benchmark windows need MIN_LITERAL tokens that are no placeholders. An item with
-fewer than WINDOW tokens has no window and is not searched for.
+Benchmark windows need MIN_LITERAL tokens that are no placeholders. Items that
+have no such window (under WINDOW tokens, or dense in numbers and names) are
+found by exact copies of all their tokens, values included and punctuation
+aside; an item of one word is found in every text that holds the word.
 
 Edge cases: null and empty texts are clean; rows with the same id (null too) are
 one document; repeated items are each reported; with an empty benchmark every
@@ -88,12 +90,12 @@ def token_hashes(text: Column) -> Column:
     return F.transform(words_of(template(text)), lambda t: F.xxhash64(t))
 
 
-def window_hashes(h: Column) -> Column:
+def window_hashes(h: Column, length: int = WINDOW) -> Column:
     """Hash of each window, from a column (not an expression, which would be
     evaluated for each shift) of token_hashes; an array of longs."""
-    zipped = F.arrays_zip(*(_shifted(h, k).alias(f"t{k}") for k in range(WINDOW)))
-    each = F.transform(zipped, lambda x: F.xxhash64(*(x[f"t{k}"] for k in range(WINDOW))))
-    return F.slice(each, F.lit(1), F.greatest(F.size(h) - (WINDOW - 1), F.lit(0)))
+    zipped = F.arrays_zip(*(_shifted(h, k).alias(f"t{k}") for k in range(length)))
+    each = F.transform(zipped, lambda x: F.xxhash64(*(x[f"t{k}"] for k in range(length))))
+    return F.slice(each, F.lit(1), F.greatest(F.size(h) - (length - 1), F.lit(0)))
 
 
 def _is_slot(token: Column) -> Column:
@@ -180,6 +182,32 @@ def consistent(
     return plain.unionByName(j.select("doc_id", "item", _let(slots, lambda s: consistent_windows(F.col("at"), s)).alias("windows")))
 
 
+def whole_copies(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
+    """(doc_id, item, windows) of exact copies of the items without benchmark
+    windows, values included. An item is cut into pieces of WINDOW tokens (one
+    piece if it is shorter), the last one flush with its end; a copy has all of
+    them on one diagonal."""
+    known = benchmark_windows(benchmark, item_col, item_text_col).select(F.col("item").alias("_known")).distinct()
+    raw = lambda text: F.transform(values(text), lambda t: F.xxhash64(t))
+    items = benchmark.select(F.col(item_col).alias("item"), F.xxhash64(item_text_col).alias("key"), raw(F.col(item_text_col)).alias("_h"))
+    items = items.where("size(_h) > 0").join(known, F.col("item") == F.col("_known"), "left_anti").dropDuplicates(["item", "key"])
+    items = checkpointed(items.withColumn("n", F.size("_h")).withColumn("length", F.least(F.col("n"), F.lit(WINDOW))))
+    parts = []
+    for length in sorted(r["length"] for r in items.select("length").distinct().collect()):  # WINDOW values at most
+        pieces = items.where(F.col("length") == length).select("item", "key", "n", F.posexplode(window_hashes(F.col("_h"), length)).alias("bpos", "w"))
+        pieces = checkpointed(pieces.where((F.col("bpos") % length == 0) | (F.col("bpos") == F.col("n") - length)))
+        if pieces.limit(MAX_BROADCAST_WINDOWS + 1).count() <= MAX_BROADCAST_WINDOWS:
+            pieces = F.broadcast(pieces)
+        d = docs.select(F.col(id_col).alias("doc_id"), raw(F.col(text_col)).alias("_h"))
+        d = d.select("doc_id", F.posexplode_outer(window_hashes(F.col("_h"), length)).alias("dpos", "w"))
+        hits = d.join(pieces, "w").groupBy("doc_id", "item", "key", "n", (F.col("dpos") - F.col("bpos")).alias("diagonal"))
+        whole = F.ceil(F.col("n") / F.lit(length))
+        parts.append(hits.agg(F.countDistinct("bpos").alias("met")).where(F.col("met") == whole).select(
+            "doc_id", "item", F.greatest(F.col("n") - (WINDOW - 1), F.lit(1)).cast("long").alias("windows")
+        ))
+    return reduce(DataFrame.unionByName, parts) if parts else None
+
+
 def find(
     docs: DataFrame, benchmark: DataFrame, min_windows: int = MIN_WINDOWS,
     id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
@@ -194,6 +222,9 @@ def find(
         found = runs(docs, benchmark, *cols, form).join(need, "item").where(F.size("at") >= F.col("least")).drop("least")
         found = consistent(found, docs, benchmark, *cols, form).join(need, "item").where("windows >= least")
         parts.append(found.select("doc_id", "item", "windows", F.lit(k).alias("form")))
+    copies = whole_copies(docs, benchmark, *cols)
+    if copies is not None:
+        parts.append(copies.withColumn("form", F.lit(len(FORMS))))
     found = reduce(DataFrame.unionByName, parts)
     # n_windows is of the first form that found the document
     hit = found.groupBy("doc_id").agg(F.max(F.struct(-F.col("form"), "windows"))["windows"].alias("n_windows"), F.sort_array(F.collect_set("item")).alias("items"))
