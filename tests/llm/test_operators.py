@@ -171,6 +171,18 @@ def test_rules_against_brute_force(spark, texts):
         assert r["kept"] == (not failed and r["llr"] >= -0.075)
 
 
+@pytest.mark.parametrize("most", [1_000_000, 10])
+def test_every_trusted_document_counts(spark, monkeypatch, most):
+    """With all documents trusted, both multinomials are the same."""
+    monkeypatch.setattr(rules_llr, "MAX_BROADCAST_IDS", most)
+    docs = spark.range(20_500).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("some"), F.col("id") % 977, F.col("id") % 31).alias("text"))
+    got = rules_llr.log_ratios(docs, docs.select("doc_id"), 6, 1.0, "doc_id", "text").first()["weights"]
+    assert got == [0.0] * 64
+    one = docs.union(spark.createDataFrame([(None, "some more")], "doc_id long, text string"))
+    again = rules_llr.with_trusted(one, docs.select("doc_id").where("doc_id < 20400"), "doc_id", "text")
+    assert again.count() == 20_501 and again.where("_trusted = 1").count() == 20_400
+
+
 # near duplicates ----------------------------------------------------------
 
 

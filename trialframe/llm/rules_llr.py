@@ -4,11 +4,12 @@ Two multinomials over ``2**bits`` buckets of hashed word 1- and 2-grams are
 counted: one over trusted documents, one over all documents, both with additive
 smoothing. A document's score is the sum of log(trusted / raw) over its
 n-grams divided by their number; it passes if the score reaches ``min_score``.
-The raw counts cover every document; the trusted ones a bounded sample
-(``max_trusted`` documents, the smallest hashes of their ids) of the ids given.
+The raw counts cover every document, the trusted ones every document whose id
+is given.
 
 All of it runs as array and map functions on the row that holds the text, so
-no text, word or window is shuffled; only bucket counts are.
+no word or window is shuffled; only bucket counts are, and, if there are more
+than MAX_BROADCAST_IDS trusted ids, each text once to meet them.
 
 Edge cases: null and empty texts have no words: all counts 0, base_failed true
 and score null. One word has one n-gram. Repeated rows are counted each time
@@ -27,6 +28,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 # fixed values: separators of words, and the characters that count as symbols
 SEPARATORS = ["\t", "\n", "\x0b", "\f", "\r", " "]
 SYMBOLS = list("#*$%&|<>")
+MAX_BROADCAST_IDS = 1_000_000
 
 
 def words_of(text: Column) -> Column:
@@ -102,10 +104,20 @@ def trusted_sample(ids: DataFrame, max_trusted: int) -> DataFrame:
     return one.orderBy(F.xxhash64("_id"), "_id").limit(max_trusted)
 
 
-def log_ratios(docs: DataFrame, trusted_ids: DataFrame, bits: int, smooth: float, max_trusted: int, id_col: str, text_col: str) -> DataFrame:
+def with_trusted(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_text, _trusted) of docs: _trusted is 1 for the ids given, else null."""
+    d = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    one = ids.select(F.col(ids.columns[0]).alias("_id")).where("_id is not null").distinct().withColumn("_trusted", F.lit(1))
+    if one.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS:
+        return d.join(F.broadcast(one), "_id", "left").select("_text", "_trusted")
+    # by a shuffle; null ids, which would meet in one task, stay where they are
+    known = d.where("_id is not null").join(one.hint("merge"), "_id", "left").select("_text", "_trusted")
+    return known.unionByName(d.where("_id is null").select("_text", F.lit(None).cast("int").alias("_trusted")))
+
+
+def log_ratios(docs: DataFrame, trusted_ids: DataFrame, bits: int, smooth: float, id_col: str, text_col: str) -> DataFrame:
     """One row: weights, an array of log(trusted / raw) by bucket (null without trusted n-grams)."""
-    ids = F.broadcast(trusted_sample(trusted_ids, max_trusted).withColumn("_trusted", F.lit(1)))
-    d = docs.select(F.col(id_col).alias("_id"), words_of(F.col(text_col)).alias("_words")).join(ids, "_id", "left")
+    d = with_trusted(docs, trusted_ids, id_col, text_col).select("_trusted", words_of(F.col("_text")).alias("_words"))
     grams = _exploded(d, ["_trusted"], bits).select("_trusted", F.explode(F.array("one", "two")).alias("b")).where("b is not null")
     counts = grams.groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.count("_trusted").alias("trusted"))
     every = docs.sparkSession.range(1 << bits).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left")
@@ -125,13 +137,12 @@ def judge(
     min_score: float = -0.075,
     bits: int = 16,
     smooth: float = 1.0,
-    max_trusted: int = 20_000,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """docs -> (id, the base counts, base_failed, llr, kept), one row for each."""
     # 2**bits doubles whatever the corpus: as a folded literal, since a column would be copied into every row
-    found = log_ratios(docs, trusted_ids, bits, smooth, max_trusted, id_col, text_col).first()["weights"]
+    found = log_ratios(docs, trusted_ids, bits, smooth, id_col, text_col).first()["weights"]
     weights = F.split(F.lit(",".join("" if w is None else repr(w) for w in found)), ",").try_cast("array<double>")
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     d = with_base(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_body")), "_body")
