@@ -243,3 +243,91 @@ SELECT doc_id, text, lang, source, n_chars, m AS mix_rate, copy_no,
   CAST('0x' || substr(md5(doc_id || ':' || copy_no || ':mix:order'), 1, 15) AS BIGINT) AS shuffle_key
 FROM drawn, unnest(range(1, copies + 1)) AS r(copy_no)
 """
+
+
+@register
+def op11_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trialframe.llm import simhash_bktree
+
+    return simhash_bktree.find(table(spark, sf_dir, "documents"))
+
+
+@register
+def op12_angular_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trialframe.llm import hard_negatives
+
+    vec_id = F.col("vec_id")
+    label = F.when(vec_id % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), label, vec_id % 100 == 0)
+
+
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+ORACLE["op12_angular_hard_negatives"] = f"""
+WITH r AS (
+  SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND {_FINITE}
+), k AS (SELECT * FROM r WHERE label IS NOT NULL),
+scored AS (
+  SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS other, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM k a JOIN k b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5
+), negatives AS (
+  SELECT p.*, s.other AS negative_id, s.score AS negative_score,
+    CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.other) AS INTEGER) AS rank
+  FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same
+    AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM negatives WHERE rank <= 10
+"""
+
+
+@register
+def op13_laesa_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trialframe.llm import pivot_codes
+
+    return pivot_codes.encode(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def _rounds_sql(rounds: int) -> str:
+    """Codebooks b0..b<rounds> (part, entry, c) and assignments a0..a<rounds> (vec_id, part, entry, d)."""
+    out = []
+    for k in range(rounds + 1):
+        out.append(f"""a{k} AS MATERIALIZED (
+  SELECT vec_id, part, arg_min(entry, d * 256 + entry) AS entry, min(d) AS d FROM (
+    SELECT x.vec_id, x.part, b.entry, CAST(list_sum(list_transform(list_zip(x.c, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d
+    FROM x JOIN b{k} b USING (part)) GROUP BY vec_id, part
+)""")
+        if k < rounds:
+            out.append(f"""b{k + 1} AS MATERIALIZED (
+  SELECT b.part, b.entry, coalesce(u.c, b.c) AS c FROM b{k} b LEFT JOIN (
+    SELECT part, entry, list(CAST(floor(s / n) AS BIGINT) ORDER BY i) AS c FROM (
+      SELECT x.part, a.entry, i, sum(x.c[i]) AS s, count(*) AS n FROM x JOIN a{k} a USING (vec_id, part), unnest(range(1, 17)) AS r(i) GROUP BY ALL
+    ) GROUP BY part, entry
+  ) u USING (part, entry)
+)""")
+    return ",\n".join(out)
+
+
+ORACLE["op13_laesa_vector_codes"] = f"""
+WITH q AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings WHERE {_FINITE}
+), x AS MATERIALIZED (SELECT vec_id, part, q[16 * part + 1:16 * part + 16] AS c FROM q, unnest(range(0, 4)) AS r(part)),
+b0 AS MATERIALIZED (
+  SELECT part, e.entry, x.c FROM x JOIN (
+    SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM q ORDER BY vec_id LIMIT 256
+  ) e USING (vec_id)
+),
+{_rounds_sql(4)},
+coded AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a4 GROUP BY vec_id),
+digest AS (
+  SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY part, entry, i)) AS codebooks_sha256 FROM (
+    SELECT part, entry, i, c[i] AS v FROM b4, unnest(range(1, 17)) AS r(i)
+  )
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded JOIN q USING (vec_id), digest
+"""
