@@ -194,7 +194,7 @@ def linked(distinct: DataFrame, radius: int = 4, blocks: int | None = None, shar
     assert len(masks) == comb(blocks, radius)
     shards: list[Column] = [F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m).cast("long"))) for k, m in enumerate(masks)]
     entries = distinct.select("fp", F.explode(F.array(*shards)).alias("shard"))
-    large = checkpointed(entries.groupBy("shard").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > shard))
+    large = entries.groupBy("shard").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > shard)
     entries = attach(entries, large.withColumn("rows", F.col("m")), "shard", "rows")
     bins = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), count * len(masks) // UNIT)
     parts = F.coalesce(F.ceil(F.col("m") / shard), F.lit(1)).cast("int")
@@ -222,7 +222,7 @@ def find(
     classes = checkpointed(classes)
     found = components(linked(classes.select("fp"), radius, blocks, shard)).withColumnRenamed("node", "fp")
     rooted = checkpointed(classes.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
-    roots = checkpointed(rooted.groupBy("root").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("n")))
+    roots = rooted.groupBy("root").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("n"))
     of_class = checkpointed(attach(rooted, roots, "root", "n").select("fp", "rows", "component_id"))
     out = attach(signed, of_class, "fp", "rows")
     return out.select(
