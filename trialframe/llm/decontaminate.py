@@ -12,7 +12,8 @@ document is contaminated by an item if a consistent part of a run has
 ``min_windows`` windows, or MIN_SHARE of the item's if that is fewer, in either
 reading. A run in
 which a value of the item stands for two, one of them another of the item's own
-values, is no hit: it asks something else.
+values, is no hit: it asks something else. But VERBATIM tokens in a row, values
+included, are a copy whatever the rest of the run says.
 
 Benchmark windows need MIN_LITERAL tokens that are no placeholders. Items that
 have no such window (under WINDOW tokens, or dense in numbers and names) are
@@ -26,6 +27,7 @@ document is clean; empty documents return no rows.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -43,16 +45,19 @@ MAX_BROADCAST_RUNS = 10_000
 PUNCTUATION = list(".,;:!?\"()[]")
 UNITS = "kmh|km|kg|cm|mm|ml|min|mph|m|g|l|s|h|usd|eur"
 NAME = r"([\p{Ll},;] )\p{Lu}\p{L}*"
-# of names() only: capitalised words anywhere, those that follow each other joined by JOINT
+# of names() only: a capitalised word anywhere, also one of several parts, and those that follow each other
 JOINT = "\x01"
-NEXT_NAME = r"(?<![\p{L}\p{N}])(\p{Lu}[\p{L}'’-]*) (?=\p{Lu})"
-ANY_NAME = r"(?<![\p{L}\p{N}])\p{Lu}\p{L}*(?:['’\x01-]+\p{Lu}\p{L}*)*"
+ONE_NAME = r"\p{Lu}\p{L}*+(?:['’-]++\p{Lu}\p{L}*+)*+"
+NAMES = rf"(?<![\p{{L}}\p{{N}}]){ONE_NAME}(?: {ONE_NAME})*+"
+NEXT_NAME = rf"(?<![\p{{L}}\p{{N}}])({ONE_NAME}) (?=\p{{Lu}})"
 MIN_SHARE = 0.6
+VERBATIM = 30
 NUMBER = r"[0-9]+([.,][0-9]+)*"
 
 
 def _bare(text: Column) -> Column:
-    return reduce(lambda t, c: F.replace(t, F.lit(c), F.lit("")), PUNCTUATION, text)
+    """One pass of a regex: a replacement for each character takes longer."""
+    return F.regexp_replace(text, "[" + re.escape("".join(PUNCTUATION)) + "]", "")
 
 
 def template(text: Column) -> Column:
@@ -66,10 +71,11 @@ def template(text: Column) -> Column:
 def names(text: Column) -> Column:
     """Text for template() in which every capitalised word, the first of a
     sentence too, is a name, and a run of them one name."""
-    return F.regexp_replace(_joint(text), ANY_NAME, "<name>")
+    return F.regexp_replace(F.coalesce(text, F.lit("")), NAMES, "<name>")
 
 
 def _joint(text: Column) -> Column:
+    """The text with the names that names() takes as one joined to one word."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), NEXT_NAME, f"$1{JOINT}")
 
 
@@ -90,12 +96,19 @@ def token_hashes(text: Column) -> Column:
     return F.transform(words_of(template(text)), lambda t: F.xxhash64(t))
 
 
-def window_hashes(h: Column, length: int = WINDOW) -> Column:
-    """Hash of each window, from a column (not an expression, which would be
-    evaluated for each shift) of token_hashes; an array of longs."""
-    zipped = F.arrays_zip(*(_shifted(h, k).alias(f"t{k}") for k in range(length)))
-    each = F.transform(zipped, lambda x: F.xxhash64(*(x[f"t{k}"] for k in range(length))))
-    return F.slice(each, F.lit(1), F.greatest(F.size(h) - (length - 1), F.lit(0)))
+def with_windows(df: DataFrame, col: str, length: int = WINDOW) -> DataFrame:
+    """Replaces a column of token hashes by the hashes of its windows of
+    ``length`` tokens, an array of longs.
+
+    Windows of twice the length are made from pairs of windows, in a step of
+    their own (an expression used twice would be computed twice), so a token is
+    hashed with log2(length) others and not with all of its window."""
+    made = 1
+    while made < length:
+        by = min(made, length - made)
+        df = df.withColumn(col, F.zip_with(col, _shifted(F.col(col), by), lambda a, b: F.xxhash64(a, b)))
+        made += by
+    return df.withColumn(col, F.slice(col, F.lit(1), F.greatest(F.size(col) - (length - 1), F.lit(0))))
 
 
 def _is_slot(token: Column) -> Column:
@@ -105,7 +118,7 @@ def _is_slot(token: Column) -> Column:
 def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str, form=FORMS[0]) -> DataFrame:
     text = form[0](F.col(text_col))
     b = benchmark.select(F.col(item_col).alias("item"), words_of(template(text)).alias("_t"), token_hashes(text).alias("_h"))
-    b = b.select("item", "_t", F.posexplode_outer(window_hashes(F.col("_h"))).alias("bpos", "w")).where("w is not null")
+    b = with_windows(b, "_h").select("item", "_t", F.posexplode_outer("_h").alias("bpos", "w")).where("w is not null")
     literal = F.size(F.filter(F.slice("_t", F.col("bpos") + 1, F.lit(WINDOW)), lambda t: ~_is_slot(t)))
     return b.where(literal >= MIN_LITERAL).select("item", "bpos", "w")
 
@@ -117,7 +130,7 @@ def runs(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item
         grams = F.broadcast(grams)
     d = docs.select(F.col(id_col).alias("doc_id"), token_hashes(form[0](F.col(text_col))).alias("_h"))
     # outer, so that no filter on the array is derived, which would compute it twice
-    d = d.select("doc_id", F.posexplode_outer(window_hashes(F.col("_h"))).alias("dpos", "w"))
+    d = with_windows(d, "_h").select("doc_id", F.posexplode_outer("_h").alias("dpos", "w"))
     hits = d.join(grams, "w").select("doc_id", "item", (F.col("dpos") - F.col("bpos")).alias("diagonal"), "dpos")
     return hits.groupBy("doc_id", "item", "diagonal").agg(F.sort_array(F.collect_set("dpos")).alias("at"))
 
@@ -152,8 +165,17 @@ def consistent_windows(at: Column, slots: Column) -> Column:
         F.concat(F.array(F.size(at)), F.transform(cs, lambda c: c["first"] - 1)),
         lambda j: j - F.coalesce(F.array_max(F.transform(F.filter(cs, lambda c: c["first"] <= j), lambda c: c["last"])), F.lit(0)),
     )))
-    same = F.size(F.filter(at, lambda w: ~F.exists(slots, lambda s: _covers(w, s["p"]) & (s["b"] != s["d"]))))
-    return F.when(mixed, F.lit(0)).otherwise(F.greatest(part, same)).cast("long")
+    unchanged = F.filter(at, lambda w: ~F.exists(slots, lambda s: _covers(w, s["p"]) & (s["b"] != s["d"])))
+    # the longest row of windows that follow each other
+    zero = F.struct(F.lit(-2).alias("w"), F.lit(0).alias("n"), F.lit(0).alias("best"))
+
+    def step(a, w):
+        n = F.when(w == a["w"] + 1, a["n"] + 1).otherwise(F.lit(1))
+        return F.struct(w.cast("int").alias("w"), n.alias("n"), F.greatest(a["best"], n).alias("best"))
+
+    stretch = F.aggregate(unchanged, zero, step, lambda a: a["best"])
+    copied = F.when(stretch + (WINDOW - 1) >= VERBATIM, stretch).otherwise(F.lit(0))
+    return F.when(mixed, copied).otherwise(F.greatest(part, F.size(unchanged))).cast("long")
 
 
 def consistent(
@@ -194,12 +216,12 @@ def whole_copies(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: s
     items = checkpointed(items.withColumn("n", F.size("_h")).withColumn("length", F.least(F.col("n"), F.lit(WINDOW))))
     parts = []
     for length in sorted(r["length"] for r in items.select("length").distinct().collect()):  # WINDOW values at most
-        pieces = items.where(F.col("length") == length).select("item", "key", "n", F.posexplode(window_hashes(F.col("_h"), length)).alias("bpos", "w"))
+        pieces = with_windows(items.where(F.col("length") == length), "_h", length).select("item", "key", "n", F.posexplode("_h").alias("bpos", "w"))
         pieces = checkpointed(pieces.where((F.col("bpos") % length == 0) | (F.col("bpos") == F.col("n") - length)))
         if pieces.limit(MAX_BROADCAST_WINDOWS + 1).count() <= MAX_BROADCAST_WINDOWS:
             pieces = F.broadcast(pieces)
         d = docs.select(F.col(id_col).alias("doc_id"), raw(F.col(text_col)).alias("_h"))
-        d = d.select("doc_id", F.posexplode_outer(window_hashes(F.col("_h"), length)).alias("dpos", "w"))
+        d = with_windows(d, "_h", length).select("doc_id", F.posexplode_outer("_h").alias("dpos", "w"))
         hits = d.join(pieces, "w").groupBy("doc_id", "item", "key", "n", (F.col("dpos") - F.col("bpos")).alias("diagonal"))
         whole = F.ceil(F.col("n") / F.lit(length))
         parts.append(hits.agg(F.countDistinct("bpos").alias("met")).where(F.col("met") == whole).select(
