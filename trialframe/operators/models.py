@@ -1,5 +1,6 @@
 """MLlib models, out-of-fold predictions, tuning, importances and recursive
-feature elimination (E1-E12, E22, M12, M13, M17, K4).
+feature elimination (E1-E9, E12, E22, M12, M13, M17 but for k-NN, K4). The search over
+families (E10, E11, K5) is in ``search``.
 
 Fitting is distributed by MLlib; the driver only orchestrates the fold /
 model / elimination loops (what ``CrossValidator`` itself does) and holds
@@ -11,9 +12,12 @@ joined by key, never concatenated by position.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
-from pyspark.ml import Pipeline
+from pyspark import keyword_only
+from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.classification import (
+    DecisionTreeClassifier,
     GBTClassifier,
     LinearSVC,
     LogisticRegression,
@@ -21,14 +25,22 @@ from pyspark.ml.classification import (
     NaiveBayes,
     RandomForestClassifier,
 )
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasWeightCol
+from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trialframe.operators import metrics, preprocess
+from trialframe.operators.joins import attach
+from trialframe.operators.kernel_features import KernelRidge, KernelSVC
+from trialframe.operators.preprocess import HoldOut, MajorityClass, given_defaults
+
 FEATURES = "features"
 
 
@@ -37,37 +49,89 @@ def assemble(df: DataFrame, cols: Sequence[str], out: str = FEATURES) -> DataFra
 
 
 def array_features(df: DataFrame, col: str, n: int, out: str = FEATURES) -> DataFrame:
-    """Array column -> vector (M15 output or an embedding)."""
-    return assemble(df.select("*", *[F.col(col)[i].cast("double").alias(f"_a{i}") for i in range(n)]),
-                    [f"_a{i}" for i in range(n)], out).drop(*[f"_a{i}" for i in range(n)])
+    """Array column -> vector of its first ``n`` components (M15 output or an
+    embedding); null components become NaN."""
+    nan = F.lit(float("nan"))
+    x = F.transform(F.slice(col, 1, n), lambda v: F.coalesce(v.cast("double"), nan))
+    return df.withColumn(out, array_to_vector(x))
 
 
 # ------------------------------------------------------------------ E12
+# fixed values: the hidden layers of the four network shapes
+NETWORKS = {"mlp": [100, 50], "mlp_deep": [200, 100, 50, 25], "mlp_wide": [300], "mlp_funnel": [256, 128, 64, 32, 16]}
+# fixed values: the boosting parameter sets (rounds, rate, depth) that stop early
+BOOSTED = {"boosted_leafwise": (1000, 0.05, 4), "boosted_symmetric": (1000, 0.1, 6)}
+
+
+class EarlyStoppedGBT(Estimator, HasFeaturesCol, HasLabelCol, HasWeightCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Boosted trees that stop when the error on a tenth of the training
+    rows, held out by hash, improves by less than ``tol``."""
+
+    maxIter = Param(Params._dummy(), "maxIter", "most rounds", TypeConverters.toInt)
+    stepSize = Param(Params._dummy(), "stepSize", "learning rate", TypeConverters.toFloat)
+    maxDepth = Param(Params._dummy(), "maxDepth", "depth of a tree", TypeConverters.toInt)
+    tol = Param(Params._dummy(), "tol", "least improvement", TypeConverters.toFloat)
+    seed = Param(Params._dummy(), "seed", "seed of the trees", TypeConverters.toInt)
+    regression = Param(Params._dummy(), "regression", "a numeric target", TypeConverters.toBoolean)
+
+    @keyword_only
+    def __init__(self, *, labelCol="label", featuresCol=FEATURES, weightCol=None, maxIter=1000, stepSize=0.05, maxDepth=5, tol=0.001, seed=42, regression=False):
+        super().__init__()
+        given_defaults(self, self._input_kwargs)
+
+    def setFeaturesCol(self, value: str) -> EarlyStoppedGBT:
+        return self._set(featuresCol=value)
+
+    def _fit(self, dataset: DataFrame):
+        flagged = HoldOut(outputCol="_valid", source=self.getFeaturesCol()).transform(dataset)
+        given = {p: self.getOrDefault(self.getParam(p)) for p in ("labelCol", "featuresCol", "maxIter", "stepSize", "maxDepth", "seed")}
+        weight = {"weightCol": self.getWeightCol()} if self.isSet(self.weightCol) else {}
+        kind = GBTRegressor if self.getOrDefault(self.regression) else GBTClassifier
+        return kind(validationIndicatorCol="_valid", validationTol=self.getOrDefault(self.tol), **given, **weight).fit(flagged)
+
+
 def classifiers(label: str = "label", seed: int = 42, n_features: int | None = None,
                 weight: str | None = None) -> dict[str, Callable[[], object]]:
-    """Registry of classifier factories by name (E1-E6). Parameter sets
+    """Registry of classifier factories by name (E1-E7). Parameter sets
     follow the reference's defaults where MLlib has the same knob."""
     w = {"weightCol": weight} if weight else {}
     reg: dict[str, Callable[[], object]] = {
+        "dummy": lambda: MajorityClass(labelCol=label),
         "logistic": lambda: LogisticRegression(labelCol=label, maxIter=100, **w),
+        "ridge": lambda: LogisticRegression(labelCol=label, maxIter=100, regParam=1.0, elasticNetParam=0.0, **w),
         "random_forest": lambda: RandomForestClassifier(labelCol=label, numTrees=100, maxDepth=10, seed=seed, **w),
+        "decision_tree": lambda: DecisionTreeClassifier(labelCol=label, maxDepth=5, seed=seed, **w),
         "gradient_boosting": lambda: GBTClassifier(labelCol=label, maxIter=100, stepSize=0.1, maxDepth=5, seed=seed, **w),
         "naive_bayes": lambda: NaiveBayes(labelCol=label, modelType="gaussian", **w),
         "linear_svm": lambda: LinearSVC(labelCol=label, maxIter=100, **w),
+        "svm_rbf": lambda: KernelSVC(labelCol=label, kernel="rbf", seed=seed, **w),
+        "svm_poly": lambda: KernelSVC(labelCol=label, kernel="poly", degree=3, seed=seed, **w),
     }
+    for name, (rounds, rate, depth) in BOOSTED.items():
+        reg[name] = lambda rounds=rounds, rate=rate, depth=depth: EarlyStoppedGBT(
+            labelCol=label, maxIter=rounds, stepSize=rate, maxDepth=depth, seed=seed, **w)
     if n_features:
-        reg["mlp"] = lambda: MultilayerPerceptronClassifier(labelCol=label, layers=[n_features, 32, 16, 2],
-                                                            maxIter=200, seed=seed)
+        for name, hidden in NETWORKS.items():
+            reg[name] = lambda hidden=hidden: MultilayerPerceptronClassifier(
+                labelCol=label, layers=[n_features, *hidden, 2], maxIter=200, seed=seed)
     return reg
 
 
 def regressors(label: str = "label", seed: int = 42) -> dict[str, Callable[[], object]]:
-    return {
+    """The same for a numeric target; a network has no regressor in MLlib."""
+    reg: dict[str, Callable[[], object]] = {
         "ridge": lambda: LinearRegression(labelCol=label, regParam=1.0, elasticNetParam=0.0),
         "linear": lambda: LinearRegression(labelCol=label),
         "random_forest": lambda: RandomForestRegressor(labelCol=label, numTrees=100, maxDepth=10, seed=seed),
+        "decision_tree": lambda: DecisionTreeRegressor(labelCol=label, maxDepth=5, seed=seed),
         "gradient_boosting": lambda: GBTRegressor(labelCol=label, maxIter=100, stepSize=0.1, maxDepth=5, seed=seed),
+        "svm_rbf": lambda: KernelRidge(labelCol=label, kernel="rbf", seed=seed),
+        "svm_poly": lambda: KernelRidge(labelCol=label, kernel="poly", degree=3, seed=seed),
     }
+    for name, (rounds, rate, depth) in BOOSTED.items():
+        reg[name] = lambda rounds=rounds, rate=rate, depth=depth: EarlyStoppedGBT(
+            labelCol=label, maxIter=rounds, stepSize=rate, maxDepth=depth, seed=seed, regression=True)
+    return reg
 
 
 def positive_score(pred: DataFrame, model) -> DataFrame:
@@ -81,33 +145,70 @@ def positive_score(pred: DataFrame, model) -> DataFrame:
 
 
 # ------------------------------------------------------------------ E8/E9
+def fold_numbers(df: DataFrame, fold: str) -> list[int]:
+    return sorted(r[0] for r in df.select(fold).distinct().collect())  # k small ints
+
+
 def out_of_fold(df: DataFrame, label: str, fold: str, models: dict[str, Callable[[], object]],
                 row_id: str = "row_id", group: str | None = None, scale: bool = True) -> DataFrame:
-    """Fit every model on all folds but one, score the held-out fold;
-    one long table for all (model, fold). Every fold's models are kept in
-    the returned ``fitted`` attribute (T16: none is dropped)."""
-    folds = sorted(r[0] for r in df.select(fold).distinct().collect())  # k small ints
-    parts = []
-    fitted = {}
+    """Fit every model on all folds but one, score the held-out fold; one
+    long table for all (model, fold). Medians and scales are those of the
+    training rows of the fold, exact, and shared by its models. Every fold's
+    pipeline is kept in the returned ``fitted`` attribute (T16: none is dropped)."""
+    folds = fold_numbers(df, fold)
+    stages = preprocess.fold_models(df, FEATURES, fold, folds) if scale else {}
+    parts, fitted = [], {}
     keep = [row_id, fold, label] + ([group] if group else [])
-    for name, make in models.items():
-        for k in folds:
-            stages = [StandardScaler(inputCol=FEATURES, outputCol="_scaled", withMean=True, withStd=True)] if scale else []
-            est = make()
-            if scale:
-                est = est.setFeaturesCol("_scaled")
-            pm = Pipeline(stages=[*stages, est]).fit(df.where(F.col(fold) != k))
-            fitted[(name, k)] = pm
-            p = positive_score(pm.transform(df.where(F.col(fold) == k)), est)
-            parts.append(p.select(*keep, F.lit(name).alias("model"), "score"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    out = out.withColumnRenamed(label, "y_true")
+    for k in folds:
+        ready = stages[k].transform(df) if scale else df
+        train, held = ready.where(F.col(fold) != k).persist(), ready.where(F.col(fold) == k)
+        try:
+            for name, make in models.items():
+                est = make().setFeaturesCol(preprocess.SCALED if scale else FEATURES)
+                m = est.fit(train)
+                fitted[(name, k)] = PipelineModel([stages[k], m] if scale else [m])
+                p = positive_score(m.transform(held), m)
+                parts.append(p.select(*keep, F.lit(name).alias("model"), "score", F.col("prediction").cast("double").alias("predicted")))
+        finally:
+            train.unpersist()
+    out = reduce(DataFrame.unionByName, parts).withColumnRenamed(label, "y_true")
     out.fitted = fitted  # type: ignore[attr-defined]
     return out
 
 
+def prediction_scores(pred: DataFrame, by: Sequence[str], regression: bool = False) -> DataFrame:
+    """Scores of a long table of predictions per ``by``: accuracy, f1, mcc and
+    tie-aware AUC, or r2, rmse and mae."""
+    if regression:
+        return metrics.regression_metrics(pred, by, "y_true", "predicted").select(*by, "r2", "rmse", "mae")
+    conf = metrics.from_confusion(metrics.confusion(pred, by, pred="predicted")).select(*by, "accuracy", "f1", "mcc")
+    return attach(conf, metrics.roc_auc(pred, list(by)), list(by), "left")
+
+
+def split_scores(df: DataFrame, label: str, models: dict[str, Callable[[], object]], part: str = "split", fold: str = "fold",
+                 row_id: str = "row_id", regression: bool = False) -> DataFrame:
+    """(model, part, metric, value): each model fitted on the rows with
+    ``part`` train and scored on train and test, and the mean and population
+    deviation of its scores over the folds of the training rows."""
+    train = df.where(F.col(part) == "train")
+    stage = preprocess.ExactImputeScale(inputCol=FEATURES).fit(train)
+    ready, known = stage.transform(df), stage.transform(train).persist()
+    parts = []
+    try:
+        for name, make in models.items():
+            m = make().setFeaturesCol(preprocess.SCALED).fit(known)
+            p = positive_score(m.transform(ready), m)
+            parts.append(p.select(part, F.col(label).alias("y_true"), F.lit(name).alias("model"), "score", F.col("prediction").alias("predicted")))
+    finally:
+        known.unpersist()
+    split = prediction_scores(reduce(DataFrame.unionByName, parts), ["model", part], regression)
+    names = [c for c in split.columns if c not in ("model", part)]
+    held = prediction_scores(out_of_fold(train, label, fold, models, row_id), ["model", fold], regression).unpivot(["model"], names, "metric", "v")
+    spread = held.groupBy("model", "metric").agg(F.avg("v").alias("cv_mean"), F.stddev_pop("v").alias("cv_std")).unpivot(["model", "metric"], ["cv_mean", "cv_std"], "part", "value")
+    once = split.unpivot(["model", part], names, "metric", "value").withColumnRenamed(part, "part")
+    return once.unionByName(spread)
+
+
 # ------------------------------------------------------------------ E10/E11
 def tune(df: DataFrame, label: str, fold: str, estimator, grid: dict, metric: str = "areaUnderROC",
          parallelism: int = 4):
@@ -125,16 +226,6 @@ def tune(df: DataFrame, label: str, fold: str, estimator, grid: dict, metric: st
     return m, rows
 
 
-def sample_grid(grid: dict, n_iter: int, seed: int = 42) -> list[dict]:
-    """Random search: ``n_iter`` distinct combinations drawn from the grid."""
-    import itertools
-    import random
-
-    combos = [dict(zip(grid, vals)) for vals in itertools.product(*grid.values())]
-    rnd = random.Random(seed)
-    return rnd.sample(combos, min(n_iter, len(combos)))
-
-
 # ------------------------------------------------------------------ E22/M13
 def importances(model, names: Sequence[str]) -> list[tuple[str, float]]:
     """(feature, importance) from a tree model (bounded: one per feature)."""
@@ -188,20 +279,7 @@ def rfecv(df: DataFrame, label: str, fold: str, cols: Sequence[str], make, step:
 
 # ------------------------------------------------------------------ M12
 def pca_scores(df: DataFrame, k: int, in_col: str = FEATURES, out: str = "pca"):
-    """Centre + scale, then k principal components; returns the
+    """Impute and scale exactly, then k principal components; returns the
     transformed frame and the explained-variance share of each component."""
-    sc = StandardScaler(inputCol=in_col, outputCol="_std", withMean=True, withStd=True).fit(df)
-    d = sc.transform(df)
-    pca = PCA(k=k, inputCol="_std", outputCol=out).fit(d)
-    return pca.transform(d).drop("_std"), [float(v) for v in pca.explainedVariance.toArray()]
-
-
-def regression_cv(df: DataFrame, label: str, fold: str, make) -> dict[str, float]:
-    """E9 (regression branch): mean CV r2 / rmse / mae."""
-    res = {"r2": [], "rmse": [], "mae": []}
-    for k in sorted(r[0] for r in df.select(fold).distinct().collect()):
-        m = make().fit(df.where(F.col(fold) != k))
-        p = m.transform(df.where(F.col(fold) == k))
-        for met in res:
-            res[met].append(RegressionEvaluator(labelCol=label, metricName=met).evaluate(p))
-    return {k: sum(v) / len(v) for k, v in res.items()}
+    m = preprocess.ImputeScalePCA(inputCol=in_col, outputCol=out, k=k).fit(df)
+    return m.transform(df).drop(preprocess.SCALED), [float(v) for v in m.stages[-1].explainedVariance.toArray()]

@@ -24,23 +24,24 @@ def to_long(df: DataFrame, ids: Sequence[str], cols: Sequence[str], feature: str
         list(ids), list(cols), feature, value)
 
 
-def fit_impute_scale(long: DataFrame, train: Column, feature: str = "feature", value: str = "value") -> DataFrame:
-    """M10 + M11 fit on the train rows: per feature the exact interpolated
-    median (pandas / SimpleImputer semantics), then mean and population std
-    (ddof 0) of the *imputed* train values; zero std -> scale 1."""
+def fit_impute_scale(long: DataFrame, train: Column, feature: str | Sequence[str] = "feature", value: str = "value") -> DataFrame:
+    """M10 + M11 fit on the train rows: per feature (or per fold and feature)
+    the exact interpolated median (pandas / SimpleImputer semantics), then mean
+    and population std (ddof 0) of the *imputed* train values; zero std -> scale 1."""
+    by = [feature] if isinstance(feature, str) else list(feature)
     # conditional aggregates instead of a filtered copy: the fit and apply
     # branches then share one identical input subtree, so its shuffle is
     # reused instead of recomputing the upstream plan for the fit
     x = F.when(train, F.col(value))
-    med = exact_quantiles(long.select(feature, x.alias("_x")), [feature], "_x", {"median": 0.5})
-    st = long.groupBy(feature).agg(F.count_if(train).alias("_n"), F.count(x).alias("_m"), F.avg(x).alias("_a"),
+    med = exact_quantiles(long.select(*by, x.alias("_x")), by, "_x", {"median": 0.5})
+    st = long.groupBy(*by).agg(F.count_if(train).alias("_n"), F.count(x).alias("_m"), F.avg(x).alias("_a"),
                                    F.var_pop(x).alias("_v"))
-    st = attach(st, med, [feature], "left")
+    st = attach(st, med, by, "left")
     # moments of the imputed values from those of the present ones: no second pass over the rows
     gaps = F.col("_n") - F.col("_m")
     mean = (F.col("_m") * F.col("_a") + gaps * F.col("median")) / F.col("_n")
     var = F.col("_m") * (F.col("_v") + F.pow(F.col("_a") - mean, 2)) + gaps * F.pow(F.col("median") - mean, 2)
-    st = st.select(feature, "median", mean.alias("mean"), F.sqrt(var / F.col("_n")).alias("std"))
+    st = st.select(*by, "median", mean.alias("mean"), F.sqrt(var / F.col("_n")).alias("std"))
     return st.withColumn("scale", F.when(F.col("std") == 0, F.lit(1.0)).otherwise(F.col("std")))
 
 

@@ -10,6 +10,7 @@ neighbour rows, and whole-recording statistics are aggregates joined back.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -185,6 +186,49 @@ def detrend(df: DataFrame, rec, t: str, col: str) -> DataFrame:
     }).drop("_m", "_b", "_a")
 
 
+def detrend_cubic(df: DataFrame, rec, t: str, col: str) -> DataFrame:
+    """X minus its least-squares cubic in ``t``, per recording.
+
+    One aggregate for the centre and width of ``t``, one for the power sums of
+    the centred, scaled time u in [-1, 1], both joined back; the fit is solved
+    in polynomials that are orthogonal over the recording's own times (from the
+    moments of u), so there is no ill-conditioned system. Rows without time or
+    value are left out of the fit, and have no residual. A recording with as few
+    distinct times as a lower degree needs gets that degree: one time a constant,
+    two a line, three a parabola."""
+    rec = _keys(rec)
+    both = F.col(t).isNotNull() & F.col(col).isNotNull()
+    at, x = F.when(both, F.col(t).cast("double")), F.when(both, F.col(col).cast("double"))
+    span = df.groupBy(*rec).agg(F.avg(at).alias("_mid"), F.min(at).alias("_lo"), F.max(at).alias("_hi"))
+    d = attach(df, span, rec, "left")
+    half = F.greatest(F.col("_hi") - F.col("_mid"), F.col("_mid") - F.col("_lo"))
+    d = d.withColumn("_u", F.when(half > 0, (at - F.col("_mid")) / half).otherwise(F.when(both, F.lit(0.0)))).drop("_mid", "_lo", "_hi")
+    u = F.col("_u")
+    power = lambda k: reduce(lambda a, b: a * b, [u] * k)
+    sums = d.groupBy(*rec).agg(
+        *[F.avg(power(k)).alias(f"_m{k}") for k in range(1, 7)], F.avg(x).alias("_c0"), *[F.avg(power(k) * x).alias(f"_x{k}") for k in range(1, 4)],
+    )
+    m1, m2, m3, m4, m5, m6, c0, x1, x2, x3 = (F.col(f"_{k}") for k in ("m1", "m2", "m3", "m4", "m5", "m6", "c0", "x1", "x2", "x3"))
+    # p1 = u - m1; p2 = u^2 - a p1 - m2; p3 = u^3 - b p2 - g p1 - m3; h: mean squares; c: coefficients
+    over = lambda n, h: F.when(h > 1e-12, n / h).otherwise(F.lit(0.0))
+    steps = {
+        "_h1": m2 - m1 * m1, "_a": over(m3 - m1 * m2, F.col("_h1")), "_c1": over(x1 - m1 * c0, F.col("_h1")),
+        "_h2": m4 - F.col("_a") * (m3 - m1 * m2) - m2 * m2,
+        "_q": m5 - F.col("_a") * (m4 - m1 * m3) - m2 * m3, "_xp2": x2 - F.col("_a") * (x1 - m1 * c0) - m2 * c0,
+        "_b": over(F.col("_q"), F.col("_h2")), "_c2": over(F.col("_xp2"), F.col("_h2")), "_g": over(m4 - m1 * m3, F.col("_h1")),
+        "_h3": m6 - F.col("_b") * F.col("_q") - F.col("_g") * (m4 - m1 * m3) - m3 * m3,
+        "_c3": over(x3 - F.col("_b") * F.col("_xp2") - F.col("_g") * (x1 - m1 * c0) - m3 * c0, F.col("_h3")),
+    }
+    for name, value in steps.items():
+        sums = sums.withColumn(name, value)
+    kept = ["_m1", "_m2", "_m3", "_a", "_b", "_g", "_c0", "_c1", "_c2", "_c3"]
+    j = attach(d, sums.select(*rec, *kept), rec, "left")
+    p1 = u - m1
+    p2 = u * u - F.col("_a") * p1 - m2
+    p3 = u * u * u - F.col("_b") * p2 - F.col("_g") * p1 - m3
+    return j.withColumn(f"{col}_detrend_cubic", x - c0 - F.col("_c1") * p1 - F.col("_c2") * p2 - F.col("_c3") * p3).drop("_u", *kept)
+
+
 # ------------------------------------------------------------------ W15
 def order_check(df: DataFrame, rec, order, chunk: Column, col: str, role: str | None = None) -> DataFrame:
     """Per recording, is ``col`` non-decreasing along ``order``, its

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from trialframe.operators import metrics, significance, split, summary
 from trialframe.plans.registry import register
+from trialframe.session import cut_lineage
 from trialframe.sources.tables import table
 
 R6 = 6
@@ -278,11 +279,12 @@ def test_rows(spark, sf):
     p = predictions(spark, sf)
     rows = p.select("row_id", "y_true").distinct()
     t = split.train_test_split(rows, "row_id", 0.2, SEED, stratify="y_true").where(F.col("split") == "test")
-    return p.join(t.select("row_id"), "row_id")
+    # read for the majority class, the counts and the curves
+    return cut_lineage(p.join(t.select("row_id"), "row_id"))
 
 
-def sig_table(spark, sf):
-    t = test_rows(spark, sf).withColumn("pred", (F.col("score") >= 0.5).cast("double"))
+def sig_table(spark, sf, rows=None):
+    t = (test_rows(spark, sf) if rows is None else rows).withColumn("pred", (F.col("score") >= 0.5).cast("double"))
     # majority class of the test labels as a scalar subquery (no driver round trip)
     maj = summary.mode_smallest(t.select("row_id", "y_true").distinct(), "y_true").select("mode").scalar()
     g = t.groupBy("model").agg(
@@ -293,6 +295,9 @@ def sig_table(spark, sf):
         F.count_if(F.col("y_true") == maj).alias("n_majority"),
         F.count_if((F.col("pred") == F.col("y_true")) & (F.col("y_true") != maj)).alias("b"),
         F.count_if((F.col("pred") != F.col("y_true")) & (F.col("y_true") == maj)).alias("c"),
+        # against the classifier that calls every row positive
+        F.count_if((F.col("pred") == 0) & (F.col("y_true") == 0)).alias("b_positive"),
+        F.count_if((F.col("pred") == 0) & (F.col("y_true") == 1)).alias("c_positive"),
     )
     n = F.col("n")
     maj_share = F.col("n_majority") / n
@@ -304,6 +309,7 @@ def sig_table(spark, sf):
         "p_binom_chance": significance.binom_sf(F.col("n_correct"), n, F.lit(0.5)),
         "p_perm": significance.permutation_p(n, F.col("n_correct"), F.col("pos_true"), F.col("pos_pred")),
         "p_mcnemar": significance.mcnemar_p(F.col("b"), F.col("c")),
+        "p_mcnemar_positive": significance.mcnemar_p(F.col("b_positive"), F.col("c_positive")),
     })
 
 
@@ -321,8 +327,14 @@ def _sig_sql():
     hyper = (f"CASE WHEN {x0} <= {lo} THEN 1.0 WHEN {x0} > {hi} THEN 0.0 ELSE least(list_sum(list_transform("
              f"range({x0}, {hi} + 1), lambda x: exp({lgc('pos_true', 'x')} + {lgc('n - pos_true', 'pos_pred - x')} - "
              f"{lgc('n', 'pos_pred')}))), 1.0) END")
-    stat = "pow(abs(b - c) - 1, 2) / (b + c)"
-    mcn = f"CASE WHEN b + c > 0 THEN {significance.erfc_sql(f'sqrt(({stat}) / 2.0)')} ELSE 1.0 END"
+
+    def mcnemar(b, c):
+        # Simpson's rule for the integral of the normal density up to the root of the statistic
+        root, h = f"(abs({b} - {c}) - 1) / sqrt({b} + {c})", f"(abs(abs({b} - {c}) - 1) / sqrt({b} + {c}) / 2000)"
+        area = (f"{h} / 3 * list_sum(list_transform(range(0, 2001), lambda i: (CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 "
+                f"ELSE 2 END) * exp(-pow(i * {h}, 2) / 2)))")
+        return f"CASE WHEN {b} + {c} = 0 THEN 1.0 WHEN abs({root}) > 8 THEN 0.0 ELSE 1 - {area} * 2 / sqrt(2 * pi()) END"
+
     return f"""{PRED_SQL},
 rows_ AS (SELECT DISTINCT row_id, y_true FROM p),
 c0 AS (SELECT y_true, count(*) AS nc FROM rows_ GROUP BY 1),
@@ -340,10 +352,12 @@ g AS (SELECT model, count(*) AS n, count(*) FILTER (WHERE pred = y_true) AS n_co
         count(*) FILTER (WHERE y_true = 1) AS pos_true, count(*) FILTER (WHERE pred = 1) AS pos_pred,
         count(*) FILTER (WHERE y_true = maj) AS n_majority,
         count(*) FILTER (WHERE pred = y_true AND y_true <> maj) AS b,
-        count(*) FILTER (WHERE pred <> y_true AND y_true = maj) AS c FROM t, mj GROUP BY model),
+        count(*) FILTER (WHERE pred <> y_true AND y_true = maj) AS c,
+        count(*) FILTER (WHERE pred = 0 AND y_true = 0) AS b_positive,
+        count(*) FILTER (WHERE pred = 0 AND y_true = 1) AS c_positive FROM t, mj GROUP BY model),
 s AS (SELECT *, n_correct / n AS accuracy, n_majority / n AS maj_share,
         {binom('n_correct', 'n', 'n_majority / n')} AS p_binom_majority, {binom('n_correct', 'n', '0.5')} AS p_binom_chance,
-        {hyper} AS p_perm, {mcn} AS p_mcnemar FROM g)"""
+        {hyper} AS p_perm, {mcnemar('b', 'c')} AS p_mcnemar, {mcnemar('b_positive', 'c_positive')} AS p_mcnemar_positive FROM g)"""
 
 
 SIG_SQL = _sig_sql()
@@ -353,18 +367,20 @@ SIG_SQL = _sig_sql()
 WITH {SIG_SQL}
 SELECT model, n, n_correct, round(accuracy, 6) AS accuracy, round(maj_share, 6) AS majority_acc,
   round(p_binom_majority, 6) AS p_binom_majority, round(p_binom_chance, 6) AS p_binom_chance,
-  b, c, round(p_mcnemar, 6) AS p_mcnemar,
+  b, c, round(p_mcnemar, 6) AS p_mcnemar, b_positive, c_positive, round(p_mcnemar_positive, 6) AS p_mcnemar_positive,
   CASE WHEN p_binom_majority < 0.001 THEN '***' WHEN p_binom_majority < 0.01 THEN '**'
        WHEN p_binom_majority < 0.05 THEN '*' ELSE 'ns' END AS stars FROM s""")
 def q_binomial_mcnemar(spark, sf):
     """E24 E26 X22 on the held-out rows: one-sided binomial tests against
-    the majority share and 0.5, McNemar against the majority classifier."""
+    the majority share and 0.5, McNemar against the majority classifier and
+    against the one that calls every row positive."""
     s = sig_table(spark, sf)
     return s.select("model", "n", "n_correct", F.round("accuracy", R6).alias("accuracy"),
                     F.round("majority_acc", R6).alias("majority_acc"),
                     F.round("p_binom_majority", R6).alias("p_binom_majority"),
                     F.round("p_binom_chance", R6).alias("p_binom_chance"), "b", "c",
-                    F.round("p_mcnemar", R6).alias("p_mcnemar"),
+                    F.round("p_mcnemar", R6).alias("p_mcnemar"), "b_positive", "c_positive",
+                    F.round("p_mcnemar_positive", R6).alias("p_mcnemar_positive"),
                     significance.stars(F.col("p_binom_majority")).alias("stars"))
 
 
@@ -395,17 +411,35 @@ j AS (SELECT s.*, au.auc FROM s JOIN au USING (model))
 SELECT count(*) FILTER (WHERE p_binom_majority < 0.05) AS n_significant, count(*) AS n_models,
   arg_min(model, (-auc, model)) AS best_model, round(max(auc), 6) AS best_auc,
   CASE WHEN count(*) FILTER (WHERE p_binom_majority < 0.05) = 0 THEN 'no model beats the majority baseline'
-       WHEN max(auc) < 0.6 THEN 'weak' WHEN max(auc) < 0.7 THEN 'modest' ELSE 'strong' END AS verdict FROM j""")
+       WHEN max(auc) < 0.7 THEN 'significant, small effect' ELSE 'significant, reasonable effect' END AS verdict FROM j""")
 def q_significance_report(spark, sf):
     """Significant-model count, best model by test AUC, verdict tier."""
-    s = sig_table(spark, sf)
-    auc = metrics.roc_auc(test_rows(spark, sf), "model")
-    j = s.join(auc, "model")
+    j = assessed(spark, sf)
     n_sig = F.count_if(F.col("p_binom_majority") < 0.05)
     best = F.max("auc")
     return j.agg(
         n_sig.alias("n_significant"), F.count(F.lit(1)).alias("n_models"),
         F.min_by("model", F.struct(-F.col("auc"), F.col("model"))).alias("best_model"),
         F.round(best, R6).alias("best_auc"),
-        F.when(n_sig == 0, "no model beats the majority baseline").when(best < 0.6, "weak")
-        .when(best < 0.7, "modest").otherwise("strong").alias("verdict"))
+        F.when(n_sig == 0, "no model beats the majority baseline").when(best < 0.7, "significant, small effect")
+        .otherwise("significant, reasonable effect").alias("verdict"))
+
+
+def assessed(spark, sf):
+    """The tests of each model and its AUC, from one table of held-out rows."""
+    rows = test_rows(spark, sf)
+    return sig_table(spark, sf, rows).join(metrics.roc_auc(rows, "model"), "model")
+
+
+@register("model_assessment", f"""
+WITH {SIG_SQL}, {SC_SQL.replace('FROM p GROUP', 'FROM t GROUP')},
+au AS (SELECT model, sum(pos * ((bign - fp) + neg / 2.0)) / (any_value(bigp) * any_value(bign)) AS auc FROM cu GROUP BY model)
+SELECT model, round(auc, 6) AS auc, accuracy > maj_share AND p_binom_majority < 0.05 AS beats_majority, auc > 0.6 AS discriminates,
+  CASE WHEN p_mcnemar_positive < 0.001 THEN '***' WHEN p_mcnemar_positive < 0.01 THEN '**' WHEN p_mcnemar_positive < 0.05 THEN '*' ELSE 'ns' END
+    AS mcnemar_stars FROM s JOIN au USING (model)""")
+def q_model_assessment(spark, sf):
+    """Is a model significantly better than the majority class, does
+    its AUC show discrimination, and how far is it from all-positive."""
+    beats = (F.col("accuracy") > F.col("majority_acc")) & (F.col("p_binom_majority") < 0.05)
+    return assessed(spark, sf).select("model", F.round("auc", R6).alias("auc"), beats.alias("beats_majority"),
+                                      (F.col("auc") > 0.6).alias("discriminates"), significance.stars(F.col("p_mcnemar_positive")).alias("mcnemar_stars"))

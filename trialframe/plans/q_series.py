@@ -193,6 +193,26 @@ def q_detrend(spark, sf):
                     F.round("value_detrend_linear", R6).alias("value_detrend_linear"))
 
 
+def _residual(y: str, *on: str) -> str:
+    """y less its regression on a column that has mean 0 in the recording."""
+    return f"{y} - " + " - ".join(f"coalesce(regr_slope({y}, {c}) OVER ({W}), 0) * {c}" for c in on)
+
+
+@register("detrend_cubic", f"""
+WITH {FILLED_SQL},
+p0 AS (SELECT *, CAST(row_number() OVER ({WO}) - 1 AS DOUBLE) AS t FROM ff),
+p1 AS (SELECT *, (t - avg(t) OVER ({W})) / greatest(max(t) OVER ({W}), 1) AS u FROM p0),
+p2 AS (SELECT *, u * u - avg(u * u) OVER ({W}) AS v, u * u * u - avg(u * u * u) OVER ({W}) AS w, value - avg(value) OVER ({W}) AS x0 FROM p1),
+p3 AS (SELECT *, {_residual('v', 'u')} AS q2, {_residual('w', 'u')} AS w1, {_residual('x0', 'u')} AS x1 FROM p2),
+p4 AS (SELECT *, {_residual('w1', 'q2')} AS q3, {_residual('x1', 'q2')} AS x2 FROM p3)
+SELECT event_id, round({_residual('x2', 'q3')}, 6) + 0.0 AS value_detrend_cubic FROM p4""")
+def q_detrend_cubic(spark, sf):
+    """Cubic detrend against the frame position."""
+    d = ordered.scan(filled(spark, sf), REC, ORDER, chunk(), pos="t")
+    r = series.detrend_cubic(d, REC, "t", "value")
+    return r.select("event_id", (F.round("value_detrend_cubic", R6) + 0.0).alias("value_detrend_cubic"))
+
+
 @register("interval_histogram", f"""
 SELECT CAST(floor(dt / 3600) AS BIGINT) AS dt_hours, count(*) AS n FROM (
   SELECT (epoch_us(ts) - lag(epoch_us(ts)) OVER ({WO})) / 1e6 AS dt FROM events)
