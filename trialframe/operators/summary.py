@@ -2,21 +2,22 @@
 
 Everything is an ordinary ``groupBy().agg()``: Spark runs it as partial
 (map-side) + final aggregation, so hot keys are pre-reduced before the
-shuffle. Exact percentiles come from value counts and a chunked running count.
+shuffle. Exact percentiles come from value counts, narrowed to the wanted range.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialframe.operators import ordered
 from trialframe.operators.clean import dedupe_first
 from trialframe.operators.joins import attach
+from trialframe.session import cut_lineage
 
 QUANTILE_CHUNKS = 64
+CELL_VALUES = 200_000
 
 
 def dataset_stats(df: DataFrame, subject: str, session: str, label: str, order: Sequence[str]) -> DataFrame:
@@ -66,30 +67,66 @@ def mode_smallest(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
     return g.groupBy(*by).agg(F.min_by(F.col(col), F.struct(-F.col("_n"), F.col(col))).alias("mode"))
 
 
-def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
+def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float], most: int = CELL_VALUES) -> DataFrame:
     """Interpolated quantiles per group (pandas semantics), one column for
     each of ``probs``; nulls are ignored, a group without values is absent.
 
-    Rows are reduced to value counts; a running count over them, cut into
-    chunks at approximate quantiles of the group, locates the two order
-    statistics. No task holds all the values of a group."""
+    Rows are reduced to value counts. A cell is the range of values in which a
+    wanted order statistic lies, the whole group at first. As long as a cell
+    holds over ``most`` distinct values, a histogram over QUANTILE_CHUNKS ranges
+    of it says in which of them the statistic is, and only that range goes on;
+    a running count is made inside the last cells only. So no task sorts over
+    ``most`` values of a group, however many there are, and the number of
+    passes grows with the logarithm of the largest group."""
     by = list(by)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    cuts = F.percentile_approx(value, [k / QUANTILE_CHUNKS for k in range(1, QUANTILE_CHUNKS)], 1000).alias("_cuts")
-    if by:
-        counts = attach(counts, counts.groupBy(*by).agg(cuts), by, "inner")
-    else:
-        counts = counts.withColumn("_cuts", counts.agg(cuts).scalar())
-    chunk = F.array_size(F.array_compact(F.transform("_cuts", lambda c: F.when(c < F.col(value), c))))
-    run = ordered.scan(counts.withColumn("_q", chunk).drop("_cuts"), by, [value], F.col("_q"), cumsum={"_c": "_n"}, totals={"_all": ("sum", "_n")})
+    group = F.struct(F.lit(0).alias("_one"), *[F.col(c) for c in by])
+    counts = df.where(F.col(value).isNotNull()).groupBy(group.alias("_g"), F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = cut_lineage(counts)
+    totals = counts.groupBy("_g").agg(F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_size"))
+    place = {name: F.lit(p) * (F.col("_all") - 1) for name, p in probs.items()}
+    ranks = F.array_distinct(F.array(*[f(x).cast("long") for x in place.values() for f in (F.floor, F.ceil)]))
+    nothing = F.lit(None).cast(counts.schema["_v"].dataType)
+    cells = totals.select("_g", F.explode(ranks).alias("_rank"), nothing.alias("_lo"), nothing.alias("_hi"), F.lit(0).cast("long").alias("_below"), "_size")
+    while (cells.agg(F.max("_size")).first()[0] or 0) > most:
+        cells = cut_lineage(_refined(counts, cells, most))
+    spans = cells.groupBy("_g", "_lo", "_hi").agg(F.collect_list(F.struct("_rank", "_below")).alias("_ranks"))
+    inside = _inside(counts, spans)
+    run = F.sum("_n").over(Window.partitionBy("_g", "_lo", "_hi").orderBy("_v"))
+    hit = F.explode(F.filter("_ranks", lambda r: (r["_below"] + F.col("_run") > r["_rank"]) & (r["_below"] + F.col("_run") - F.col("_n") <= r["_rank"])))
+    found = inside.withColumn("_run", run).select("_g", "_v", hit.alias("_hit")).select("_g", "_v", F.col("_hit._rank").alias("_rank"))
     ends, out = [], []
-    for name, p in probs.items():
-        at = F.lit(p) * (F.col("_all") - 1)
-        ends += [F.min(F.when(F.col("_c") > F.floor(at), F.col(value))).alias(f"_lo_{name}"),
-                 F.min(F.when(F.col("_c") > F.ceil(at), F.col(value))).alias(f"_hi_{name}")]
-        share = at - F.floor(at)
+    for name, x in place.items():
+        ends += [F.max(F.when(F.col("_rank") == F.floor(x), F.col("_v"))).alias(f"_lo_{name}"), F.max(F.when(F.col("_rank") == F.ceil(x), F.col("_v"))).alias(f"_hi_{name}")]
+        share = x - F.floor(x)
         out.append((F.col(f"_lo_{name}") + share * (F.col(f"_hi_{name}") - F.col(f"_lo_{name}"))).alias(name))
-    return run.groupBy(*by).agg(F.first("_all").alias("_all"), *ends).select(*by, *out)
+    ends = found.join(totals.select("_g", "_all"), "_g").groupBy("_g", "_all").agg(*ends)
+    return ends.select(*[F.col("_g")[c].alias(c) for c in by], *out)
+
+
+def _inside(counts: DataFrame, spans: DataFrame) -> DataFrame:
+    """The value counts that lie in a span (_lo, _hi] of their group, null for no bound."""
+    j = counts.join(spans, "_g")
+    return j.where((F.col("_lo").isNull() | (F.col("_v") > F.col("_lo"))) & (F.col("_hi").isNull() | (F.col("_v") <= F.col("_hi"))))
+
+
+def _refined(counts: DataFrame, cells: DataFrame, most: int) -> DataFrame:
+    """The cells over ``most`` values narrowed to one of QUANTILE_CHUNKS ranges."""
+    key = ["_g", "_lo", "_hi"]
+    large = cells.where(F.col("_size") > most)
+    rows = _inside(counts, large.select(*key).distinct())
+    cuts = rows.groupBy(*key).agg(F.percentile_approx("_v", [k / QUANTILE_CHUNKS for k in range(1, QUANTILE_CHUNKS)], 1000).alias("_cuts"))
+    rows = attach(rows, cuts, key, "inner")
+    chunk = F.array_size(F.array_compact(F.transform("_cuts", lambda c: F.when(c < F.col("_v"), c))))
+    bars = rows.groupBy(*key, chunk.alias("_q")).agg(F.sum("_n").alias("_in"), F.count(F.lit(1)).alias("_m"), F.max("_v").alias("_top"))
+    order = Window.partitionBy(*key).orderBy("_q")
+    bars = bars.withColumns({"_to": F.sum("_in").over(order), "_bottom": F.lag("_top").over(order)}).withColumnsRenamed({k: f"_of{k}" for k in key})
+    same = (F.col("_g") == F.col("_of_g")) & F.col("_lo").eqNullSafe(F.col("_of_lo")) & F.col("_hi").eqNullSafe(F.col("_of_hi"))
+    here = (F.col("_below") + F.col("_to") > F.col("_rank")) & (F.col("_below") + F.col("_to") - F.col("_in") <= F.col("_rank"))
+    narrowed = large.join(bars, same).where(here).select(
+        "_g", "_rank", F.coalesce("_bottom", "_lo").alias("_lo"), F.col("_top").alias("_hi"),
+        (F.col("_below") + F.col("_to") - F.col("_in")).alias("_below"), F.col("_m").alias("_size"),
+    )
+    return cells.where(F.col("_size") <= most).unionByName(narrowed)
 
 
 def eight_number(df: DataFrame, by: Sequence[str], col: str, prefix: str = "", extra: Sequence[Column] = ()) -> DataFrame:

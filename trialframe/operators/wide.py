@@ -25,6 +25,11 @@ def _order_key(order: Sequence[str] | Column) -> Column:
     return order if isinstance(order, Column) else order_struct(order)
 
 
+def _number_in(col: str, domain: Sequence, otherwise: Column) -> Column:
+    """The 0-based number of a value in a short list."""
+    return F.coalesce(*[F.when(F.col(col) == F.lit(v), F.lit(i)) for i, v in enumerate(domain)], otherwise)
+
+
 def pivot_first(
     df: DataFrame,
     session: str,
@@ -50,13 +55,17 @@ def pivot_first(
       row (P10).
 
     One aggregate per (trial, feature): ``min_by(value, if(trial = t, key))``.
+    Coded values enter it as their number in the domain, an int: with numeric
+    features and a numeric key every buffer has a fixed width and the aggregate
+    is a HashAggregate (a text in one would sort all rows). A value outside its
+    domain is an error, as it would shift the codes of the others.
     """
     codes = codes or {}
     session_first = session_first or {}
     key = _order_key(order)
     payload = dict(features)
-    for f, (c, _) in codes.items():
-        payload[f] = F.col(c)
+    for f, (c, dom) in codes.items():
+        payload[f] = _number_in(c, dom, F.lit(None))
 
     aggs = [
         F.min_by(e, F.when(F.col(trial) == F.lit(t), key)).alias(f"_t{t}_{f}")
@@ -68,6 +77,7 @@ def pivot_first(
         for i, v in enumerate(dom):
             code_cols[(f, v)] = f"_f_{f}_{i}"
             aggs.append(F.min(F.when(F.col(c) == F.lit(v), key)).alias(code_cols[(f, v)]))
+        aggs.append(F.count_if(F.col(c).isNotNull() & ~F.col(c).isin(*dom)).alias(f"_unknown_{f}"))
     for k, e in session_first.items():
         aggs.append(F.min_by(e, key).alias(f"_first_{k}"))
 
@@ -80,13 +90,15 @@ def pivot_first(
         for f, (c, dom) in codes.items():
             v_here = F.col(f"_t{t}_{f}")
             first_here = F.coalesce(
-                *[F.when(v_here == F.lit(v), F.col(code_cols[(f, v)])) for v in dom]
+                *[F.when(v_here == i, F.col(code_cols[(f, v)])) for i, v in enumerate(dom)]
             )
             earlier = sum(
                 (F.when(F.col(code_cols[(f, u)]) < first_here, 1).otherwise(0) for u in dom),
                 F.lit(0),
             )
-            out.append(F.when(first_here.isNotNull(), earlier).cast("int").alias(name.format(t=t, f=f)))
+            unknown = F.raise_error(F.concat(F.lit(f"{c} has values outside its domain in "), F.col(session_alias).cast("string")))
+            code = F.when(first_here.isNotNull(), earlier).cast("int")
+            out.append(F.when(F.col(f"_unknown_{f}") > 0, unknown.cast("int")).otherwise(code).alias(name.format(t=t, f=f)))
     for k in session_first:
         out.append(F.col(f"_first_{k}").alias(k))
     return g.select(*out)
@@ -106,17 +118,19 @@ def pivot_onehot(
     session_alias: str = "session_id",
 ) -> DataFrame:
     """``trial{t}_{f}_{v}`` = 1 when the first row of trial ``t`` has
-    value ``v`` else 0; null when the session has no such trial."""
+    value ``v`` else 0; null when the session has no such trial. The values are
+    numbered first, so that no text is in an aggregate's buffer."""
     feature = feature or column
     key = _order_key(order)
-    aggs = [F.min_by(F.col(column), F.when(F.col(trial) == F.lit(t), key)).alias(f"_t{t}") for t in domain]
+    number = _number_in(column, values, F.when(F.col(column).isNotNull(), F.lit(-1)))
+    aggs = [F.min_by(number, F.when(F.col(trial) == F.lit(t), key)).alias(f"_t{t}") for t in domain]
     aggs += [F.max(F.when(F.col(trial) == F.lit(t), 1)).alias(f"_p{t}") for t in domain]
     g = df.groupBy(F.col(session).alias(session_alias)).agg(*aggs)
     out = [F.col(session_alias)]
     for t in domain:
-        for v in values:
+        for i, v in enumerate(values):
             out.append(
-                F.when(F.col(f"_p{t}").isNotNull(), (F.col(f"_t{t}") == F.lit(v)).cast("int"))
+                F.when(F.col(f"_p{t}").isNotNull(), (F.col(f"_t{t}") == i).cast("int"))
                 .alias(name.format(t=t, f=feature, v=v))
             )
     return g.select(*out)
@@ -141,7 +155,7 @@ def missing_trials(df: DataFrame, session: str, trial: str, domain: Sequence[int
     no session x domain cross product is ever materialised; the per-session
     set is bounded by the domain size."""
     present = df.groupBy(F.col(session).alias("session_id")).agg(
-        F.collect_set(F.col(trial).cast("int")).alias("_have")
+        F.collect_set(F.when(F.col(trial).isin(*[int(t) for t in domain]), F.col(trial).cast("int"))).alias("_have")
     )
     dom = F.array(*[F.lit(int(t)) for t in domain])
     return present.select(

@@ -42,13 +42,13 @@ def q_include_exclude(spark, sf):
 
 @register("recording_stats_join", """
 WITH p AS (SELECT page_id, string_split(url, '/')[-1] AS base, 0 AS n FROM pages),
-s AS (SELECT base, count(*) AS n, min(page_id) AS first_page FROM p WHERE page_id % 2 = 0 GROUP BY 1)
+s AS (SELECT base, count(*) AS n, min(page_id) AS first_page FROM p GROUP BY 1 HAVING count(*) > 1)
 SELECT p.page_id, p.base, s.n, s.first_page FROM p LEFT JOIN s USING (base)""")
 def q_recording_stats_join(spark, sf):
     """Stats by base name joined to their rows; the clashing column comes
-    from the stats, rows without stats stay (stats cover even pages)."""
+    from the stats, rows without stats stay (stats cover repeated names)."""
     p = table(spark, sf, "pages", "page_id", "url").select("page_id", names.base_name("url").alias("base"), F.lit(0).alias("n"))
-    s = p.where(F.col("page_id") % 2 == 0).groupBy("base").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first_page"))
+    s = p.groupBy("base").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first_page")).where("n > 1")
     return joins.attach_stats(p, s, "base").select("page_id", "base", "n", "first_page")
 
 

@@ -10,6 +10,7 @@ from trialframe.functions import scalar
 from trialframe.operators import ordered, series, summary
 from trialframe.operators.joins import attach
 from trialframe.plans.registry import register
+from trialframe.session import cut_lineage
 from trialframe.sources.tables import frames, table
 
 R6 = 6
@@ -118,7 +119,8 @@ def q_velocity_summary(spark, sf):
                             valid=F.col("value").isNotNull())
     v = v.withColumns({"total": series.euclid("value_velocity", "k_velocity", "ratio_velocity"),
                        "size": F.col("k") / 100})
-    return velocity_report(v, totals, fps=30.0)
+    # read for the summary and for the value counts of the quantiles
+    return velocity_report(cut_lineage(v.select(*REC, "total", "size")), totals, fps=30.0)
 
 
 def velocity_report(v, totals, fps: float):

@@ -26,7 +26,7 @@ def q_incremental_ingest(spark, sf):
     source, sink, ck = (ingest.shared_path(spark, f"ingest-{x}") for x in ("source", "sink", "ckpt"))
     events = table(spark, sf, "events")
     for drop in (0, 1):
-        events.where(F.pmod("event_id", F.lit(2)) == drop).write.mode("append").parquet(source)
+        events.where(F.coalesce(F.pmod("event_id", F.lit(2)), F.lit(0)) == drop).write.mode("append").parquet(source)
         ingest.ingest_new_files(spark, source, schema, sink, ck, max_files_per_trigger=64)
     out = ingest.read_sink(spark, sink, schema)
     return out.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("value_sum"))
