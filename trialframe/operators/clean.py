@@ -145,3 +145,15 @@ def include_exclude(df: DataFrame, col: str, include: Sequence[str] = (), exclud
     if exclude:
         return df.where(~F.coalesce(F.col(col).isin(list(exclude)), F.lit(False)))
     return df
+
+
+def first_per_type(df: DataFrame, key: Sequence[str], name: str, epoch: Column, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """K7: (key, type, name) of the first item of each type. A rule is (type,
+    kind, text): items whose name contains the text belong to the type; kind
+    ``earliest`` takes the one with the smallest epoch, ``listed`` the first by
+    name. One pass: a row is exploded to the types it belongs to, at most one
+    for each rule."""
+    each = [F.when(F.col(name).contains(text), F.struct(F.lit(t).alias("type"), (epoch if kind == "earliest" else F.lit(0)).cast("long").alias("at")))
+            for t, kind, text in rules]
+    d = df.withColumn("_t", F.explode(F.array_compact(F.array(*each))))
+    return d.groupBy(*key, F.col("_t.type").alias("type")).agg(F.min(F.struct(F.col("_t.at"), F.col(name)))[name].alias(name))

@@ -11,12 +11,15 @@ Spark picks the physical join. What we add:
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trialframe.functions import names
+
 
 def attach(rows: DataFrame, per_key: DataFrame, on: Sequence[str] | str, how: str = "left") -> DataFrame:
     """Join a per-key table back to rows. A null key matches the null key, so
@@ -33,6 +36,15 @@ def not_yet_processed(candidates: DataFrame, done: DataFrame, keys: Sequence[str
     return candidates.join(done.select(*keys), list(keys), "left_anti")
 
 
+def without_output(candidates: DataFrame, path: str, outputs: DataFrame, output_path: str, mark: str = "_analysis_") -> DataFrame:
+    """Candidates for which no output ``{stem}{mark}...`` is there, by the
+    stem derived from both names. A null path has no output and stays."""
+    stem = names.strip_ext(names.base_name(path))
+    made = F.element_at(F.split(names.base_name(output_path), re.escape(mark)), 1)
+    done = outputs.where(names.base_name(output_path).contains(mark)).select(made.alias("__stem")).distinct()
+    return candidates.join(done, stem == F.col("__stem"), "left_anti")
+
+
 def changed_or_new(listing: DataFrame, local: DataFrame, keys: Sequence[str] = ("name", "size")) -> DataFrame:
     """Re-fetch when no local copy with the same (name, size) exists."""
     return listing.join(local.select(*keys), list(keys), "left_anti")

@@ -141,6 +141,25 @@ def fold_summary(metrics_long: DataFrame, by, value: str = "value") -> DataFrame
         F.array_sort(F.collect_list(value)).alias("all_values"))
 
 
+def fold_sides(rows: DataFrame, fold: str, k: int, side: str = "side") -> DataFrame:
+    """Every row once for each fold, on the test side of its own fold and
+    on the train side of the others."""
+    d = rows.withColumn("_own", F.col(fold)).withColumn(fold, F.explode(F.array(*[F.lit(i) for i in range(k)])))
+    return d.withColumn(side, F.when(F.col("_own") == F.col(fold), "test").otherwise("train")).drop("_own")
+
+
+def flipped(summary: DataFrame, metric: str = "metric", prefix: str = "neg_") -> DataFrame:
+    """Summaries of errors that are stored negated (``neg_rmse``), with
+    their sign and name put right: mean, min and max change sign, min and max
+    change places, the deviation stays."""
+    neg = F.col(metric).startswith(prefix)
+    sign = lambda c: F.when(neg, -F.col(c)).otherwise(F.col(c))
+    return summary.withColumns({
+        "mean": sign("mean"), "min": F.when(neg, -F.col("max")).otherwise(F.col("min")), "max": F.when(neg, -F.col("min")).otherwise(F.col("max")),
+        metric: F.when(neg, F.substring(metric, len(prefix) + 1, 1000)).otherwise(F.col(metric)),
+    })
+
+
 def metric_grade(df: DataFrame, by, value: str, out: str = "grade") -> DataFrame:
     """Share of values <= x within ``by`` (cume_dist) -> grade at
     .8/.6/.4/.2; '' when fewer than 2 values. The window runs over the

@@ -176,6 +176,12 @@ def out_of_fold(df: DataFrame, label: str, fold: str, models: dict[str, Callable
     return out
 
 
+def side_by_side(predictions: DataFrame, names: Sequence[str], row_id: str = "row_id", value: str = "score") -> DataFrame:
+    """One row per row id and a column for each model, joined by key."""
+    own = [F.max(F.when(F.col("model") == m, F.col(value))).alias(m) for m in names]
+    return predictions.groupBy(row_id).agg(*own)
+
+
 def prediction_scores(pred: DataFrame, by: Sequence[str], regression: bool = False) -> DataFrame:
     """Scores of a long table of predictions per ``by``: accuracy, f1, mcc and
     tie-aware AUC, or r2, rmse and mae."""

@@ -29,6 +29,10 @@ from pyspark.sql import functions as F
 
 # Default chunk for timestamp-ordered series: one day of a recording.
 DAY_MICROS = 86_400_000_000
+# rows of a group in one chunk, ranges that a larger bucket is cut into, and the column of even_chunks
+CHUNK_ROWS = 250_000
+MAX_RANGES = 5000
+CHUNK = "_ck"
 
 
 def epoch_micros(ts_col: str | Column) -> Column:
@@ -66,6 +70,32 @@ def range_chunked(df: DataFrame, order: Sequence[str] | str, out: str = "_range"
     return cut_lineage(df.orderBy(*_cols(order)).withColumn(out, F.spark_partition_id()))
 
 
+def even_chunks(
+    df: DataFrame, keys: Sequence[str] | str, ts: str, out: str = CHUNK, width_micros: int = DAY_MICROS, most: int = CHUNK_ROWS
+) -> DataFrame:
+    """``df`` with a chunk column for :func:`scan`: the time bucket of ``ts``,
+    and where a bucket of a group holds over ``most`` rows, the number of a
+    range of times within it. The bounds of those ranges are quantiles of the
+    bucket's own times, so a recording whose frames all fall in one day is
+    split like any other. One count per bucket decides; without a large bucket
+    nothing more is done. Rows of one instant stay together; there are at most
+    MAX_RANGES ranges in a bucket."""
+    keys = _cols(keys)
+    d = df.withColumn(out, time_chunk(ts, width_micros))
+    bucket = F.struct(*keys, out)
+    large = d.groupBy(bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > most)
+    largest = large.agg(F.max("_rows")).first()[0]
+    if largest is None:
+        return d
+    n = min(MAX_RANGES, 2 * -(-largest // most))
+    of_large = d.join(large.select("_bucket"), bucket == F.col("_bucket"), "left_semi")
+    cuts = of_large.groupBy(bucket.alias("_bucket")).agg(
+        F.array_distinct(F.percentile_approx(epoch_micros(ts), [k / n for k in range(1, n)], 100 * n)).alias("_cuts"))
+    j = d.join(cuts, bucket == F.col("_bucket"), "left")
+    part = F.coalesce(F.size(F.filter("_cuts", lambda c: c < epoch_micros(ts))), F.lit(0))
+    return j.withColumn(out, F.struct(F.col(out).alias("bucket"), part.alias("part"))).drop("_bucket", "_cuts")
+
+
 def _cols(xs: Sequence[str] | str) -> list[str]:
     return [xs] if isinstance(xs, str) else list(xs)
 

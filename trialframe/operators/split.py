@@ -102,18 +102,49 @@ def stratified_kfold(df: DataFrame, id_col: str, label: str, k: int = 5, seed: i
     return d.withColumn(out, (F.col("_pos") % k).cast("int")).drop("_pos")
 
 
+def greedy_deal(runs: Sequence[tuple[int, int]], k: int) -> list[tuple[int, int, int, list[int]]]:
+    """The lightest-fold deal of groups in descending size, without the groups.
+
+    ``runs`` are (size, number of groups of that size), sizes descending. Each
+    group goes to the lightest fold, the lowest on ties. Equal groups fall to
+    the folds in a repeating order as long as no further fold comes level, so a
+    run has at most ``k`` stretches: (size, first, number, folds) says that the
+    groups first .. first + number - 1 of the run go to ``folds`` in turn."""
+    weight = [0] * k
+    out = []
+    for size, count in runs:
+        first = 0
+        entry = sorted(range(k), key=lambda i: (weight[i], i))
+        level = 1
+        while count:
+            # folds that take part, and how many groups they get before the next one is the lightest
+            turn = sorted(entry[:level], key=lambda i: (weight[i], i))
+            n = count
+            if level < k:
+                limit, rival = weight[entry[level]], entry[level]
+                n = min(n, sum(max(0, -(-(limit + (i < rival) - weight[i]) // size)) for i in turn))
+            if n:
+                out.append((size, first, n, turn))
+                for at, i in enumerate(turn):
+                    weight[i] += size * (n // level + (at < n % level))
+            first, count, level = first + n, count - n, min(level + 1, k)
+    return out
+
+
 def group_kfold(df: DataFrame, group: str, k: int = 5, out: str = "fold") -> DataFrame:
-    """M6: a group never spans folds. Groups ranked by size (desc, then
-    group) and dealt in snake order 0..k-1, k-1..0 - the parallel form of the
-    greedy lightest-fold assignment. Equal sizes are ordered by a hash of
-    the group; the *group* table is ranked in ranges over many tasks even
-    when most groups share one size."""
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_size"))
-    sizes = sizes.withColumns({"_neg": -F.col("_size"), "_gh": hash32(group, 0)})
-    order = ["_neg", "_gh", group]
-    ranked = ordered.scan(ordered.range_chunked(sizes, order), [], order, F.col("_range"), pos="_r")
-    rnd, pos = (F.col("_r") / k).cast("long"), F.col("_r") % k
-    folds = ranked.select(group, F.when(rnd % 2 == 0, pos).otherwise(k - 1 - pos).cast("int").alias(out))
+    """M6: a group never spans folds; groups in descending size (equal sizes by
+    a hash of the group), each to the lightest fold. The driver holds one row
+    for each distinct size, of which n rows have sqrt(2 n) at most, and deals
+    whole runs of equal groups; the groups themselves are numbered within their
+    size by a chunked scan, also where most of them share one size."""
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_size")).withColumn("_gh", hash32(group, 0))
+    runs = [(r["_size"], r["n"]) for r in sizes.groupBy("_size").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("_size")).collect()]
+    deal = df.sparkSession.createDataFrame(greedy_deal(runs, k), "_of long, _first long, _number long, _turn array<int>")
+    chunk = F.shiftright(F.col("_gh"), 32 - HASH_CHUNK_BITS)
+    ranked = ordered.scan(sizes, ["_size"], ["_gh", group], chunk, pos="_r")
+    here = (F.col("_size") == F.col("_of")) & (F.col("_r") >= F.col("_first")) & (F.col("_r") < F.col("_first") + F.col("_number"))
+    turn = ((F.col("_r") - F.col("_first")) % F.size("_turn")).cast("int")
+    folds = ranked.join(deal, here).select(group, F.get("_turn", turn).alias(out))
     return attach(df, folds, group, "inner")
 
 

@@ -211,7 +211,7 @@ def q_null_report(spark, sf):
 
 
 @register("trial_feature_summary", """
-SELECT feature, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, min(v) AS min, max(v) AS max,
+SELECT feature, count(v) AS n, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, min(v) AS min, max(v) AS max,
        round(quantile_cont(v, 0.5), 6) AS median, round(quantile_cont(v, 0.25), 6) AS q25,
        round(quantile_cont(v, 0.75), 6) AS q75, round(max(v) - min(v), 6) AS range
 FROM (UNPIVOT (SELECT l_quantity AS quantity, l_extendedprice AS extendedprice, l_discount AS discount,
@@ -225,8 +225,8 @@ def q_trial_feature_summary(spark, sf):
         F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("extendedprice"),
         F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"),
     ).unpivot([], ["quantity", "extendedprice", "discount", "tax"], "feature", "v")
-    s = summary.eight_number(long, ["feature"], "v")
-    return s.select("feature", *[F.round(c, R6).alias(c) if c in ("mean", "std", "median", "q25", "q75", "range")
+    s = summary.eight_number(long, ["feature"], "v", extra=[F.count("v").alias("n")])
+    return s.select("feature", "n", *[F.round(c, R6).alias(c) if c in ("mean", "std", "median", "q25", "q75", "range")
                                  else F.col(c) for c in ["mean", "std", "min", "max", "median", "q25", "q75", "range"]])
 
 

@@ -213,6 +213,53 @@ def q_fold_summary(spark, sf):
     return s.select("variation", "model", "metric", *[F.round(c, R6).alias(c) for c in ["mean", "std", "min", "max"]], "n")
 
 
+@register("fold_side_summary", f"""
+WITH {FOLD_SQL},
+k AS (SELECT unnest(range(0, {K})) AS k),
+x AS (SELECT model, k AS fold, CASE WHEN fold = k THEN 'test' ELSE 'train' END AS side, score, y_true FROM vf, k WHERE variation = 'all'),
+e AS (SELECT model, side, fold, avg(CASE WHEN (score >= 0.5) = (y_true = 1) THEN 1.0 ELSE 0 END) AS accuracy, avg(abs(score - y_true)) AS mae,
+        sqrt(avg(pow(score - y_true, 2))) AS rmse FROM x GROUP BY ALL)
+SELECT model, side, metric, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(min(v), 6) AS min, round(max(v), 6) AS max, count(*) AS n
+FROM (UNPIVOT e ON accuracy, mae, rmse INTO NAME metric VALUE v) GROUP BY model, side, metric""")
+def q_fold_side_summary(spark, sf):
+    """Metrics of the test and the train side of each fold; errors are
+    kept negated, so that more is better for all, and flipped on output."""
+    rows = split.hash_position(document_scores(spark, sf), "row_id", SEED, ["y_true"], pos="_p")
+    rows = by_model(rows.withColumn("fold", (F.col("_p") % K).cast("int")))
+    d = metrics.fold_sides(rows.select("model", "fold", "score", "y_true"), "fold", K)
+    error = F.abs(F.col("score") - F.col("y_true"))
+    right = ((F.col("score") >= 0.5) == (F.col("y_true") == 1)).cast("double")
+    m = d.groupBy("model", "side", "fold").agg(F.avg(right).alias("accuracy"), (-F.avg(error)).alias("neg_mae"), (-F.sqrt(F.avg(error * error))).alias("neg_rmse"))
+    long = m.unpivot(["model", "side", "fold"], ["accuracy", "neg_mae", "neg_rmse"], "metric", "value")
+    s = metrics.flipped(metrics.fold_summary(long, ["model", "side", "metric"]))
+    return s.select("model", "side", "metric", *[F.round(c, R6).alias(c) for c in ("mean", "std", "min", "max")], "n")
+
+
+@register("variation_ranking", f"""
+WITH {FOLD_SQL},
+b AS (SELECT variation, arg_min(model, (-mean, model)) AS model, max(mean) AS auc FROM fs WHERE metric = 'auc' GROUP BY variation)
+SELECT CAST(row_number() OVER (ORDER BY auc DESC, variation) AS INTEGER) AS rank, variation, model, round(auc, 6) AS auc,
+  (SELECT bool_and(auc < 0.6) FROM b) AS all_below_06 FROM b""")
+def q_variation_ranking(spark, sf):
+    """K8: the best model of each variation, ranked by score over all
+    variations, and whether all of them are below 0.6."""
+    s = fold_summary(spark, sf).where(F.col("metric") == "auc").select("variation", "model", "mean")
+    b = cut_lineage(metrics.best_per_group(s, "variation", "model", "mean"))
+    below = b.agg(F.bool_and(F.col("mean") < 0.6)).scalar()
+    r = metrics.top_k(b, [], [F.desc("mean"), F.asc("variation")], 2**31 - 1)
+    return r.select("rank", "variation", "model", F.round("mean", R6).alias("auc"), below.alias("all_below_06"))
+
+
+@register("predictions_side_by_side", f"""
+WITH {PRED_SQL}
+SELECT row_id, max(score) FILTER (WHERE model = 'length') AS length, max(score) FILTER (WHERE model = 'source') AS source FROM p GROUP BY row_id""")
+def q_side_by_side(spark, sf):
+    """The predictions of several models in one row per id, by key."""
+    from trialframe.operators.models import side_by_side
+
+    return side_by_side(predictions(spark, sf), ["length", "source"])
+
+
 @register("metric_grades", f"""
 WITH {FOLD_SQL}
 SELECT variation, model, metric, round(cume_dist() OVER (PARTITION BY variation, metric ORDER BY mean), 6) AS rank_share,

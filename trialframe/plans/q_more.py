@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trialframe.functions import names, scalar
 from trialframe.operators import clean, joins, metrics, ordered, series
-from trialframe.plans.q_series import F_SQL, ORDER, REC, chunk
+from trialframe.plans.q_series import F_SQL, ORDER, REC, chunk, chunked
 from trialframe.plans.q_wide import SCORES_SQL, session_scores
 from trialframe.plans.registry import register
 from trialframe.sources.tables import frames, table
@@ -141,6 +141,36 @@ def q_first_page(spark, sf):
                                          F.count(F.lit(1)).alias("n_pages"))
 
 
+# (type, kind, text): the earliest page with a number, a fixed name, the first that is listed
+PAGE_RULES = [("english", "earliest", "/en/"), ("seventeen", "listed", "/17"), ("feed", "listed", "utm_source=feed")]
+_PAGE_RULES_SQL = " UNION ALL ".join(
+    f"SELECT site, '{t}' AS type, arg_min(url, ({'number' if k == 'earliest' else '0'}, url)) AS url FROM p WHERE contains(url, '{x}') GROUP BY site" for t, k, x in PAGE_RULES)
+
+
+@register("first_page_by_type", f"""
+WITH p AS (SELECT regexp_extract(url, '[.]([a-z]+)/', 1) AS site, url, coalesce(TRY_CAST(regexp_extract(url, '/([0-9]+)', 1) AS BIGINT), 0) AS number FROM pages)
+{_PAGE_RULES_SQL}""")
+def q_first_by_type(spark, sf):
+    """K7: the first page of each site and type, each type by its own rule."""
+    p = table(spark, sf, "pages", "url").select(F.regexp_extract("url", "[.]([a-z]+)/", 1).alias("site"), "url")
+    at = F.coalesce(F.regexp_extract("url", "/([0-9]+)", 1).try_cast("long"), F.lit(0))
+    return clean.first_per_type(p, ["site"], "url", at, PAGE_RULES)
+
+
+@register("pending_recordings", """
+WITH c AS (SELECT page_id, regexp_replace(string_split(url, '?')[1], '.*/', '') || '.mp4' AS name FROM pages),
+done AS (SELECT DISTINCT name FROM c JOIN labels ON page_id = doc_id)
+SELECT page_id, name FROM c WHERE name NOT IN (SELECT name FROM done)""")
+def q_pending(spark, sf):
+    """Recordings without an output file named after them (labelled pages
+    stand for those that were analysed)."""
+    page = table(spark, sf, "pages", "page_id", "url")
+    c = page.select("page_id", F.concat(names.base_name(F.split_part("url", F.lit("?"), F.lit(1))), F.lit(".mp4")).alias("name"))
+    done = c.join(table(spark, sf, "labels", "doc_id"), F.col("page_id") == F.col("doc_id"))
+    outputs = done.select(F.concat(F.lit("out/"), names.strip_ext("name"), F.lit("_analysis_"), F.col("page_id").cast("string"), F.lit(".csv")).alias("path"))
+    return joins.without_output(c, "name", outputs, "path")
+
+
 @register("union_by_name", """
 WITH a AS (SELECT l_orderkey, l_quantity, NULL::DOUBLE AS l_tax FROM lineitem WHERE l_returnflag = 'R'),
 b AS (SELECT l_orderkey, NULL::DOUBLE AS l_quantity, l_tax FROM lineitem WHERE l_returnflag <> 'R'),
@@ -180,7 +210,7 @@ SELECT event_id, round(dev_norm, 6) AS dev_norm, CAST(coalesce(dev_norm > 0.5, f
 def q_blink_mask(spark, sf):
     """Trailing rolling(3) mean, absolute deviation, normalised by the
     recording's largest deviation, masked above 0.5."""
-    d = ordered.scan(frames(spark, sf), REC, ORDER, chunk(), pos="pos")
+    d = ordered.scan(chunked(frames(spark, sf)), REC, ORDER, chunk(), pos="pos")
     r = series.rolling(d, REC, "pos", -2, 0, {"r3": F.avg("value"), "c3": F.count("value")})
     r = r.withColumn("dev", F.when(F.col("c3") == 3, F.abs(F.col("value") - F.col("r3"))))
     mx = r.groupBy(*REC).agg(F.max("dev").alias("_mx"))

@@ -19,7 +19,14 @@ ORDER = ["ts", "event_id"]
 
 
 def chunk():
-    return ordered.time_chunk("ts")
+    """The chunk column of chunked frames."""
+    return F.col(ordered.CHUNK)
+
+
+def chunked(frames_):
+    """Frames with a chunk for ordered scans: a day of a recording, or a range
+    of a day that holds very many."""
+    return ordered.even_chunks(frames_, REC, "ts")
 
 
 F_SQL = """f AS (SELECT event_id, ts, user_id, event_type, props,
@@ -35,7 +42,7 @@ z AS (SELECT *, (value - avg(value) OVER ({W})) / nullif(stddev_pop(value) OVER
 
 
 def filled(spark, sf):
-    return series.fill_forward_backward(frames(spark, sf), REC, ORDER, chunk(), ["value"])
+    return series.fill_forward_backward(chunked(frames(spark, sf)), REC, ORDER, chunk(), ["value"])
 
 
 def zscored(spark, sf):
@@ -115,7 +122,7 @@ def q_velocity_summary(spark, sf):
     fr = frames(spark, sf, "props").withColumn("k", F.get_json_object("props", "$.k").cast("double"))
     fr = fr.withColumn("ratio", F.col("value") / (F.col("k") + 1))
     totals = fr.groupBy(*REC).agg(F.count(F.lit(1)).alias("total_frames"))
-    v = series.lag_velocity(fr, REC, ORDER, chunk(), "ts", ["value", "k", "ratio"],
+    v = series.lag_velocity(chunked(fr), REC, ORDER, chunk(), "ts", ["value", "k", "ratio"],
                             valid=F.col("value").isNotNull())
     v = v.withColumns({"total": series.euclid("value_velocity", "k_velocity", "ratio_velocity"),
                        "size": F.col("k") / 100})
@@ -222,7 +229,7 @@ WHERE dt IS NOT NULL GROUP BY 1""")
 def q_interval_histogram(spark, sf):
     """Distribution of frame intervals (hour buckets)."""
     ev = table(spark, sf, "events", "event_id", "ts", "user_id", "event_type")
-    d = series.intervals(ev, REC, ORDER, chunk(), "ts")
+    d = series.intervals(chunked(ev), REC, ORDER, chunk(), "ts")
     return d.where(F.col("dt_s").isNotNull()).groupBy(
         F.floor(F.col("dt_s") / 3600).cast("long").alias("dt_hours")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -375,7 +382,7 @@ def q_dot_error(spark, sf):
     cu = table(spark, sf, "customer", "c_custkey", "c_acctbal", "c_nationkey")
     fr = fr.join(cu, fr.user_id == cu.c_custkey).withColumns({
         "true_x": F.col("c_acctbal") / 10, "true_y": (F.col("c_nationkey") * 4).cast("double")})
-    g = series.target_error(fr, REC, ORDER, chunk(), ["value", "k"], ["true_x", "true_y"], skip=5,
+    g = series.target_error(chunked(fr), REC, ORDER, chunk(), ["value", "k"], ["true_x", "true_y"], skip=5,
                             thresholds=(50.0, 100.0))
     dbl = ["value_mean", "value_std", "k_mean", "k_std", "value_error", "k_error"]
     return g.select(*REC, *[F.round(c, R6).alias(c) for c in dbl], F.col("multi_true").cast("int").alias("multi_true"),
@@ -416,4 +423,4 @@ SELECT event_id FROM p JOIN s USING (event_type) WHERE pos < short""")
 def q_truncate(spark, sf):
     """Cut every recording to the shortest recording of its task."""
     ev = table(spark, sf, "events", "event_id", "ts", "user_id", "event_type")
-    return series.truncate(ev, REC, ORDER, chunk(), by=["event_type"]).select("event_id")
+    return series.truncate(chunked(ev), REC, ORDER, chunk(), by=["event_type"]).select("event_id")
