@@ -204,7 +204,7 @@ def q_detrend(spark, sf):
 
 def _residual(y: str, *on: str) -> str:
     """y less its regression on a column that has mean 0 in the recording."""
-    return f"{y} - " + " - ".join(f"coalesce(regr_slope({y}, {c}) OVER ({W}), 0) * {c}" for c in on)
+    return f"{y} - " + " - ".join(f"coalesce(nullif(regr_slope({y}, {c}) OVER ({W}), CAST('nan' AS DOUBLE)), 0) * {c}" for c in on)
 
 
 @register("detrend_cubic", f"""
