@@ -112,6 +112,7 @@ def run_state_analyser(frames: DataFrame, rec: Sequence[str], a: StateAnalyser)
     return states.groupBy(*rec).applyInPandas(merged, f"{keys}, {a.schema}")
 
 
+# fixed values: output names and thresholds of the built-in analyses
 @analyser("detection")
 def _detection() -> list[Column]:
     return [F.count(F.lit(1)).alias("total_frames"),

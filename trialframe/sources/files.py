@@ -98,6 +98,7 @@ def stats_struct(fields: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(f, STATS) for f in fields])
 
 
+# fixed values: the fields of the statistics documents
 RECORDING_STATS_SCHEMA = T.StructType([
     T.StructField("metadata", T.StructType([
         T.StructField("video_path", T.StringType()), T.StructField("analysis_timestamp", T.StringType()),
@@ -114,6 +115,7 @@ RECORDING_STATS_SCHEMA = T.StructType([
     ]))])),
 ])
 
+# fixed values: their groups
 STAT_FIELDS = [("orientation_stats", f) for f in ("roll", "pitch", "yaw")] + \
               [("position_stats", f) for f in ("x", "y", "z_depth")] + \
               [("velocity_stats", f) for f in ("roll", "pitch", "yaw", "total")]
