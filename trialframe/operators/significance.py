@@ -57,23 +57,29 @@ def _stirling_error(n: Column) -> Column:
     return F.when(n <= 15, small).otherwise(large)
 
 
+def _let(value: Column, then) -> Column:
+    """then(value), with value written and computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _deviance(x: Column, m: Column) -> Column:
     """x ln(x / m) + m - x, without cancellation where x is near m."""
-    v = (x - m) / (x + m)
-    tail = F.lit(0.0)
-    for j in range(12, 0, -1):
-        tail = v * v * (1 / (2 * j + 1) + tail)
-    near = (x - m) * v + 2 * x * v * tail
-    return F.when(F.abs(x - m) < 0.1 * (x + m), near).otherwise(x * F.log(x / m) + m - x)
+    terms = F.sequence(F.lit(12), F.lit(1), F.lit(-1))
+    near = lambda v: v * (x - m + 2 * x * F.aggregate(terms, F.lit(0.0), lambda a, j: v * v * (1.0 / (2 * j + 1) + a)))
+    return F.when(F.abs(x - m) < 0.1 * (x + m), _let((x - m) / (x + m), near)).otherwise(x * F.log(x / m) + m - x)
 
 
 def binom_pmf(k: Column, n: Column, p: Column) -> Column:
     """P(X = k), X ~ Binomial(n, p), 0 < p < 1, 0 <= k <= n."""
-    k, n, q = k.cast("double"), n.cast("double"), 1.0 - p
-    rest = n - k
-    exponent = _stirling_error(n) - _stirling_error(k) - _stirling_error(rest) - _deviance(k, n * p) - _deviance(rest, n * q)
-    inside = F.exp(exponent) * F.sqrt(n / (2 * pi * k * rest))
-    return F.when(k == 0, F.exp(n * F.log1p(-p))).when(rest == 0, F.exp(n * F.log(p))).otherwise(inside)
+
+    def of(s):
+        k, n, p = s["k"], s["n"], s["p"]
+        rest = n - k
+        exponent = _stirling_error(n) - _stirling_error(k) - _stirling_error(rest) - _deviance(k, n * p) - _deviance(rest, n * (1.0 - p))
+        inside = F.exp(exponent) * F.sqrt(n / (2 * pi * k * rest))
+        return F.when(k == 0, F.exp(n * F.log1p(-p))).when(rest == 0, F.exp(n * F.log(p))).otherwise(inside)
+
+    return _let(F.struct(k.cast("double").alias("k"), n.cast("double").alias("n"), p.cast("double").alias("p")), of)
 
 
 def _ratio_sum(length: Column, ratio) -> Column:
@@ -93,32 +99,43 @@ def _reach(sd: Column) -> Column:
 
 def binom_sf(k: Column, n: Column, p: Column) -> Column:
     """P(X >= k), X ~ Binomial(n, p), one-sided 'greater' test."""
-    k, n, p = k.cast("long"), n.cast("long"), p.cast("double")
-    reach = _reach(F.sqrt(n * p * (1 - p)))
-    up = binom_pmf(k, n, p) * _ratio_sum(F.least(n - k + 1, reach), lambda j: (n - k - j) * p / ((k + j + 1) * (1 - p)))
-    top = k - 1  # of the other tail
-    down = binom_pmf(top, n, p) * _ratio_sum(F.least(top + 1, reach), lambda j: (top - j) * (1 - p) / ((n - top + j + 1) * p))
-    tail = F.when(k > n * p, up).otherwise(1 - down)
+
+    def of(s):
+        k, n, p = s["k"], s["n"], s["p"]
+        reach = _reach(F.sqrt(n * p * (1 - p)))
+        # the tail beyond the mean, upwards from k or downwards from k - 1
+        above = k > n * p
+        x = F.when(above, k).otherwise(k - 1)
+        up = lambda j: (n - x - j) * p / ((x + j + 1) * (1 - p))
+        down = lambda j: (x - j) * (1 - p) / ((n - x + j + 1) * p)
+        total = _ratio_sum(F.least(F.when(above, n - x).otherwise(x) + 1, reach), lambda j: F.when(above, up(j)).otherwise(down(j)))
+        tail = binom_pmf(x, n, p) * total
+        return _let(tail, lambda t: F.when(above, t).otherwise(1 - t))
+
+    tail = _let(F.struct(k.cast("long").alias("k"), n.cast("long").alias("n"), p.cast("double").alias("p")), of)
     return (F.when(k <= 0, F.lit(1.0)).when(k > n, F.lit(0.0))
             .when(p <= 0, F.lit(0.0)).when(p >= 1, F.lit(1.0)).otherwise(F.greatest(F.least(tail, F.lit(1.0)), F.lit(0.0))))
 
 
 def hypergeom_sf(x0: Column, pop: Column, succ: Column, draws: Column) -> Column:
     """P(X >= x0), X ~ Hypergeometric(population, successes, draws)."""
-    x0, pop, succ, draws = (c.cast("long") for c in (x0, pop, succ, draws))
-    fail = pop - succ
-    lo, hi = F.greatest(F.lit(0).cast("long"), draws - fail), F.least(succ, draws)
-    p = draws / pop.cast("double")
-    mean = draws * succ / pop.cast("double")
-    reach = _reach(F.sqrt(mean * (1 - p)))
-
-    def pmf(x):
-        return binom_pmf(x, succ, p) * binom_pmf(draws - x, fail, p) / binom_pmf(draws, pop, p)
-
-    up = pmf(x0) * _ratio_sum(F.least(hi - x0 + 1, reach), lambda j: (succ - x0 - j) * (draws - x0 - j) / ((x0 + j + 1.0) * (fail - draws + x0 + j + 1)))
-    top = x0 - 1
-    down = pmf(top) * _ratio_sum(F.least(top - lo + 1, reach), lambda j: (top - j) * (fail - draws + top - j) / ((succ - top + j + 1.0) * (draws - top + j + 1)))
-    tail = F.when(x0 > mean, up).otherwise(1 - down)
+    given = {"x0": x0, "pop": pop, "succ": succ, "draws": draws}
+
+    def of(s):
+        x0, pop, succ, draws = (s[c] for c in given)
+        fail = pop - succ
+        p = draws / pop.cast("double")
+        above = x0 > succ * p
+        x = F.when(above, x0).otherwise(x0 - 1)
+        up = lambda j: (succ - x - j) * (draws - x - j) / ((x + j + 1.0) * (fail - draws + x + j + 1))
+        down = lambda j: (x - j) * (fail - draws + x - j) / ((succ - x + j + 1.0) * (draws - x + j + 1))
+        last = F.when(above, F.least(succ, draws) - x).otherwise(x - F.greatest(F.lit(0).cast("long"), draws - fail))
+        total = _ratio_sum(F.least(last + 1, _reach(F.sqrt(succ * p * (1 - p)))), lambda j: F.when(above, up(j)).otherwise(down(j)))
+        pmf = binom_pmf(x, succ, p) * binom_pmf(draws - x, fail, p) / binom_pmf(draws, pop, p)
+        return _let(pmf * total, lambda t: F.when(above, t).otherwise(1 - t))
+
+    tail = _let(F.struct(*[c.cast("long").alias(n) for n, c in given.items()]), of)
+    lo, hi = F.greatest(F.lit(0), draws - (pop - succ)), F.least(succ, draws)
     return F.when(x0 <= lo, F.lit(1.0)).when(x0 > hi, F.lit(0.0)).otherwise(F.greatest(F.least(tail, F.lit(1.0)), F.lit(0.0)))
 
 

@@ -330,7 +330,17 @@ def test_rows(spark, sf):
     return cut_lineage(p.join(t.select("row_id"), "row_id"))
 
 
-def sig_table(spark, sf, rows=None):
+# the tests of a model's counts, each built only where it is asked for
+TESTS = {
+    "p_binom_majority": lambda n, share: significance.binom_sf(F.col("n_correct"), n, share),
+    "p_binom_chance": lambda n, share: significance.binom_sf(F.col("n_correct"), n, F.lit(0.5)),
+    "p_perm": lambda n, share: significance.permutation_p(n, F.col("n_correct"), F.col("pos_true"), F.col("pos_pred")),
+    "p_mcnemar": lambda n, share: significance.mcnemar_p(F.col("b"), F.col("c")),
+    "p_mcnemar_positive": lambda n, share: significance.mcnemar_p(F.col("b_positive"), F.col("c_positive")),
+}
+
+
+def sig_table(spark, sf, tests=(), rows=None):
     t = (test_rows(spark, sf) if rows is None else rows).withColumn("pred", (F.col("score") >= 0.5).cast("double"))
     # majority class of the test labels as a scalar subquery (no driver round trip)
     maj = summary.mode_smallest(t.select("row_id", "y_true").distinct(), "y_true").select("mode").scalar()
@@ -352,11 +362,7 @@ def sig_table(spark, sf, rows=None):
         "accuracy": F.col("n_correct") / n,
         "majority_acc": maj_share,
         "random_acc": maj_share * maj_share + (1 - maj_share) * (1 - maj_share),
-        "p_binom_majority": significance.binom_sf(F.col("n_correct"), n, maj_share),
-        "p_binom_chance": significance.binom_sf(F.col("n_correct"), n, F.lit(0.5)),
-        "p_perm": significance.permutation_p(n, F.col("n_correct"), F.col("pos_true"), F.col("pos_pred")),
-        "p_mcnemar": significance.mcnemar_p(F.col("b"), F.col("c")),
-        "p_mcnemar_positive": significance.mcnemar_p(F.col("b_positive"), F.col("c_positive")),
+        **{t: TESTS[t](n, maj_share) for t in tests},
     })
 
 
@@ -421,7 +427,7 @@ def q_binomial_mcnemar(spark, sf):
     """E24 E26 X22 on the held-out rows: one-sided binomial tests against
     the majority share and 0.5, McNemar against the majority classifier and
     against the one that calls every row positive."""
-    s = sig_table(spark, sf)
+    s = sig_table(spark, sf, ["p_binom_majority", "p_binom_chance", "p_mcnemar", "p_mcnemar_positive"])
     return s.select("model", "n", "n_correct", F.round("accuracy", R6).alias("accuracy"),
                     F.round("majority_acc", R6).alias("majority_acc"),
                     F.round("p_binom_majority", R6).alias("p_binom_majority"),
@@ -435,7 +441,7 @@ def q_binomial_mcnemar(spark, sf):
 WITH {SIG_SQL} SELECT model, n_correct, pos_true, pos_pred, round(p_perm, 6) AS p_perm FROM s""")
 def q_permutation_p(spark, sf):
     """E25, exact permutation p-value (hypergeometric tail)."""
-    s = sig_table(spark, sf)
+    s = sig_table(spark, sf, ["p_perm"])
     return s.select("model", "n_correct", "pos_true", "pos_pred", F.round("p_perm", R6).alias("p_perm"))
 
 
@@ -461,7 +467,7 @@ SELECT count(*) FILTER (WHERE p_binom_majority < 0.05) AS n_significant, count(*
        WHEN max(auc) < 0.7 THEN 'significant, small effect' ELSE 'significant, reasonable effect' END AS verdict FROM j""")
 def q_significance_report(spark, sf):
     """Significant-model count, best model by test AUC, verdict tier."""
-    j = assessed(spark, sf)
+    j = assessed(spark, sf, ["p_binom_majority"])
     n_sig = F.count_if(F.col("p_binom_majority") < 0.05)
     best = F.max("auc")
     return j.agg(
@@ -472,10 +478,10 @@ def q_significance_report(spark, sf):
         .otherwise("significant, reasonable effect").alias("verdict"))
 
 
-def assessed(spark, sf):
-    """The tests of each model and its AUC, from one table of held-out rows."""
+def assessed(spark, sf, tests):
+    """The given tests of each model and its AUC, from one table of held-out rows."""
     rows = test_rows(spark, sf)
-    return sig_table(spark, sf, rows).join(metrics.roc_auc(rows, "model"), "model")
+    return sig_table(spark, sf, tests, rows).join(metrics.roc_auc(rows, "model"), "model")
 
 
 @register("model_assessment", f"""
@@ -488,5 +494,5 @@ def q_model_assessment(spark, sf):
     """Is a model significantly better than the majority class, does
     its AUC show discrimination, and how far is it from all-positive."""
     beats = (F.col("accuracy") > F.col("majority_acc")) & (F.col("p_binom_majority") < 0.05)
-    return assessed(spark, sf).select("model", F.round("auc", R6).alias("auc"), beats.alias("beats_majority"),
+    return assessed(spark, sf, ["p_binom_majority", "p_mcnemar_positive"]).select("model", F.round("auc", R6).alias("auc"), beats.alias("beats_majority"),
                                       (F.col("auc") > 0.6).alias("discriminates"), significance.stars(F.col("p_mcnemar_positive")).alias("mcnemar_stars"))
