@@ -2,11 +2,12 @@
 
 1. A character language model (byte trigrams of lower-cased words) is counted
    over every document.
-2. Tokens that look obfuscated (digits or signs inside words, a letter three
-   times running, single letters spaced or dotted apart) become lattices: each
-   character may stand for itself or for what it imitates, runs may collapse,
-   separators may vanish. Viterbi decoding under the language model picks the
-   word.
+2. Tokens that look obfuscated (digits or signs inside or at the end of words,
+   a letter three times running, single letters or what imitates them spaced or
+   dotted apart) become lattices: each character may stand for itself or for
+   what it imitates, runs may collapse, separators may vanish, spaces may stay
+   between words. Viterbi decoding under the language model picks the words.
+   Tokens over PIECE characters are decoded piece by piece.
 3. A lexicon is learned from labelled documents by sequential covering: of all
    restored words and word beginnings that are precise enough, take the one
    that explains most toxic documents not yet explained, until few are left;
@@ -43,7 +44,8 @@ IMITATES = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t",
 }
 SEPARATING = ".-_*'"
-SUBSTITUTE, COLLAPSE, SKIP, KEEP_SIGN = -1.0, -0.3, -0.3, -6.0
+SUBSTITUTE, COLLAPSE, SKIP, KEEP_SIGN, KEEP_SPACE = -1.0, -0.3, -0.3, -6.0, -2.0
+PIECE = 256
 MAX_LABELLED = 10_000
 BASE = 0.02
 BROAD_LEAST, BROAD_SHARE = 8, 0.05
@@ -58,9 +60,9 @@ def _table(chars: str) -> np.ndarray:
 
 
 _LETTER = _table("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") | (np.arange(256) >= 0x80)
-_DIGIT = _table("0123456789")
 _LEET = _table("".join(IMITATES))
 _SEP = _table(SEPARATING)
+_STOP = _table(".,;:!?")
 # byte classes of the language model: 0 no letter, a-z, then bytes of letters beyond ASCII
 _CLASS = np.zeros(256, dtype=np.int64)
 _CLASS[97:123] = np.arange(1, 27)
@@ -95,7 +97,9 @@ def language_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 
 def decode(token: str, lm: np.ndarray) -> str:
-    """The likeliest plain word of an obfuscated token."""
+    """The likeliest plain words of an obfuscated token."""
+    if len(token) > PIECE:
+        return "".join(decode(token[k : k + PIECE], lm) for k in range(0, len(token), PIECE))
     text = token.lower()
     # state: last two classes -> (log probability, letters so far, last letter)
     states = {(0, 0): (0.0, "", "")}
@@ -103,7 +107,7 @@ def decode(token: str, lm: np.ndarray) -> str:
         letter = ch.isalpha()
         options = [(ch, 0.0)] if letter else [(x, SUBSTITUTE) for x in IMITATES.get(ch, "")]
         if not letter:
-            options.append((ch, KEEP_SIGN))
+            options.append((ch, KEEP_SPACE if ch == " " else KEEP_SIGN))
         run = i > 0 and text[i - 1] == ch
         new: dict = {}
         for (a, b), (score, out, last) in states.items():
@@ -128,31 +132,46 @@ def suspects(w: Words) -> list[tuple[int, str]]:
     data, n = w.data, len(w.data)
     if n < 3 or not len(w):
         return []
-    letter, digit = _LETTER[data], _DIGIT[data]
+    letter, leet = _LETTER[data], _LEET[data]
     follows = np.r_[letter[1:], False]
     after = np.r_[False, letter[:-1]]
-    odd = _LEET[data] & (follows | (digit & after))
+    odd = leet & (follows | (after & (data != ord("!"))))
     low = data | 0x20
     odd[1:-1] |= (low[1:-1] == low[:-2]) & (low[1:-1] == low[2:]) & letter[1:-1] & (data[1:-1] < 0x80)
-    dotted = _SEP[data] & follows & after
+    either = letter | leet
+    dotted = _SEP[data] & np.r_[either[1:], False] & np.r_[False, either[:-1]]
     count = lambda flags: np.add.reduceat(np.r_[flags, False].astype(np.int64), np.column_stack([w.starts, w.ends]).ravel())[::2]
-    letters, odds, dots = count(letter & (data < 0x80)), count(odd), count(dotted)
-    found = np.flatnonzero((odds > 0) & (letters >= 2) | (dots >= 2) & (dots >= letters - 1))
+    letters, odds, dots, leets = count(letter & (data < 0x80)), count(odd), count(dotted), count(leet)
+    found = np.flatnonzero((odds > 0) & ((letters >= 2) | (letters == 1) & (leets >= 2)) | (dots >= 2) & (dots >= letters - 1) & (letters >= 2))
     doc = np.searchsorted(w.doc, found, side="right") - 1
     raw = data.tobytes()
     out = [(int(d), raw[w.starts[k] : w.ends[k]].decode("utf-8", "replace")) for d, k in zip(doc, found)]
-    # single ASCII letters spaced apart, three or more in one text
-    single = (w.ends - w.starts == 1) & letter[w.starts] & (data[w.starts] < 0x80)
+    # single ASCII letters, or what imitates them, spaced apart: three or more in one text, two letters
+    # among them; the last may carry a mark of punctuation
+    size = w.ends - w.starts
+    plain = letter[w.starts] & (data[w.starts] < 0x80)
+    one = plain | leet[w.starts]
+    single = (size == 1) & one
+    last = (size == 2) & one & _STOP[data[np.minimum(w.starts + 1, n - 1)]]
     owner = w.doc_of_word()
+    seen = np.r_[0, np.cumsum(plain & (single | last))]
     edge = np.flatnonzero(np.diff(np.r_[0, np.where(single, owner + 1, 0)]))
     edge = np.r_[edge, len(single)]
     for a, b in zip(edge[:-1], edge[1:]):
-        if single[a] and b - a >= 3:
-            out.append((int(owner[a]), raw[w.starts[a] : w.ends[b - 1]].decode("utf-8", "replace")))
+        if single[a]:
+            b += int(b < len(single) and last[b] and owner[b] == owner[a])
+            if b - a >= 3 and seen[b] - seen[a] >= 2:
+                out.append((int(owner[a]), raw[w.starts[a] : w.ends[b - 1]].decode("utf-8", "replace")))
     return out
 
 
-_EDGE = re.compile(r"^[^\w@$!|+]+|[^\w]+$")
+_HEAD, _TAIL = re.compile(r"[^\w@$!|+]*"), re.compile(r"(?:[^\w@$|+]|_)*")
+
+
+def bare_word(token: str) -> str:
+    """Without the punctuation around it; signs that may be letters stay."""
+    token = token[_HEAD.match(token).end() :]
+    return token[: len(token) - _TAIL.match(token[::-1]).end()]
 
 
 def _word_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,7 +197,7 @@ def document_features(texts: pa.Array, lm: np.ndarray):
         owner, feats = _word_features(data, offsets)
         pairs = []
         for doc, token in suspects(Words(data, offsets)):
-            bare = _EDGE.sub("", token)
+            bare = bare_word(token)
             plain = known(bare)
             if plain != bare.lower():
                 pairs.append((doc, bare, plain))
