@@ -16,7 +16,12 @@ meet by shuffle instead:
    and ``BYTES`` bytes of each window's hash. Equal windows of a part
    (PART_BYTES of text) are settled there; only the earliest goes on, so a
    passage that is in a third of all documents costs one row for each part.
-2. Rows of a minimizer meet in a task, which finds the earliest place of each
+   Where a phrase is in very many documents with differing neighbours, one gram
+   is the minimizer of all those windows. Minimizers with over ``heavy`` rows
+   are found first, from the parts' own counts; a window of theirs travels alone
+   and meets its equals under its full hash instead, so such a group is spread
+   over all tasks.
+2. Rows of a minimizer, or of a window, meet in a task, which finds the earliest place of each
    window and emits the runs of later ones.
 3. Runs are joined with their document, whose uncovered words are kept.
 
@@ -36,12 +41,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trialframe.llm.helpers import checkpointed
 from trialframe.llm.kernels import Words, gram_hashes, mix64, slices, text_buffers
 
 GRAM = 6
 BYTES = 5
 FLUSH_ROWS = 100_000
 PART_BYTES = 8 << 20
+# rows of a minimizer from which its windows travel alone; parts report counts under LOCAL by chance, as
+# LOCAL; the threshold rises so that no more than MOST_HEAVY minimizers (8 bytes each) are broadcast
+HEAVY_ROWS, LOCAL, MOST_HEAVY = 20_000, 32, 1_000_000
 _RUN = "m long, doc_id long, start int, n int, windows binary"
 _HIT = "doc_id long, s int, e int"
 
@@ -103,7 +112,47 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = to
 
 
-def _emit(span: int):
+def _bounds(text: np.ndarray, late: np.ndarray, m: np.ndarray, alone: np.ndarray) -> np.ndarray:
+    """Starts of the rows that a part's windows travel in, and the end."""
+    change = np.ones(len(text), dtype=bool)
+    change[1:] = (text[1:] != text[:-1]) | (late[1:] != late[:-1]) | (~late[1:] & ((m[1:] != m[:-1]) | alone[1:]))
+    return _runs(change)
+
+
+def _count(span: int):
+    """Rows of each minimizer in a part; n under LOCAL are reported as LOCAL with
+    probability n / LOCAL (by hash), so that sums stay unbiased and few are
+    sent. The null minimizer carries the sum. Any estimate gives the same
+    result: it only decides which windows travel alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for known in _parts(batches):
+            text, start, m, full = windows(known.column(1), span)
+            if not len(text):
+                continue
+            ids = known.column(0).to_numpy()
+            late = later_places(full, ids[text], start)
+            first = _bounds(text, late, m, np.zeros(len(m), dtype=bool))[:-1]
+            key, n = np.unique(m[first[~late[first]]], return_counts=True)
+            coin = (mix64(key ^ mix64(ids[:1].astype(np.uint64))) % np.uint64(LOCAL)).astype(np.int64)
+            n = np.where(n >= LOCAL, n, np.where(coin < n, LOCAL, 0))
+            names = pa.array([*key[n > 0].view(np.int64).tolist(), None], pa.int64())
+            yield pa.RecordBatch.from_arrays([names, pa.array([*n[n > 0].tolist(), int(n.sum())], pa.int64())], names=["m", "n"])
+
+    return run
+
+
+def heavy_minimizers(d: DataFrame, span: int, heavy: int) -> np.ndarray:
+    """Sorted; MOST_HEAVY at most, as each has over 1/MOST_HEAVY of all rows."""
+    counts = d.mapInArrow(_count(span), "m long, n long").groupBy("m").agg(F.sum("n").alias("n"))
+    counts = checkpointed(counts.where(F.col("m").isNull() | (F.col("n") > heavy)))
+    every = counts.where("m is null").select("n").first()
+    least = max(heavy, every["n"] // MOST_HEAVY) if every else heavy
+    got = counts.where(F.col("m").isNotNull() & (F.col("n") > least)).select("m").toArrow()
+    return np.sort(got["m"].to_numpy().view(np.uint64))
+
+
+def _emit(span: int, heavy: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for known in _parts(batches):
             ids = known.column(0).to_numpy()
@@ -113,9 +162,11 @@ def _emit(span: int):
             doc = ids[text]
             late = later_places(full, doc, start)
             n = len(text)
-            new = np.ones(n, dtype=bool)
-            new[1:] = (text[1:] != text[:-1]) | (late[1:] != late[:-1]) | (~late[1:] & (m[1:] != m[:-1]))
-            at = _runs(new)
+            alone = np.zeros(n, dtype=bool)
+            if len(heavy):
+                alone = heavy[np.minimum(np.searchsorted(heavy, m), len(heavy) - 1)] == m
+                m = np.where(alone, mix64(full), m)
+            at = _bounds(text, late, m, alone)
             first, size = at[:-1], np.diff(at)
             gone = late[first]
             # a settled run carries no hashes and goes to a task of its own number
@@ -214,10 +265,12 @@ def strip(found: DataFrame, span: int) -> DataFrame:
     return found.select("doc_id", "_text", "runs").mapInArrow(_strip(span), schema)
 
 
-def remove(docs: DataFrame, span: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove(
+    docs: DataFrame, span: int = 20, id_col: str = "doc_id", text_col: str = "text", heavy: int = HEAVY_ROWS
+) -> DataFrame:
     """docs -> (id, n_words, n_removed, kept_text, kept_sha256), a row for each."""
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
-    runs = d.mapInArrow(_emit(span), _RUN)
+    runs = d.mapInArrow(_emit(span, heavy_minimizers(d, span, heavy)), _RUN)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = runs.repartition(parts, "m").sortWithinPartitions("m")
     hits = met.mapInArrow(_meet, _HIT).groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("runs"))
