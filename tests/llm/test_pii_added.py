@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from trialframe.llm import pii
+from trialframe.llm.boosting import Block, Boosted, over
 
 WORDS = "the a of report sent us today order number room please write and we meet on monday about it page part line".split()
 
@@ -93,3 +95,27 @@ def test_no_base_spans_add_nothing(spark):
     rows = [(k, f"write to a{k} (at) b (dot) org") for k in range(90)]
     got = pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["spans"] for r in got} == {""}
+
+
+def test_all_documents_are_learnt_from(spark):
+    """Few addresses among many plain texts: a sample would hold too few of them."""
+    rng = random.Random(7)
+    rows = [(k, " ".join(rng.choices(WORDS, k=8)) + f" {made(rng, 'email')} " + " ".join(rng.choices(WORDS, k=8))) for k in range(150)]
+    rows += [(None, f"write to {pii.rewritten('email', made(rng, 'email'), 0, False)[0]} and we meet") for _ in range(10)]
+    plain = spark.range(1000, 61_000).selectExpr("id AS doc_id", "'the report of 7 rooms' AS text")
+    docs = plain.unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = pii.find(docs).where("doc_id IS NULL").collect()
+    assert sum(r["spans"].startswith("email:9:") for r in got) >= 9
+
+
+def test_trees_do_not_depend_on_the_blocks(spark):
+    """The fit over an RDD of blocks is the fit of all rows at once."""
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 40, (3000, 5)).astype(float)
+    y, held = ((x[:, 0] > 20) ^ (x[:, 1] * 3 > x[:, 2]) ^ (rng.random(3000) < 0.1)).astype(float), np.arange(3000) % 3 == 0
+    whole = Boosted(trees=4).fit(x, y, held)
+    b = whole.binned(x)
+    blocks = [Block(b[k::7], y[k::7], held[k::7], np.ones(len(y[k::7]), dtype=np.int64)) for k in range(7)]
+    dealt = Boosted(trees=4).fit_blocks(whole.edges, over(spark.sparkContext.parallelize(blocks, 3)))
+    assert (whole.features == dealt.features).all() and (whole.cuts == dealt.cuts).all() and (whole.values == dealt.values).all()
+    assert whole.slope == pytest.approx(dealt.slope) and whole.shift == pytest.approx(dealt.shift)

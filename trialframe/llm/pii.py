@@ -7,7 +7,7 @@ threshold of their kind are added where they overlap no span already taken,
 best first.
 
 The trees learn what the base rules cannot say, from the base spans themselves.
-Each span of the sample is rewritten with what the rule goes by hidden: @ and .
+Each span is rewritten with what the rule goes by hidden: @ and .
 spelled out, the + or the country digits dropped, separators changed, a card
 number written twice. A candidate on the rewritten place is positive; parts of
 it, other kinds on it, and decoys (no dot in the domain, a part over 255, a
@@ -19,12 +19,15 @@ the threshold is the lowest calibrated probability from which at least
 ``precision`` of LEAST_HELD or more held-out candidates are positive, 0.5 at
 least.
 
-The fit takes at most ``max_fit_documents`` documents with candidates (by hash
-of the id, about); all documents are searched whole.
+The trees and thresholds come from the candidates of all documents with an id:
+equal examples are counted, and each level of a tree is one pass over them in
+which only sums per node, feature and bin leave the tasks. Every third document
+with candidates, by id, is held out for calibration and thresholds. All documents
+are searched whole.
 
 Edge cases: null and empty texts have no spans; repeated rows get equal spans;
-null ids are searched and never fitted on; a kind without enough base spans in
-the sample (LEAST_HELD held out) has nothing added; an empty table returns no
+null ids are searched and never fitted on; a kind without enough base spans
+(LEAST_HELD held out) has nothing added; an empty table returns no
 rows.
 """
 
@@ -37,10 +40,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, BooleanType, IntegerType, StructField, StructType
 
-from trialframe.llm.boosting import Boosted
+from trialframe.llm.boosting import Block, Boosted, over
+from trialframe.llm.helpers import checkpointed
 from trialframe.llm.kernels import slices
 
 KINDS = ("email", "ip", "card", "phone")
@@ -69,10 +75,13 @@ SPELLED = ((" (at) ", " (dot) "), ("(at)", "(dot)"), ("[at]", "[dot]"), (" [at]
 _ALONE = re.compile(r"(?<![0-9])[0-9]{13,19}(?![0-9])")
 _SENTENCE = re.compile(r"\. ")
 KEYWORDS = re.compile(r"mail|phone|call|tel|fax|card|visa|pay|ip|host|server|contact|@", re.I)
-MAX_FIT_DOCUMENTS = 20_000
 LEAST_HELD = 20
+BLOCK_ROWS = 4096
+PART_ROWS = 50_000
+# probabilities are counted, for medians and thresholds, in steps of 1 / STEPS
+STEPS = 1 << 16
 CONTEXT = 40
-# what a candidate of the sample is
+# what a candidate to learn from is
 NEGATIVE, POSITIVE, UNLABELLED = 0, 1, 2
 _MARKED = np.zeros(256, dtype=bool)
 _MARKED[[*range(0x30, 0x3A), ord("@")]] = True
@@ -238,40 +247,131 @@ def examples(text: str) -> Iterator[tuple[int, int, list[float]]]:
                     yield k, NEGATIVE, candidate_features(near, k, a, b)
 
 
-def _sampled(texts: pa.Array) -> pa.Array:
-    """Examples of each text, flattened."""
-    out: list[list[float]] = [[] for _ in range(len(texts))]
+def _gives_examples(texts: pa.Array) -> pa.Array:
+    out = np.zeros(len(texts), dtype=bool)
     for row, text in _marked_texts(texts):
-        for k, what, features in examples(text):
-            out[row] += [float(k), float(what), *features]
-    return pa.array(out, pa.list_(pa.float64()))
+        out[row] = next(examples(text), None) is not None
+    return pa.array(out)
 
 
-def train(docs: DataFrame, precision: float, max_fit_documents: int, id_col: str, text_col: str) -> tuple[Boosted, list[float]]:
+def _learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text) to the examples of the texts: id, kind, what, features as bytes."""
+    for batch in batches:
+        out: list[tuple] = []
+
+        def made() -> pa.RecordBatch:
+            rows, *cols = ([r[k] for r in out] for k in range(4))
+            ids = batch.column("_id").take(pa.array(rows, pa.int64()))
+            return pa.RecordBatch.from_arrays([ids, *map(pa.array, cols, (pa.int32(), pa.int32(), pa.binary()))], ["_id", "kind", "what", "x"])
+
+        for row, text in _marked_texts(batch.column("_text")):
+            for k, what, features in examples(text):
+                out.append((row, k, what, _packed([features])))
+                if len(out) >= BLOCK_ROWS:
+                    yield made()
+                    out.clear()
+        if out:
+            yield made()
+
+
+def _packed(features: list[list[float]]) -> bytes:
+    return np.array(features, dtype="<f4").tobytes()
+
+
+def _unpacked(x: pa.Array, width: int = WIDTH, kind: str = "<f4") -> np.ndarray:
+    """The rows of a column of equally long bytes."""
+    return np.frombuffer(b"".join(x.to_pylist()), dtype=kind).reshape(-1, width)
+
+
+def _edges(rows: DataFrame, probs: np.ndarray) -> list[np.ndarray]:
+    """The exact quantiles of each feature, interpolated. A feature is a count or
+    a share of 24: to the driver go its distinct values, as many as there are
+    lengths at most."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, n = _unpacked(batch.column("x")), np.asarray(batch.column("n"))
+            for k in range(WIDTH):
+                v, which = np.unique(x[:, k], return_inverse=True)
+                each = np.bincount(which, weights=n, minlength=len(v)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), k)), pa.array(v.astype(float)), pa.array(each)], ["k", "v", "n"])
+
+    counts = rows.select("x", "n").mapInArrow(count, "k long, v double, n long").groupBy("k", "v").agg(F.sum("n").alias("n")).toPandas()
+    out = []
+    for k in range(WIDTH):
+        mine = counts[counts["k"] == k].sort_values("v")
+        v, to = mine["v"].to_numpy(), mine["n"].to_numpy().cumsum()
+        place = probs * (to[-1] - 1)
+        low, high = (v[np.searchsorted(to, f(place), side="right")] for f in (np.floor, np.ceil))
+        out.append(np.unique(low + (place - np.floor(place)) * (high - low)))
+    return out
+
+
+def _of_blocks(edges: list[np.ndarray], blocks: list[Block]) -> Boosted:
+    return Boosted().fit_blocks(edges, lambda f: sum(map(f, blocks)))
+
+
+def _fitted(rows: DataFrame) -> Boosted:
+    """The trees over all examples: held, y, x, n."""
+    model = Boosted()
+    labels = rows.groupBy("held", "y").agg(F.sum("n").alias("n")).toPandas()
+    held, y, n = (labels[c].to_numpy() for c in ("held", "y", "n"))
+    if len(set(y.tolist())) < 2:
+        return model.fit_blocks([], lambda f: f(Block(np.zeros((len(n), 0)), y, held.astype(bool), n)) if len(n) else 0)
+    every = Boosted.fits_every(held.astype(bool), y, n)
+    edges = model.edges = _edges(rows if every else rows.where("not held"), model.probs())
+
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                cols = [np.asarray(batch.column(c).to_numpy(zero_copy_only=False), dtype=t).tobytes() for c, t in (("y", "f8"), ("held", "?"), ("n", "i8"))]
+                yield pa.RecordBatch.from_arrays([pa.array([b"".join(batch.column("b").to_pylist())]), *(pa.array([c]) for c in cols)], ["b", "y", "held", "n"])
+
+    binned = F.arrow_udf(lambda x: pa.array([r.tobytes() for r in model.binned(_unpacked(x))], pa.binary()), "binary")
+    equal = rows.select("held", "y", binned("x").alias("b"), "n").groupBy("held", "y", "b").agg(F.sum("n").alias("n"))
+    parts = 1 + equal.count() // PART_ROWS
+    blocks = equal.coalesce(parts).mapInArrow(block, "b binary, y binary, held binary, n binary").rdd.map(
+        lambda r: Block(np.frombuffer(r["b"], "u1").reshape(-1, WIDTH), np.frombuffer(r["y"], "f8"), np.frombuffer(r["held"], "?"), np.frombuffer(r["n"], "i8"))
+    ).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        if parts == 1:  # up to PART_ROWS rows are fitted where they lie: the same sums, without a job for each
+            return blocks.mapPartitions(lambda part: [_of_blocks(edges, list(part))]).first()
+        return Boosted().fit_blocks(edges, over(blocks))
+    finally:
+        blocks.unpersist()
+
+
+def _steps(rows: DataFrame, model: Boosted) -> DataFrame:
+    """The rows with their probability in whole STEPS."""
+    step = F.arrow_udf(lambda x: pa.array(np.floor(model.predict(_unpacked(x)) * STEPS).astype(np.int64)), "long")
+    return rows.withColumn("p", step("x"))
+
+
+def train(docs: DataFrame, precision: float, id_col: str, text_col: str) -> tuple[Boosted, list[float]]:
     """The trees, and the threshold of each kind (above 1: add nothing)."""
     d = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where("_id is not null")
-    share = min(1.0, max_fit_documents / max(1, d.count()))
-    part = F.pmod(F.xxhash64("_id", F.lit("pii")), F.lit(1 << 30)) < int((1 << 30) * share)
-    rows = d.where(part).select("_id", F.arrow_udf(_sampled, "array<double>")("_text").alias("c"))
-    got = rows.where("size(c) > 0").orderBy("_id", F.hash("c")).toArrow()
-    found = [np.array(c).reshape(-1, 2 + WIDTH) for c in got["c"].to_pylist()]
-    held = np.concatenate([np.full(len(f), k % 3 == 0) for k, f in enumerate(found)]) if found else np.zeros(0, bool)
-    x = np.concatenate(found) if found else np.zeros((0, 2 + WIDTH))
-    kind, what = x[:, 0], x[:, 1]
-    first = Boosted().fit(x[:, 2:], (what == POSITIVE).astype(float), held).predict(x[:, 2:])
-    known = np.ones(len(x), dtype=bool)
-    for k in range(len(KINDS)):
-        sure = first[(kind == k) & (what == POSITIVE)]
-        if len(sure):
-            known &= (kind != k) | (what != UNLABELLED) | (first < np.median(sure))
-    x, held, y = x[known], held[known], (what[known] == POSITIVE).astype(float)
-    model = Boosted().fit(x[:, 2:], y, held)
+    ids = d.where(F.arrow_udf(_gives_examples, "boolean")("_text")).select("_id").distinct().orderBy("_id")
+    third = StructType([d.schema["_id"], StructField("held", BooleanType())])
+    held = d.sparkSession.createDataFrame(ids.rdd.zipWithIndex().map(lambda r: (r[0]["_id"], r[1] % 3 == 0)), third)
+    found = StructType([d.schema["_id"], *(StructField(c, IntegerType()) for c in ("kind", "what")), StructField("x", BinaryType())])
+    rows = d.mapInArrow(_learnt, found).join(held, "_id").groupBy("held", "kind", "what", "x").agg(F.count(F.lit(1)).alias("n"))
+    rows = checkpointed(rows).withColumn("y", (F.col("what") == POSITIVE).cast("double"))
+    first = _steps(rows, _fitted(rows))
+    sure = first.where(F.col("what") == POSITIVE).groupBy("kind", "p").agg(F.sum("n").alias("n")).toPandas()
+    aside = F.lit(False)
+    for kind, mine in sure.sort_values("p").groupby("kind"):
+        to = mine["n"].to_numpy().cumsum()
+        middle = mine["p"].to_numpy()[np.searchsorted(to, [(to[-1] - 1) // 2, to[-1] // 2], side="right")].mean()
+        aside |= (F.col("kind") == int(kind)) & (F.col("what") == UNLABELLED) & (F.col("p") >= float(middle))
+    rows = checkpointed(first.where(~aside).drop("p"))
+    model = _fitted(rows)
+    tail = _steps(rows.where("held"), model).groupBy("kind", "p").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("y")).alias("hits")).toPandas()
     limits = []
     for k in range(len(KINDS)):
-        mine = held & (x[:, 0] == k)
-        p, true = model.predict(x[mine, 2:]), y[mine]
-        at = [t for t in np.unique(p) if (p >= t).sum() >= LEAST_HELD and true[p >= t].mean() >= precision]
-        limits.append(max(0.5, float(at[0])) if at else 2.0)
+        mine = tail[tail["kind"] == k].sort_values("p", ascending=False)
+        n, hits = mine["n"].to_numpy().cumsum(), mine["hits"].to_numpy().cumsum()
+        at = mine["p"].to_numpy()[(n >= LEAST_HELD) & (hits >= precision * n)]
+        limits.append(max(0.5, float(at[-1]) / STEPS) if len(at) else 2.0)
     return model, limits
 
 
@@ -281,7 +381,7 @@ def all_spans(text: str, model: Boosted, limits: list[float]) -> tuple[list, lis
     wide = _free(proposals(text), base) if min(limits) <= 1 else []
     if wide:
         covered = np.zeros(len(text), dtype=bool)
-        p = model.predict(np.array([candidate_features(text, *c) for c in wide]))
+        p = model.predict(np.array([candidate_features(text, *c) for c in wide], dtype="<f4"))
         for q, (k, a, b) in sorted(zip(p.tolist(), wide), key=lambda x: (-x[0], x[1])):
             if q >= limits[k] and not covered[a:b].any():
                 covered[a:b] = True
@@ -294,11 +394,11 @@ def _written(spans: list) -> str:
 
 
 def find(
-    docs: DataFrame, precision: float = 0.98, max_fit_documents: int = MAX_FIT_DOCUMENTS, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, precision: float = 0.98, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """docs with n_email, n_ip, n_card, n_phone (base spans), base_sha256 and
     spans (``kind:start:end``, comma-joined, base and added)."""
-    model, limits = train(docs, precision, max_fit_documents, id_col, text_col)
+    model, limits = train(docs, precision, id_col, text_col)
 
     def search(texts: pa.Array) -> pa.Array:
         n = len(texts)
