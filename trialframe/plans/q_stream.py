@@ -46,9 +46,7 @@ def q_stateful_velocity(spark, sf):
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 64).parquet(sf)
     stream = stream.withColumn(
         "value", F.when(F.col("event_id") % 7 == 0, F.lit(None).cast("double")).otherwise(F.col("value")))
-    sink, ck = ingest.shared_path(spark, "velocity-sink"), ingest.shared_path(spark, "velocity-ckpt")
-    q = (stateful.stateful_velocity(stream).writeStream.format("parquet").option("path", sink)
-         .option("checkpointLocation", ck).outputMode("append").trigger(availableNow=True).start())
-    q.awaitTermination()
-    out = spark.read.schema(stateful.OUT_SCHEMA).parquet(sink)
+    sink, state, ck = (ingest.shared_path(spark, f"velocity-{x}") for x in ("sink", "state", "ckpt"))
+    stateful.stateful_velocity(stream, sink, state, ck).awaitTermination()
+    out = spark.read.schema(stateful.OUT_SCHEMA).parquet(f"{sink}/batch=*")
     return out.select("event_id", "user_id", "event_type", F.round("velocity", 6).alias("velocity"))
