@@ -44,3 +44,25 @@ def test_no_cell_holds_more_than_its_limit(spark, monkeypatch):
     monkeypatch.setattr(summary, "_inside", seen)
     summary.exact_quantiles(df, ["g"], "v", PROBS, 40).collect()
     assert sizes and max(sizes) <= 40
+
+
+@pytest.mark.parametrize("most", [50_000, 5])
+def test_signal_summary(spark, most):
+    rng = np.random.default_rng(2)
+    rows = [("hot", k, float(v), None) for k, v in enumerate(rng.normal(size=300))] + [(None, 1, 2.0, 3.0), (None, 2, 5.0, None), ("one", 0, None, 1.0)]
+    df = spark.createDataFrame(rows, "g string, a long, b double, c double").repartition(5)
+    got = {(r["g"], r["signal"]): r for r in summary.signal_summary(df, ["g"], ["a", "b", "c"], most).collect()}
+    pdf = pd.DataFrame(rows, columns=["g", "a", "b", "c"])
+    assert len(got) == 9
+    for g in ("hot", None, "one"):
+        for c in "abc":
+            v, r = pdf[pdf["g"].isna() if g is None else pdf["g"] == g][c].dropna(), got[g, c]
+            want = [v.mean(), v.std(), v.min(), v.max(), *v.quantile([0.5, 0.25, 0.75]), v.max() - v.min()]
+            assert r["n"] == len(v)
+            assert [r[k] for k in ("mean", "std", "min", "max", "median", "q25", "q75", "range")] == [None if np.isnan(x) else pytest.approx(x) for x in want]
+
+
+def test_signal_summary_shuffles_wide_rows_once(spark):
+    df = spark.range(40).selectExpr("id % 3 AS g", "id AS a", "id * 2 AS b")
+    plan = summary.signal_summary(df, ["g"], ["a", "b"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Expand" not in plan

@@ -18,6 +18,8 @@ from trialframe.session import cut_lineage
 
 QUANTILE_CHUNKS = 64
 CELL_VALUES = 200_000
+RECORDING_ROWS = 50_000
+QUARTILES = {"median": 0.5, "q25": 0.25, "q75": 0.75}
 
 
 def dataset_stats(df: DataFrame, subject: str, session: str, label: str, order: Sequence[str]) -> DataFrame:
@@ -136,7 +138,7 @@ def eight_number(df: DataFrame, by: Sequence[str], col: str, prefix: str = "", e
         *extra, F.avg(col).alias(f"{prefix}mean"), F.stddev_samp(col).alias(f"{prefix}std"),
         F.min(col).alias(f"{prefix}min"), F.max(col).alias(f"{prefix}max"),
     )
-    q = exact_quantiles(df, by, col, {f"{prefix}median": 0.5, f"{prefix}q25": 0.25, f"{prefix}q75": 0.75})
+    q = exact_quantiles(df, by, col, {f"{prefix}{k}": p for k, p in QUARTILES.items()})
     return attach(base, q, by, "left").withColumn(f"{prefix}range", F.col(f"{prefix}max") - F.col(f"{prefix}min"))
 
 
@@ -186,11 +188,38 @@ def histogram(df: DataFrame, col: str, bins: int, by: Sequence[str] = ()) -> Dat
     )
 
 
-def signal_summary(df: DataFrame, rec: Sequence[str], signals: Sequence[str]) -> DataFrame:
-    """The eight numbers of each signal of a recording, long form: one
-    unpivot and one aggregate, however many signals."""
-    long = df.select(*rec, *[F.col(c).cast("double").alias(c) for c in signals]).unpivot(list(rec), list(signals), "signal", "v")
-    return eight_number(long, [*rec, "signal"], "v", extra=[F.count("v").alias("n")])
+def signal_summary(df: DataFrame, rec: Sequence[str], signals: Sequence[str], most: int = RECORDING_ROWS) -> DataFrame:
+    """The eight numbers of each signal of a recording, long form.
+
+    The rows are shuffled once and wide, by recording, and the values of a
+    recording sorted where they meet. Recordings of over ``most`` rows go
+    unpivoted through ``eight_number``, which holds no group whole."""
+    rec = list(rec)
+    d = df.select(*rec, *[F.col(c).cast("double").alias(c) for c in signals])
+    hot = cut_lineage(d.groupBy(*rec).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > most).select(*[F.col(c).alias(f"_{c}") for c in rec]))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in rec]
+    some = not hot.isEmpty()
+    met = (d.join(F.broadcast(hot), same, "left_anti") if some else d).repartition(*rec).groupBy(*rec).agg(*[
+        f(c).alias(f"{c}_{name}") for c in signals
+        for name, f in (("n", F.count), ("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max), ("all", lambda c: F.sort_array(F.collect_list(c))))
+    ])
+    each = F.explode(F.array(*[
+        F.struct(F.lit(c).alias("signal"), *[F.col(f"{c}_{k}").alias(k) for k in ("n", "mean", "std", "min", "max", "all")]) for c in signals
+    ]))
+    out = met.select(*rec, each.alias("_s")).select(*rec, "_s.*")
+    out = out.select(*rec, "signal", "n", "mean", "std", "min", "max", *[_at(F.col("all"), p).alias(k) for k, p in QUARTILES.items()])
+    out = out.withColumn("range", F.col("max") - F.col("min"))
+    if some:
+        long = d.join(F.broadcast(hot), same, "left_semi").unpivot(rec, list(signals), "signal", "v")
+        out = out.unionByName(eight_number(long, [*rec, "signal"], "v", extra=[F.count("v").alias("n")]))
+    return out
+
+
+def _at(values: Column, p: float) -> Column:
+    """The interpolated quantile of a sorted array, null if it is empty."""
+    x = F.lit(p) * (F.size(values) - 1)
+    low, high = (F.get(values, f(x).cast("int")) for f in (F.floor, F.ceil))
+    return low + (x - F.floor(x)) * (high - low)
 
 
 def status_counts(df: DataFrame, by: Sequence[str]) -> DataFrame:
