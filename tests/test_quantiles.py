@@ -66,3 +66,15 @@ def test_signal_summary_shuffles_wide_rows_once(spark):
     df = spark.range(40).selectExpr("id % 3 AS g", "id AS a", "id * 2 AS b")
     plan = summary.signal_summary(df, ["g"], ["a", "b"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Expand" not in plan
+
+
+def test_large_groups_keep_few_values(spark):
+    """Quantiles stay exact while most values of a large group are merged before they are shuffled."""
+    rng = np.random.default_rng(3)
+    v = {"a": rng.normal(size=30_000), "ties": np.floor(rng.normal(size=30_000) * 2), "small": rng.normal(size=20)}
+    df = spark.createDataFrame(pd.DataFrame([(g, x) for g, xs in v.items() for x in xs], columns=["g", "v"]))
+    got = {r["g"]: r for r in summary.exact_quantiles(df, ["g"], "v", PROBS, 100).collect()}
+    for g, x in v.items():
+        assert np.allclose([got[g][n] for n in PROBS], np.quantile(x, list(PROBS.values())), atol=1e-12)
+    rows = df.selectExpr("struct(g) AS _g", "v AS _v")
+    assert summary._merged(rows, list(PROBS.values()), 10_000).where("_g.g = 'a'").select("_v").distinct().count() < 400

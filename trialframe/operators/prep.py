@@ -47,7 +47,8 @@ def fit_impute_scale(long: DataFrame, train: Column, feature: str | Sequence[str
 
 def apply_impute_scale(long: DataFrame, params: DataFrame, feature: str = "feature", value: str = "value",
                        out: str = "value_scaled") -> DataFrame:
-    j = attach(long, params.select(feature, "median", "mean", "scale"), [feature], "inner")
+    # one row per feature: broadcast, as all long rows would be shuffled before AQE could measure it
+    j = attach(long, F.broadcast(params.select(feature, "median", "mean", "scale")), [feature], "inner")
     x = F.coalesce(F.col(value), F.col("median"))
     return j.withColumn(out, (x - F.col("mean")) / F.col("scale")).drop("median", "mean", "scale")
 

@@ -18,6 +18,9 @@ from trialframe.session import cut_lineage
 
 QUANTILE_CHUNKS = 64
 CELL_VALUES = 200_000
+# groups of more rows have values merged, but for a share of 1 / REACH at each side of a wanted quantile
+MERGED_ROWS = 10_000
+REACH = 1000
 RECORDING_ROWS = 50_000
 QUARTILES = {"median": 0.5, "q25": 0.25, "q75": 0.75}
 
@@ -73,7 +76,8 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[st
     """Interpolated quantiles per group (pandas semantics), one column for
     each of ``probs``; nulls are ignored, a group without values is absent.
 
-    Rows are reduced to value counts. A cell is the range of values in which a
+    Values far from the wanted quantiles of a large group are merged (``_merged``),
+    then rows are reduced to value counts. A cell is the range of values in which a
     wanted order statistic lies, the whole group at first. As long as a cell
     holds over ``most`` distinct values, a histogram over QUANTILE_CHUNKS ranges
     of it says in which of them the statistic is, and only that range goes on;
@@ -82,7 +86,8 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[st
     passes grows with the logarithm of the largest group."""
     by = list(by)
     group = F.struct(F.lit(0).alias("_one"), *[F.col(c) for c in by])
-    counts = df.where(F.col(value).isNotNull()).groupBy(group.alias("_g"), F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    rows = df.where(F.col(value).isNotNull()).select(group.alias("_g"), F.col(value).alias("_v"))
+    counts = _merged(rows, list(probs.values()), max(most, MERGED_ROWS)).groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_n"))
     counts = cut_lineage(counts)
     totals = counts.groupBy("_g").agg(F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_size"))
     place = {name: F.lit(p) * (F.col("_all") - 1) for name, p in probs.items()}
@@ -105,6 +110,30 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[st
     return ends.select(*[F.col("_g")[c].alias(c) for c in by], *out)
 
 
+def _merged(rows: DataFrame, probs: Sequence[float], most: int) -> DataFrame:
+    """The rows, with the values of groups of over ``most`` rows that lie between
+    the wanted quantiles merged, so that few different ones are left.
+
+    Around each quantile the values between two approximate quantiles stay; any
+    other becomes the end of such a range next below it (of the first range, if
+    it lies below all). That keeps the order, so an order statistic that lies in a
+    range stays what it is; and the wanted ones do, as the ranges reach ten times
+    further than the error that Spark grants for the approximate quantiles."""
+    large = cut_lineage(rows.groupBy("_g").agg(F.count(F.lit(1)).alias("_all")).where(F.col("_all") > most))
+    if large.isEmpty():
+        return rows
+    ends = [min(1.0, max(0.0, p + d / REACH)) for p in probs for d in (-1, 1)]
+    hot = rows.join(F.broadcast(large.select(F.col("_g").alias("_of"))), F.col("_g") == F.col("_of"), "left_semi")
+    cuts = cut_lineage(hot.groupBy("_g").agg(F.percentile_approx("_v", ends, 10 * REACH).alias("_e")))
+    j = rows.join(F.broadcast(cuts.withColumnRenamed("_g", "_of")), F.col("_g") == F.col("_of"), "left")
+    v, e = F.col("_v"), [F.get("_e", F.lit(k)) for k in range(len(ends))]
+    stays = F.lit(False)
+    for low, high in zip(e[::2], e[1::2]):
+        stays |= v.between(low, high)
+    below = F.coalesce(F.greatest(*[F.when(x <= v, x) for x in e]), F.least(*e))
+    return j.select("_g", F.when(F.col("_e").isNull() | stays, v).otherwise(below).alias("_v"))
+
+
 def _inside(counts: DataFrame, spans: DataFrame) -> DataFrame:
     """The value counts that lie in a span (_lo, _hi] of their group, null for no bound."""
     j = counts.join(spans, "_g")

@@ -8,6 +8,7 @@ from trialframe.operators import prep, quality, split
 from trialframe.plans.q_wide import NUM_FEATURES, TRIALS, WIDE_SQL, wide_sessions
 from trialframe.plans.registry import register
 from trialframe.sources.tables import table
+from trialframe.streaming.ingest import shared_path
 
 SEED = 42
 
@@ -154,6 +155,10 @@ def q_impute_scale(spark, sf):
     sessions (hash bucket != 0 of 5), applied to all, in long form."""
     w = wide_sessions(spark, sf)
     cols = prep.feature_columns(w.select(*_FEATS), exclude=["session_id"])
+    # made once: every pass of the fit would shuffle the trials again
+    at = shared_path(spark, "impute-sessions")
+    w.select("session_id", *cols).write.parquet(at)
+    w = spark.read.parquet(at)
     long = prep.to_long(w, ["session_id"], cols)
     long = long.withColumn("_train", split.hash32("session_id", SEED) % 5 != 0)
     params = prep.fit_impute_scale(long, F.col("_train"))
