@@ -18,8 +18,8 @@ from trialframe.session import cut_lineage
 
 QUANTILE_CHUNKS = 64
 CELL_VALUES = 200_000
-# groups of more rows have values merged, but for a share of 1 / REACH at each side of a wanted quantile
-MERGED_ROWS = 10_000
+# groups of more different values have them merged, but for a share of 1 / REACH at each side of a wanted quantile
+MERGED_VALUES = 10_000
 REACH = 1000
 RECORDING_ROWS = 50_000
 QUARTILES = {"median": 0.5, "q25": 0.25, "q75": 0.75}
@@ -87,7 +87,7 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[st
     by = list(by)
     group = F.struct(F.lit(0).alias("_one"), *[F.col(c) for c in by])
     rows = df.where(F.col(value).isNotNull()).select(group.alias("_g"), F.col(value).alias("_v"))
-    counts = _merged(rows, list(probs.values()), max(most, MERGED_ROWS)).groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    counts = _merged(rows, list(probs.values()), max(most, MERGED_VALUES)).groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_n"))
     counts = cut_lineage(counts)
     totals = counts.groupBy("_g").agg(F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_size"))
     place = {name: F.lit(p) * (F.col("_all") - 1) for name, p in probs.items()}
@@ -111,15 +111,15 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[st
 
 
 def _merged(rows: DataFrame, probs: Sequence[float], most: int) -> DataFrame:
-    """The rows, with the values of groups of over ``most`` rows that lie between
-    the wanted quantiles merged, so that few different ones are left.
+    """The rows, with the values of groups of over ``most`` different ones (about)
+    that lie between the wanted quantiles merged, so that few are left.
 
     Around each quantile the values between two approximate quantiles stay; any
     other becomes the end of such a range next below it (of the first range, if
     it lies below all). That keeps the order, so an order statistic that lies in a
     range stays what it is; and the wanted ones do, as the ranges reach ten times
     further than the error that Spark grants for the approximate quantiles."""
-    large = cut_lineage(rows.groupBy("_g").agg(F.count(F.lit(1)).alias("_all")).where(F.col("_all") > most))
+    large = cut_lineage(rows.groupBy("_g").agg(F.approx_count_distinct("_v").alias("_size")).where(F.col("_size") > most))
     if large.isEmpty():
         return rows
     ends = [min(1.0, max(0.0, p + d / REACH)) for p in probs for d in (-1, 1)]
